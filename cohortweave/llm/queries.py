@@ -25,6 +25,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_documents(spark, sf_dir), _tokenizer(), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.quality_classifier import quality_scores
+
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.quality_rules import quality_rules
+
+    ledger = quality_rules(_documents(spark, sf_dir))
+    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.language_id import language_id
+
+    return language_id(_documents(spark, sf_dir))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm.bpe import bpe_round_trip
 
@@ -34,6 +53,9 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_language_id": op7_language_id,
         "op5_bpe_round_trip": op5_bpe_round_trip,
     }
 
