@@ -50,12 +50,33 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), _tokenizer())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.warc import warc_round_trip
+
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.mixing import cube_mix
+
+    return cube_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.pii import pii_spans
+
+    return pii_spans(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_quality_classifier": op2_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
         "op7_language_id": op7_language_id,
+        "op6_warc": op6_warc,
+        "op8_mixing": op8_mixing,
+        "op9_pii": op9_pii,
         "op5_bpe_round_trip": op5_bpe_round_trip,
     }
 

@@ -85,7 +85,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         nulls = 0
         for batch in batches:
             if out is None:
-                out = fs.open_output_stream(f"{root}/{name}")
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(MAGIC)
             doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for at in range(0, len(texts), 256):
