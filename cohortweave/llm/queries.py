@@ -31,6 +31,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm.quality_rules import quality_rules
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_quality_rules": op4_quality_rules,
         "op7_language_id": op7_language_id,
         "op6_warc": op6_warc,

@@ -1,39 +1,18 @@
-"""Shared scratch folders: cut points for lineage and homes for binary files."""
+"""Shared folders for tables and binary files, and joins that a hot key cannot stall."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from cohortweave.scratch import cut, shared_dir
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, the folder that driver and executors share.
-
-    Where that is unset, a local master gets a temporary folder; a cluster has no
-    safe default, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/cohortweave-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a shared Parquet folder and read it back: the plan restarts from that table."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "join_salted", "open_fs", "remove", "shared_dir"]
+SALTS = 32
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system its URI names."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
@@ -42,3 +21,13 @@ def open_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "left") -> DataFrame:
+    """rows joined to small on keys, where one key may hold a third of all rows and small has each key once.
+
+    Rows of a key are dealt over SALTS partitions by the hash of column `by`; small is repeated for each.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
