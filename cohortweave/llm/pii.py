@@ -360,3 +360,25 @@ def pii_spans(docs: DataFrame, labelled: tuple[str, ...] = LABELLED, with_redact
             yield out
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+
+
+def redact_documents(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
+    """docs with every span, base or added, replaced by its kind; n_chars, where present, follows a changed text."""
+    crf = Crf().train(labelled)
+    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            base = [base_spans(t) for t in texts]
+            spans = [b + m for b, m in zip(base, add_spans(crf, texts, base))]
+            new = [redact(t, s) if s else t for t, s in zip(texts, spans)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, columns[at].type)
+            if chars is not None:
+                columns[chars] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, columns[chars].to_pylist())], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

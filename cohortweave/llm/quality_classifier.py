@@ -186,3 +186,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, config: QualityConfig = Q
         "score",
         (F.col("score") >= config.threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """The rows of docs that score at least the threshold, with all their columns; without any usable label, all rows.
+
+    Decisions are made row by row on the whole text, in one pass after the fit and without a join.
+    """
+    stats = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_stats, "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(STATS)))), "quality-stats")
+    model = fit(stats, labels, config)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float64)
+                yield batch.filter(pa.array(model.score(x) >= config.threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

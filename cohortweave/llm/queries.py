@@ -74,6 +74,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(_documents(spark, sf_dir))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.embedding_dedup import embedding_links
+
+    return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -84,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op6_warc": op6_warc,
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
+        "op10_embedding_dedup": op10_embedding_dedup,
         "op5_bpe_round_trip": op5_bpe_round_trip,
     }
 
