@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     range-partitioned, so a shard holds an unbroken run of the order. A retried task writes a
     file of its own name; the manifest names the file of the attempt that succeeded. It has a row for each shard.
     """
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = dealt.mapInPandas(_writer(folder, tokenizer, end_id), "part long, file string, n_docs long, n_tokens long").collect()
     shards, start, before = [], 0, 0
     for r in sorted(rows, key=lambda r: r["part"]):
