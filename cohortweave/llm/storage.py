@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.scratch import cut, shared_dir
 
-__all__ = ["cut", "join_salted", "open_fs", "remove", "shared_dir"]
+__all__ = ["cut", "join_salted", "open_fs", "remove", "shared_dir", "small_side"]
 SALTS = 32
+#: Rows of a few numbers each that a broadcast may have.
+SMALL = 300_000
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -23,11 +25,20 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame | None:
+    """df marked for broadcast if it has at most so many rows, else None; count a cut table, since this counts it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "left") -> DataFrame:
     """rows joined to small on keys, where one key may hold a third of all rows and small has each key once.
 
-    Rows of a key are dealt over SALTS partitions by the hash of column `by`; small is repeated for each.
+    Up to SMALL rows, small is broadcast. Beyond, rows of a key are dealt over SALTS partitions by the hash
+    of column `by`, and small is repeated for each.
     """
+    held = small_side(small)
+    if held is not None:
+        return rows.join(held, keys, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

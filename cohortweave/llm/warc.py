@@ -16,12 +16,11 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortweave.llm.storage import open_fs, shared_dir
+from cohortweave.llm.storage import cut, join_salted, open_fs, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 4 << 20
 LEAST_BYTES = 100
-SALTS = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -116,15 +115,14 @@ def records(r: Ranges, start: int, end: int):
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Add payload digest and refers_to: the smallest page_id with the same payload, where that is another page.
 
-    The pages of one payload may be a third of the table, so the join on digests is salted; its other side
-    has only the digests that repeat.
+    The pages of one payload may be a third of the table, so the join on digests is a broadcast or salted; its
+    other side has only the digests that repeat.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     firsts = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    firsts = firsts.where("first < last").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.join(firsts, ["digest", "salt"], "left")
+    firsts = cut(firsts.where("first < last").select("digest", "first"), "warc-firsts")
+    joined = join_salted(rows, firsts, ["digest"], "url")
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
