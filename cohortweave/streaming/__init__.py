@@ -1 +1 @@
-
+"""Empty on purpose: the operators cover finished cohorts and corpora, and none of them is a stream."""
