@@ -3,7 +3,7 @@
 A source takes each document floor(f) times, f being its target over its size, and once more with
 inclusion probability f - floor(f). The flight phase moves those probabilities along the null-space of two
 constraints, tokens and documents, three documents at a time, so both totals stay what they were until at most
-two documents of a block are undecided. Blocks of a source fly apart from one another; the undecided of many blocks meet in
+two documents of a block are undecided. Blocks of a source fly apart from one another; the undecided of many blocks, and a few more, meet in
 the next round. A source's last block holds a dozen documents back and lands them with the last two where its
 token total is least off.
 """
@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3.0
 BLOCK = 1500
-#: Documents that a source's last block keeps for the landing.
+#: Documents that a source's last block keeps for the landing; other blocks pass half as many on.
 HELD = 12
 _TINY = 1e-9
 
@@ -95,14 +95,14 @@ def land(p: list[float], size: list[int]) -> list[float]:
     return p
 
 
-def fly_and_land(p: list[float], size: list[int], rng: np.random.Generator) -> list[float]:
-    """Flight with a few documents of spread-out sizes held back, so that landing can level what the flight's last two leave."""
+def fly(p: list[float], size: list[int], rng: np.random.Generator, held: int) -> list[float]:
+    """Flight with a few documents of spread-out sizes held back, which can later level what the flight's last two leave."""
     at = [i for i, x in enumerate(p) if 0 < x < 1]
-    held = {at[int(k)] for k in np.linspace(0, len(at) - 1, HELD)} if len(at) > HELD + 2 else set(at)
-    rest = [i for i in at if i not in held]
+    back = {at[int(k)] for k in np.linspace(0, len(at) - 1, held)} if len(at) > held + 2 else set(at)
+    rest = [i for i in at if i not in back]
     for i, x in zip(rest, flight([p[i] for i in rest], [size[i] for i in rest], rng)):
         p[i] = x
-    return land(p, size)
+    return p
 
 
 def _flights(seed: int):
@@ -110,8 +110,9 @@ def _flights(seed: int):
         first = group.iloc[0]
         group = group.sort_values(["size", "__order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         key = f"{first['__source']!r}/{first['__block']}/{first['__level']}/{seed}"
-        end = fly_and_land if first["__last"] else flight
-        group["p"] = end(group["p"].tolist(), group["size"].tolist(), np.random.default_rng(zlib.crc32(key.encode())))
+        size, last = group["size"].tolist(), bool(first["__last"])
+        p = fly(group["p"].tolist(), size, np.random.default_rng(zlib.crc32(key.encode())), HELD if last else HELD // 2)
+        group["p"] = land(p, size) if last else p
         return group
 
     return run
@@ -146,7 +147,7 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
         done = settled if done is None else done.unionByName(settled)
         if max(blocks.values(), default=1) == 1:
             break
-        blocks = {k: max(1, math.ceil(2 * b / BLOCK)) if b > 1 else 1 for k, b in blocks.items()}
+        blocks = {k: max(1, math.ceil((HELD // 2 + 2) * b / BLOCK)) if b > 1 else 1 for k, b in blocks.items()}
         level += 1
         again = spark.createDataFrame(list(blocks.items()), "__k string, __blocks long")
         rows = flown.where("p > 0 and p < 1").drop("__blocks", "__block", "__level", "__last")

@@ -96,4 +96,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cohortweave.llm.oracles import SQL
+
+    return dict(SQL)
