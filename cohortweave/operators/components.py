@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.scratch import cut
+from cohortweave.scratch import cut_counted
 
 ROUNDS = 64
 
@@ -32,13 +32,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     now = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    now, mark = cut(now.distinct(), "components"), None
+    now, n, mark = cut_counted(now.distinct(), "components", ("a", "b"))
     for _ in range(ROUNDS):
-        r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (r["n"], r["h"]) == mark or not r["n"]:
+        if not n:
             break
-        mark = (r["n"], r["h"])
-        now = cut(_small_star(_large_star(now)), "components")
+        now, n, after = cut_counted(_small_star(_large_star(now)), "components", ("a", "b"))
+        if after == mark:
+            break
+        mark = after
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

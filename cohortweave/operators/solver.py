@@ -11,13 +11,13 @@ replicates are one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from cohortweave.functions.ranks import rank_bins
 from cohortweave.functions.scalars import normal, uniform
 from cohortweave.operators.components import connected_components
 from cohortweave.operators.network import degrees
-from cohortweave.scratch import cut
+from cohortweave.scratch import cut, cut_counted
 
 ROUNDS = 400
 
@@ -38,10 +38,11 @@ def nearest_terminal(edges: DataFrame, terminals: DataFrame) -> DataFrame:
         offer = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), "seed", F.col("a").alias("via"))
         offer = offer.groupBy("node").agg(F.min(F.struct("dist", "seed", "via")).alias("n"))
         known = best.select("node", F.struct("dist", "seed", "via").alias("o"))
-        merged = cut(known.join(offer, "node", "full").select("node", F.when(F.col("o").isNull(), F.col("n")).when(F.col("n").isNull(), F.col("o")).when(F.col("n.dist") < F.col("o.dist") - 1e-12, F.col("n")).otherwise(F.col("o")).alias("k"), (F.col("o").isNull() | (F.col("n.dist") < F.col("o.dist") - 1e-12)).alias("new")), "steiner-near")
+        seen = Observation()
+        merged = cut(known.join(offer, "node", "full").select("node", F.when(F.col("o").isNull(), F.col("n")).when(F.col("n").isNull(), F.col("o")).when(F.col("n.dist") < F.col("o.dist") - 1e-12, F.col("n")).otherwise(F.col("o")).alias("k"), (F.col("o").isNull() | (F.col("n.dist") < F.col("o.dist") - 1e-12)).alias("new")).observe(seen, F.count_if("new").alias("n")), "steiner-near")
         best = merged.select("node", "k.dist", "k.seed", "k.via")
         front = merged.where("new").select("node", "k.dist", "k.seed", "k.via")
-        if front.isEmpty():
+        if not seen.get["n"]:
             return best
     raise RuntimeError("distances did not settle")
 
@@ -54,8 +55,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     for _ in range(64):
         ends = rows.select(F.col("pa").alias("part"), *keys, "pa", "pb").unionByName(rows.select(F.col("pb").alias("part"), *keys, "pa", "pb"))
         take = ends.groupBy("part").agg(F.min(F.struct(*keys, "pa", "pb")).alias("e")).select("e.*").distinct()
-        take = cut(take, "forest-take")
-        if take.isEmpty():
+        take, n, _ = cut_counted(take, "forest-take")
+        if not n:
             break
         chosen = take.select(*keys) if chosen is None else chosen.unionByName(take.select(*keys))
         parts = connected_components(take.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
@@ -81,8 +82,8 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     front = cut(picked.select(F.col("x").alias("node")).unionByName(picked.select(F.col("y").alias("node"))).distinct(), "steiner-walk")
     walked = None
     for _ in range(ROUNDS):
-        hop = cut(front.join(near, "node").where("via is not null").select("node", "via").distinct(), "steiner-walk")
-        if hop.isEmpty():
+        hop, n, _ = cut_counted(front.join(near, "node").where("via is not null").select("node", "via").distinct(), "steiner-walk")
+        if not n:
             break
         walked = hop if walked is None else walked.unionByName(hop)
         front = hop.select(F.col("via").alias("node")).distinct()
@@ -93,8 +94,8 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     while True:
         ends = tree.select(F.col("a").alias("node")).unionByName(tree.select(F.col("b").alias("node")))
         leaves = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(terminals.select("node"), "node", "left_anti").select("node")
-        leaves = cut(leaves, "steiner-leaves")
-        if leaves.isEmpty():
+        leaves, n, _ = cut_counted(leaves, "steiner-leaves")
+        if not n:
             return tree
         gone_a, gone_b = leaves.withColumnRenamed("node", "a"), leaves.withColumnRenamed("node", "b")
         tree = cut(tree.join(gone_a, "a", "left_anti").join(gone_b, "b", "left_anti").select("a", "b", "cost"), "steiner-tree")
@@ -113,8 +114,8 @@ def prune_trees(tree: DataFrame, prizes: DataFrame) -> tuple[DataFrame, DataFram
         both = _both_ways(left)
         n = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"), F.first("cost").alias("cost")).where("n = 1")
         leaf = n.join(root, n["a"] == root["node"], "left_anti").join(net, F.col("a") == net["node"]).select("a", "b", "cost", (F.col("net") - F.col("cost")).alias("gain"))
-        leaf = cut(leaf, "prune-leaves")
-        if leaf.isEmpty():
+        leaf, count, _ = cut_counted(leaf, "prune-leaves")
+        if not count:
             break
         good = leaf.where("gain > 0")
         kept = good.select("a", "b") if kept is None else kept.unionByName(good.select("a", "b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,3 +28,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, name: str, mark: tuple[str, ...] = ()) -> tuple[DataFrame, int, object]:
+    """cut, with the number of rows and a sum of hashes of the mark columns, observed while the table is written."""
+    seen = Observation()
+    hashes = F.sum(F.xxhash64(*mark).cast("decimal(38,0)")) if mark else F.lit(None)
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("h")) if mark else df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"], seen.get.get("h")
