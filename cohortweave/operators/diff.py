@@ -99,6 +99,8 @@ def expressed(counts: DataFrame, d: DataFrame, min_count: int = 10) -> DataFrame
     """Genes with enough counts per million in as many samples as the smaller group has (softened above 10), and 15 counts in all."""
     lib = cut(library_sizes(counts), "diff-lib")
     sizes = [r["n"] for r in d.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if len(sizes) < 2:
+        raise ValueError("samples of both groups are needed")
     least = min(sizes)
     need = least if least <= 10 else 10 + 0.7 * (least - 10)
     median = lib.agg(F.median("lib")).first()[0]

@@ -9,12 +9,12 @@ from cohortweave.sources import interactions
 @pytest.fixture(scope="module")
 def cohort_data(spark):
     rng = np.random.default_rng(11)
-    bars = [f"TT-AA-{i:04d}X-01A-r" for i in range(24)] + [f"TT-AA-{i:04d}X-11A-r" for i in range(12)]
+    bars = [f"TT-AA-{i:05d}X-01A-r" for i in range(24)] + [f"TT-AA-{i:05d}X-11A-r" for i in range(12)]
     base = rng.gamma(2.0, 200.0, 300)
     counts = []
     for b in bars:
         mu = base * rng.uniform(0.7, 1.3)
-        if b[14:16] == "01" or "-01A" in b:
+        if "-01A" in b:
             mu = np.where(np.arange(300) < 20, mu * 0.25, mu)
         y = rng.poisson(rng.gamma(6.0, mu / 6.0))
         counts += [(f"E{g:04d}.1", b, int(v)) for g, v in enumerate(y)]
