@@ -237,7 +237,7 @@ def embedding_links(vectors: DataFrame, config: IndexConfig = IndexConfig()) ->
 
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     reached = connected_components(found.where("b is not null").select("a", "b"))
-    info = counts.join(reached.select(F.col("node").alias("rep"), "component"), "rep", "full")
+    info = cut(counts.join(reached.select(F.col("node").alias("rep"), "component"), "rep", "full"), "index-info")
     rows = ids.join(member, "vec_id", "left").withColumn("rep", F.coalesce("rep", "vec_id"))
     rows = join_salted(rows, info, ["rep"], "vec_id")
     component = F.coalesce("component", "rep")
