@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortweave.llm.tokens import PieceMemo, byte_alphabet
 
-FRAGMENTS = 300_000
+FRAGMENTS = 100_000
+TEXTS = 512
 NEVER = np.int32(2**31 - 1)
 #: The pre-tokenizer's pattern that byte-level vocabularies of this family are built with (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,6 +66,8 @@ class PairRanks:
 class ForcedBoundaryBpe(PieceMemo):
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
+    room = 120_000
+
     def __init__(self, path: str):
         import regex
 
@@ -199,6 +203,12 @@ class ForcedBoundaryBpe(PieceMemo):
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def forced_boundary_bpe(path: str) -> ForcedBoundaryBpe:
+    """The encoder of this worker process; its memo serves the worker's later tasks too."""
+    return ForcedBoundaryBpe(path)
+
+
 def bpe_round_trip(docs: DataFrame, tokenizer: str, keep_ids: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encode and decode every whole text, row by row and without a shuffle.
 
@@ -210,19 +220,20 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, keep_ids: bool = False, keep
     schema = docs.select(*keep).schema.simpleString()[7:-1] + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
     def run(batches):
-        bpe = ForcedBoundaryBpe(tokenizer)
+        bpe = forced_boundary_bpe(tokenizer)
         decimal = bpe.decimal.__getitem__
         for batch in batches:
             n, ids_sha, text_sha, kept, texts = [], [], [], [], []
-            for raw in bpe.encode([t or "" for t in batch["__text"].tolist()]):
-                ids = np.frombuffer(raw, bpe.dtype).tolist()
-                back = bpe.decode(ids)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                if keep_ids:
-                    kept.append(ids)
-                    texts.append(back)
+            for at in range(0, len(batch), TEXTS):
+                for raw in bpe.encode([t or "" for t in batch["__text"].iloc[at : at + TEXTS].tolist()]):
+                    ids = np.frombuffer(raw, bpe.dtype).tolist()
+                    back = bpe.decode(ids)
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
+                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                    if keep_ids:
+                        kept.append(ids)
+                        texts.append(back)
             out = batch[list(keep)].assign(n_tokens=n, ids_sha256=ids_sha, decoded_sha256=text_sha)
             yield out.assign(ids=pd.Series(kept, dtype=object, index=out.index), decoded=pd.Series(texts, dtype=object, index=out.index)) if keep_ids else out
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.llm.storage import open_fs, shared_dir
-from cohortweave.llm.tokens import LibraryEncoder
+from cohortweave.llm.tokens import library_encoder
 
 MAGIC = b"CWTOKEF1"
 SAMPLE = 256
@@ -73,7 +73,7 @@ class EliasFano:
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches):
-        encoder = LibraryEncoder(tokenizer)
+        encoder = library_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         context = TaskContext.get()

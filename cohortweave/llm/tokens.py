@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
-MEMO = 500_000
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
@@ -28,6 +28,8 @@ class PieceMemo:
 
     special: list[str] = []
     pieces = True
+    #: Pieces in each of the two generations.
+    room = 500_000
 
     def __init__(self):
         self.young: dict[str, bytes] = {}
@@ -61,7 +63,7 @@ class PieceMemo:
                 young.update(zip(new[k : k + 20_000], self.learn(new[k : k + 20_000])))
             for i in missing:
                 values[i] = young[every[i]]
-            if len(young) > MEMO:
+            if len(young) > self.room:
                 self.old, self.young = young, {}
         out, at = [], 0
         for t, end in zip(texts, ends):
@@ -139,3 +141,9 @@ class LibraryEncoder(PieceMemo):
             return [self.whole(" " + p) for p in pieces]
         raw, w = ids.tobytes(), self.dtype.itemsize
         return [raw[w * a : w * b] for a, b in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """The encoder of this worker process; its memo serves the worker's later tasks too."""
+    return LibraryEncoder(path)
