@@ -19,7 +19,8 @@ from cohortweave.operators.components import connected_components
 from cohortweave.operators.network import degrees
 from cohortweave.scratch import cut, cut_counted
 
-ROUNDS = 400
+#: Rounds whose rows are read from their own files before they are put into one.
+FOLD = 32
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -29,12 +30,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def nearest_terminal(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """(node, dist, seed, via): each node's nearest terminal and the neighbour that leads to it.
 
-    Relaxes from the nodes that changed in the last round only; stops when none changes.
+    Relaxes from the nodes that changed in the last round only; stops when none changes. Without negative costs that is
+    so after as many rounds as the longest way has edges, which no limit holds back; negative costs are refused.
     """
-    both = cut(_both_ways(edges), "steiner-arcs")
+    seen = Observation()
+    both = cut(_both_ways(edges).observe(seen, F.count_if(F.col("cost") < 0).alias("n")), "steiner-arcs")
+    if seen.get["n"]:
+        raise ValueError("negative costs: distances do not settle")
     best = cut(terminals.select("node", F.lit(0.0).alias("dist"), F.col("node").alias("seed"), F.lit(None).cast("string").alias("via")), "steiner-near")
     front = best
-    for _ in range(ROUNDS):
+    while True:
         offer = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), "seed", F.col("a").alias("via"))
         offer = offer.groupBy("node").agg(F.min(F.struct("dist", "seed", "via")).alias("n"))
         known = best.select("node", F.struct("dist", "seed", "via").alias("o"))
@@ -44,7 +49,6 @@ def nearest_terminal(edges: DataFrame, terminals: DataFrame) -> DataFrame:
         front = merged.where("new").select("node", "k.dist", "k.seed", "k.via")
         if not seen.get["n"]:
             return best
-    raise RuntimeError("distances did not settle")
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -80,12 +84,14 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     picked = cut(spanning_forest(cut(closure, "steiner-closure")), "steiner-picked")
     steps = picked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     front = cut(picked.select(F.col("x").alias("node")).unionByName(picked.select(F.col("y").alias("node"))).distinct(), "steiner-walk")
-    walked = None
-    for _ in range(ROUNDS):
+    walked, rounds = None, 0
+    while True:
         hop, n, _ = cut_counted(front.join(near, "node").where("via is not null").select("node", "via").distinct(), "steiner-walk")
         if not n:
             break
-        walked = hop if walked is None else walked.unionByName(hop)
+        walked, rounds = hop if walked is None else walked.unionByName(hop), rounds + 1
+        if rounds % FOLD == 0:
+            walked = cut(walked.distinct(), "steiner-walked")
         front = hop.select(F.col("via").alias("node")).distinct()
     if walked is not None:
         steps = steps.unionByName(walked.select(F.least("node", "via").alias("a"), F.greatest("node", "via").alias("b")))
@@ -104,13 +110,14 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
 def prune_trees(tree: DataFrame, prizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of the best part of each tree that holds its root, the node of largest prize.
 
-    A child stays if what it and its kept children are worth exceeds the cost of its edge. Leaves are settled layer by layer.
+    A child stays if what it and its kept children are worth exceeds the cost of its edge. Leaves are settled layer by layer,
+    until only roots are left, however deep the tree is.
     """
     parts = connected_components(tree.select("a", "b"))
     worth = cut(parts.join(prizes.select("node", F.col("p")), "node", "left").select("node", "component", F.coalesce("p", F.lit(0.0)).alias("net")), "prune-worth")
     root = cut(worth.groupBy("component").agg(F.min(F.struct((-F.col("net")).alias("x"), "node")).alias("r")).select(F.col("r.node").alias("node"), F.lit(True).alias("root")), "prune-roots")
-    left, kept, net = tree, None, worth.select("node", "net")
-    for _ in range(ROUNDS):
+    left, kept, net, rounds = tree, None, worth.select("node", "net"), 0
+    while True:
         both = _both_ways(left)
         n = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"), F.first("cost").alias("cost")).where("n = 1")
         leaf = n.join(root, n["a"] == root["node"], "left_anti").join(net, F.col("a") == net["node"]).select("a", "b", "cost", (F.col("net") - F.col("cost")).alias("gain"))
@@ -118,7 +125,9 @@ def prune_trees(tree: DataFrame, prizes: DataFrame) -> tuple[DataFrame, DataFram
         if not count:
             break
         good = leaf.where("gain > 0")
-        kept = good.select("a", "b") if kept is None else kept.unionByName(good.select("a", "b"))
+        kept, rounds = good.select("a", "b") if kept is None else kept.unionByName(good.select("a", "b")), rounds + 1
+        if rounds % FOLD == 0:
+            kept = cut(kept, "prune-kept")
         more = good.groupBy(F.col("b").alias("node")).agg(F.sum("gain").alias("more"))
         net = cut(net.join(more, "node", "left").select("node", (F.col("net") + F.coalesce("more", F.lit(0.0))).alias("net")), "prune-net")
         done = leaf.select(F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi"))

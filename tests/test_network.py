@@ -3,6 +3,7 @@ import random
 import warnings
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortweave.operators import network, propagation, solver
 from cohortweave.operators.components import connected_components
@@ -170,3 +171,20 @@ def test_caches_bundles_and_sample_files(spark, tmp_path):
     assert [(r["sample"], r["beta"]) for r in rows] == [("S1", 0.5), ("S1", None)]
     tables.write_tsv(spark.range(2), str(tmp_path / "o"))
     assert tables.read_tsv(spark, str(tmp_path / "o"), "id long").count() == 2
+
+
+def test_deep_trees_are_pruned_whole(spark, monkeypatch):
+    """Chains longer than any number of rounds that the solver might stop at."""
+    monkeypatch.setattr(solver, "ROUNDS", 2, raising=False)
+    monkeypatch.setattr(solver, "FOLD", 2, raising=False)
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 0.1) for i in range(5)]
+    tree = spark.createDataFrame(chain, "a string, b string, cost double")
+    worth = spark.createDataFrame([(f"n{i:02d}", 5.0 if i == 0 else 0.3) for i in range(6)], "node string, p double")
+    edges, nodes = solver.prune_trees(tree, worth)
+    assert edges.count() == 5 and nodes.count() == 6
+    gap = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 0.1) for i in range(5)], "source string, target string, cost double")
+    ends = spark.createDataFrame([("n00", 5.0), ("n05", 4.0)], "node string, prize double")
+    edges, nodes = solver.solve_forest(gap, ends, omega=0.5, mu=0.0)
+    assert edges.count() == 5 and nodes.count() == 6
+    with pytest.raises(ValueError):
+        solver.nearest_terminal(tree.withColumn("cost", -F.col("cost")), worth)
