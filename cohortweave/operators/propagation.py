@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortweave.functions.ranks import pearson, rank_bins, windowed_rank
 from cohortweave.functions.scalars import sign, uniform
 from cohortweave.operators.network import nodes_of
+from cohortweave.scratch import cut
 
 
 def signed_matrix(edges: DataFrame, source: str = "source", target: str = "target", sign_: str = "sign", weight: str | None = None) -> DataFrame:
@@ -114,9 +115,13 @@ def empirical_p(observed: DataFrame, null: DataFrame, value: str, lower: bool =
 
 
 def null_scores(matrix: DataFrame, seeds: DataFrame, observed: DataFrame, runs: int, seed: int = 1, bins: int = 10, **options) -> DataFrame:
-    """Scores of `runs` degree-matched shuffles of the seeds, in one plan."""
-    moved = shuffle_seeds(seeds, degree_bins(matrix, bins), runs, seed)
-    return score_prediction(propagate(matrix, moved, **options), observed, seeds.select("node"))
+    """Scores of `runs` degree-matched shuffles of the seeds, all of them at once.
+
+    The inputs, the shuffles and the predictions are cut: the driver holds small plans instead of one with each of them many times.
+    """
+    matrix, seeds, observed = cut(matrix, "null-matrix"), cut(seeds, "null-seeds"), cut(observed, "null-observed")
+    moved = cut(shuffle_seeds(seeds, degree_bins(matrix, bins), runs, seed), "null-shuffles")
+    return score_prediction(cut(propagate(matrix, moved, **options), "null-predicted"), observed, seeds.select("node"))
 
 
 def star(matrix: DataFrame, seeds: DataFrame, observed: DataFrame, least: int = 5, top: int = 14) -> DataFrame:

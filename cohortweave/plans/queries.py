@@ -349,7 +349,7 @@ def empirical_p(spark, sf_dir):
 
 @query()
 def null_scores(spark, sf_dir):
-    return propagation.null_scores(_matrix(spark, sf_dir), roles.seeds(spark, sf_dir), roles.observed(spark, sf_dir), runs=20)
+    return propagation.null_scores(_matrix(spark, sf_dir), roles.seeds(spark, sf_dir), roles.observed(spark, sf_dir), runs=300)
 
 
 # activities and associations
@@ -520,10 +520,10 @@ def solve_forest(spark, sf_dir):
 @query()
 def robust_frequency(spark, sf_dir):
     edges, prizes = _forest_inputs(spark, sf_dir)
-    return solver.robust_forest(edges, prizes, omega=0.05, mu=0.0005, runs=10)[0]
+    return solver.robust_forest(edges, prizes, omega=0.05, mu=0.0005)[0]
 
 
 @query()
 def permutation_test(spark, sf_dir):
     edges, prizes = _forest_inputs(spark, sf_dir)
-    return solver.permutation_test(edges, prizes, omega=0.05, mu=0.0005, runs=10)
+    return solver.permutation_test(edges, prizes, omega=0.05, mu=0.0005)

@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import random
 import warnings
@@ -188,3 +189,32 @@ def test_deep_trees_are_pruned_whole(spark, monkeypatch):
     assert edges.count() == 5 and nodes.count() == 6
     with pytest.raises(ValueError):
         solver.nearest_terminal(tree.withColumn("cost", -F.col("cost")), worth)
+
+
+def test_resampling_queries_run_at_full_size(monkeypatch):
+    """The registered queries ask for the reference's numbers of runs."""
+    from cohortweave.plans import queries
+
+    asked = {}
+
+    def spy(module, name):
+        real = getattr(module, name)
+
+        def called(*args, **kwargs):
+            bound = inspect.signature(real).bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked[name] = bound.arguments["runs"]
+            raise InterruptedError
+
+        monkeypatch.setattr(module, name, called)
+
+    for module, name in ((solver, "robust_forest"), (solver, "permutation_test"), (propagation, "null_scores")):
+        spy(module, name)
+    for f in ("_forest_inputs", "_matrix"):
+        monkeypatch.setattr(queries, f, lambda *a: (None, None))
+    for f in ("seeds", "observed"):
+        monkeypatch.setattr(queries.roles, f, lambda *a: None)
+    for name in ("robust_frequency", "permutation_test", "null_scores"):
+        with pytest.raises(InterruptedError):
+            queries.QUERIES[name](None, "")
+    assert asked == {"robust_forest": 100, "permutation_test": 200, "null_scores": 300}
