@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
 Patterns give the base spans. A conditional random field over word-shape features, trained from a small labelled
-table, reads the words around every digit, @ and spelled-out dot, and adds spans that the
+table, reads the words around every digit, @ and spelled-out at or dot, and adds spans that the
 patterns miss (a phone number without its plus, a spelled address). Training is exact forward-backward
 in numpy; decoding is Viterbi over padded batches of word windows.
 """
@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-_TRIGGER = re.compile(r"[0-9@]|\bdot\b")
+_BASE = re.compile(r"[0-9@]")
+#: Every span that _plausible takes holds one of these.
+_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.IGNORECASE)
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -25,6 +27,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 6
+#: Words that a padded batch may hold, unless a single window has more.
+CELLS = 1 << 17
 
 Span = tuple[str, int, int]
 
@@ -73,7 +77,7 @@ def _ips(text: str) -> list[Span]:
 
 def base_spans(text: str | None) -> list[Span]:
     """Spans of the four patterns, per kind as listed and then by start; code points, end exclusive."""
-    if not text or not _TRIGGER.search(text):
+    if not text or not _BASE.search(text):
         return []
     out = _emails(text) + _ips(text)
     for m in _CARD.finditer(text):
@@ -143,6 +147,8 @@ LABELLED = (
 def features(word: str) -> tuple[str, ...]:
     """Shape features of one word: its character classes, run lengths and a few marks."""
     core = word.strip(",.;:!?\"'")
+    spelled = core.lower() in ("at", "dot", "(at)", "(dot)")
+    core = core.lower() if spelled else core
     shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", core)))
     shape = "".join(c if c.isascii() else "u" for c in shape)
     short = re.sub(r"(.)\1+", r"\1", shape)
@@ -156,7 +162,7 @@ def features(word: str) -> tuple[str, ...]:
         out.append("plain" if shape.isalpha() else "mark")
     if "@" in core:
         out.append("at")
-    if core in ("at", "dot", "(at)", "(dot)"):
+    if spelled:
         out.append(f"w={core}")
     if core[:1] in ("+", "("):
         out.append(f"p={core[0]}")
@@ -241,10 +247,14 @@ class Crf:
         out: list[list[str]] = []
         order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
         found: dict[int, list[str]] = {}
-        for at in range(0, len(order), 512):
-            some = [i for i in order[at : at + 512] if windows[i]]
-            if not some:
-                continue
+        batches: list[list[int]] = []
+        for i in order:
+            if windows[i]:
+                # lengths ascend, so this window is the longest of its batch
+                if not batches or len(batches[-1]) == 512 or (len(batches[-1]) + 1) * len(windows[i]) > CELLS:
+                    batches.append([])
+                batches[-1].append(i)
+        for some in batches:
             longest, k = max(len(windows[i]) for i in some), len(self.labels)
             lens = np.array([len(windows[i]) for i in some])
             e = np.zeros((longest, len(some), k))
@@ -273,7 +283,7 @@ class Crf:
 def _plausible(kind: str, text: str) -> bool:
     n = len(_digits(text))
     if kind == "email":
-        return ("@" in text or re.search(r"\bat\b", text) is not None) and re.search(r"\.|\bdot\b", text) is not None
+        return ("@" in text or re.search(r"\bat\b", text, re.IGNORECASE) is not None) and re.search(r"\.|\bdot\b", text, re.IGNORECASE) is not None
     if kind == "ip":
         return text.count(".") == 3 and n >= 4 and all(p.isdigit() and int(p) <= 255 for p in text.split("."))
     if kind == "card":
@@ -302,9 +312,8 @@ def add_spans(crf: Crf, texts: list[str | None], base: list[list[Span]]) -> list
                     if i < len(words) and inside[i]:
                         start = i if start is None else start
                     elif start is not None:
-                        for k in range(start, i, 256):
-                            windows.append([w[0] for w in words[k : min(i, k + 256)]])
-                            where.append((d, words[k : min(i, k + 256)]))
+                        windows.append([w[0] for w in words[start:i]])
+                        where.append((d, words[start:i]))
                         start = None
             at += len(line) + 1
     added: list[list[Span]] = [[] for _ in texts]

@@ -133,3 +133,18 @@ def test_every_split_owns_the_records_that_start_in_it():
     for step in (1, 7, 100, 5000, len(raw)):
         got = [x["page_id"] for a in range(0, len(raw), step) for _, x in warc.records(warc.Ranges(f, len(raw), 512), a, min(a + step, len(raw)))]
         assert got == [*range(12), 99]
+
+
+def test_field_reads_long_runs_whole_and_spelled_forms(monkeypatch):
+    crf = pii.Crf().train(pii.LABELLED)
+
+    def found(texts):
+        added = pii.add_spans(crf, texts, [pii.base_spans(t) for t in texts])
+        return [[t[a:b] for _, a, b in spans] for t, spans in zip(texts, added)]
+
+    long = [" ".join(["7"] * n + ["(632)", "555-4827"] + ["7"] * 5) for n in (254, 255, 256, 511)]
+    assert found(long) == [["(632) 555-4827"]] * 4
+    assert found(["write to bob (at) example.com please", "contact ida AT example DOT org today"]) == [["bob (at) example.com"], ["ida AT example DOT org"]]
+    assert found(["look at the list. We met at noon", "AT THE END. DOT"]) == [[], []]
+    monkeypatch.setattr(pii, "CELLS", 300, raising=False)
+    assert found(long) == [["(632) 555-4827"]] * 4
