@@ -97,3 +97,18 @@ def test_embeddings_match_brute_force(spark):
             comp = components(u, linked)
             assert all(got[i]["component_id"] == comp[i] and got[i]["kept"] == (comp[i] == i) for i in u)
     assert embedding_links(df.limit(0)).count() == 0
+
+
+def repeated_ids(spark):
+    words = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    rows = [(1, words[0]), (2, words[0] + " end"), (2, words[1]), (2, None), (3, words[2]), (3, words[2]), (4, ""), (4, ""), (5, None), (1, words[1] + " end"), (1, "")]
+    return words, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_empty_texts_of_a_linked_doc_id(spark):
+    """doc_ids 1 and 2 have linked texts and empty ones."""
+    from cohortweave.llm.jaccard_join import jaccard_components
+
+    _, docs = repeated_ids(spark)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()]
+    assert len(got) == 11 and {(i, c) for i, _, c in got} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
