@@ -35,15 +35,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; a null doc_id is in no group and stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays; a null doc_id is in no group and stays.
+
+    Where rows share a doc_id, each goes by its own text: it is in the groups that this text is linked to, and rows of
+    the same doc_id and text are one. Of rows that are linked and share a doc_id, the one with the smallest hash stays.
+    """
     _bounded(spark)
-    found = cut(jaccard_components(docs).select("doc_id", "component_id"), "pipeline-components")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        found = cut(jaccard_components(docs).select("doc_id", "component_id"), "pipeline-components")
+        return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    rows = cut(known.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    empty = F.col("n_shingles") == 0
+    own = rows.select("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns), "__row").alias("first"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+    group = own.join(found, "__row").groupBy(F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("digest")))
+    stay = cut(group.agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row")), "pipeline-stay")
+    return rows.join(stay, "__row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,12 @@ def test_stages(spark):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {i: n for i, n in copies.items() if n} and mixed.columns == docs.columns
     assert stages["BPE"](spark, mixed, DATA).count() == mixed.count() > 0
+
+
+def test_rows_that_share_a_doc_id_go_by_their_own_text(spark):
+    words = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcd"]
+    rows = [(1, words[0]), (2, words[0] + " end"), (2, words[1]), (3, words[2]), (3, words[2]), (3, words[3]), (4, ""), (4, ""), (5, None), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in dict(pipeline.STAGES)["n-gram Jaccard join"](spark, docs, DATA).collect()]
+    want = [(1, words[0]), (2, words[1]), (3, words[2]), (3, words[3]), (4, ""), (5, None), (None, words[0])]
+    assert sorted(got, key=str) == sorted(want, key=str)
