@@ -1,12 +1,52 @@
-"""Shared scratch folders and cut points for lineage."""
+"""Shared scratch folders, cut points for lineage, and scopes that delete what a job has used up."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+_current: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """Tables that cut() writes within `with Scope() as scope` are deleted at its end, but for those given to keep().
+
+    A kept table belongs to the enclosing scope, if there is one. What the block returns may read kept tables only.
+    """
+
+    def __enter__(self) -> Scope:
+        self.made: list[tuple[DataFrame, str]] = []
+        self.kept: list[DataFrame] = []
+        self._token = _current.set(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more before the block ends."""
+        gone = [x for x in self.made if any(x[0] is t for t in tables)]
+        self.made = [x for x in self.made if not any(x is g for g in gone)]
+        for df, path in gone:
+            remove(df.sparkSession, path)
+
+    def __exit__(self, *error) -> None:
+        _current.reset(self._token)
+        outer = _current.get()
+        if outer is not None and error[0] is None:
+            outer.made += [x for x in self.made if any(x[0] is k for k in self.kept)]
+        self.free(*[df for df, _ in self.made if error[0] is not None or not any(df is k for k in self.kept)])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system its URI names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir, the folder that driver and executors share.
@@ -27,7 +67,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if (scope := _current.get()) is not None:
+        scope.made.append((out, path))
+    return out
 
 
 def cut_counted(df: DataFrame, name: str, mark: tuple[str, ...] = ()) -> tuple[DataFrame, int, object]:
