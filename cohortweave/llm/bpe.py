@@ -17,13 +17,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from cohortweave.llm.rows import map_texts
 from cohortweave.llm.tokens import PieceMemo, byte_alphabet
 
 FRAGMENTS = 100_000
-TEXTS = 512
 NEVER = np.int32(2**31 - 1)
 #: The pre-tokenizer's pattern that byte-level vocabularies of this family are built with (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -214,27 +213,29 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, keep_ids: bool = False, keep
 
     Adds n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
     decoded text) and, with keep_ids, ids and decoded. A null or empty text has no ids; both digests
-    are then those of the empty string. Rows are never merged: repeated rows give repeated results,
-    an empty table an empty one. Columns other than text and those in keep are ignored.
+    are then those of the empty string. The columns in keep, null ids among them, pass through untouched. Rows are never
+    merged: repeated rows give repeated results, an empty table an empty one. A text may have any length. Columns other
+    than text and those in keep are ignored; those in keep must not have the names of the added ones.
     """
-    schema = docs.select(*keep).schema.simpleString()[7:-1] + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
-    def run(batches):
+    def encoder():
         bpe = forced_boundary_bpe(tokenizer)
         decimal = bpe.decimal.__getitem__
-        for batch in batches:
-            n, ids_sha, text_sha, kept, texts = [], [], [], [], []
-            for at in range(0, len(batch), TEXTS):
-                for raw in bpe.encode([t or "" for t in batch["__text"].iloc[at : at + TEXTS].tolist()]):
-                    ids = np.frombuffer(raw, bpe.dtype).tolist()
-                    back = bpe.decode(ids)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
-                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                    if keep_ids:
-                        kept.append(ids)
-                        texts.append(back)
-            out = batch[list(keep)].assign(n_tokens=n, ids_sha256=ids_sha, decoded_sha256=text_sha)
-            yield out.assign(ids=pd.Series(kept, dtype=object, index=out.index), decoded=pd.Series(texts, dtype=object, index=out.index)) if keep_ids else out
-
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+
+        def run(texts: list[str | None]) -> tuple:
+            n, ids_sha, text_sha, kept, decoded = [], [], [], [], []
+            for raw in bpe.encode([t or "" for t in texts]):
+                ids = np.frombuffer(raw, bpe.dtype).tolist()
+                back = bpe.decode(ids)
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
+                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                if keep_ids:
+                    kept.append(ids)
+                    decoded.append(back)
+            return (n, ids_sha, text_sha, kept, decoded)[: 5 if keep_ids else 3]
+
+        return run
+
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    return map_texts(docs, encoder, fields, keep)

@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.llm.storage import cut
+from cohortweave.llm.rows import map_texts
+from cohortweave.llm.storage import Scope, cut
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDISH = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -35,6 +36,11 @@ class LanguageConfig:
     reject_slack: float = 1.25
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L); other numerals than digits, such as fractions, are none."""
+    return any(m.group().isalpha() for m in _WORDISH.finditer(text))
+
+
 def ngram_counts(text: str, buckets: int) -> np.ndarray:
     """Counts of hashed byte bigrams and trigrams of the lower-cased text; anything but a letter is a space."""
     b = _FOLD[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
@@ -102,7 +108,7 @@ def fit(docs: DataFrame, config: LanguageConfig) -> LanguageModel | None:
 
     def vectors(batches):
         for batch in batches:
-            some = [(k, t) for k, t in zip(batch["lang"], batch["text"]) if _LETTER.search(t)]
+            some = [(k, t) for k, t in zip(batch["lang"], batch["text"]) if has_letter(t)]
             yield pd.DataFrame({"lang": [k for k, _ in some], "tf": [np.log1p(ngram_counts(t, config.buckets)).astype(np.float32).tobytes() for _, t in some]})
 
     tf = cut(sample.select("lang", "text").mapInPandas(vectors, "lang string, tf binary"), "language-fit")
@@ -142,27 +148,28 @@ def fit(docs: DataFrame, config: LanguageConfig) -> LanguageModel | None:
 def language_id(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (0 to 1) and rejected.
 
-    A null text, or one without a letter, is `und` with score 0. A rejected text keeps the nearest language with half its
-    cosine as score. A null doc_id is not held out and not learned from; repeated rows get equal results; an
-    empty table gives an empty result; without anything to learn from all rows are `und`. Other columns are ignored.
+    A null text, or one without a letter, is `und` with score 0; numerals of any script are no letters. A rejected text
+    keeps the nearest language with half its cosine as score; of equally near centroids the first by language wins. A
+    null doc_id is not held out and not learned from; repeated rows get equal results; an empty table gives an empty
+    result; without anything to learn from all rows are `und`. A text may have any length. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = fit(docs, config)
-
-    def predict(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                texts = part["text"].tolist()
-                lang, score, far = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-                known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
-                if known:
-                    names, cos, rejected = model.predict([texts[i] for i in known])
-                    for i, name in zip(known, names):
-                        lang[i] = name
-                    score[known] = np.clip(np.where(rejected, cos / 2, cos), 0, 1)
-                    far[known] = rejected
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": lang, "score": score, "rejected": far})
+    with Scope():
+        model = fit(docs, config)
+
+    def predictor():
+        def predict(texts: list[str | None]) -> tuple:
+            lang, score, far = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            known = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
+            if known:
+                names, cos, rejected = model.predict([texts[i] for i in known])
+                for i, name in zip(known, names):
+                    lang[i] = name
+                score[known] = np.clip(np.where(rejected, cos / 2, cos), 0, 1)
+                far[known] = rejected
+            return lang, score, far
+
+        return predict
 
     held = F.coalesce(_crc(config.held_out_of) == config.held_out, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double, rejected boolean").select("doc_id", held, "lang_pred", "score", "rejected")
+    return map_texts(docs, predictor, "lang_pred string, score double, rejected boolean").select("doc_id", held, "lang_pred", "score", "rejected")

@@ -2,10 +2,13 @@
 
 A source takes each document floor(f) times, f being its target over its size, and once more with
 inclusion probability f - floor(f). The flight phase moves those probabilities along the null-space of two
-constraints, tokens and documents, three documents at a time, so both totals stay what they were until at most
-two documents of a block are undecided. Blocks of a source fly apart from one another; the undecided of many blocks, and a few more, meet in
-the next round. A source's last block holds a dozen documents back and lands them with the last two where its
-token total is least off.
+constraints, tokens and documents, so both totals stay what they were until a few documents of a block are undecided.
+Blocks of a source fly apart from one another, three documents at a time; the undecided of many blocks, and a few more,
+meet in the next round. A source's last block flies its largest documents first, each against all that are undecided,
+until a dozen small ones are left; they land where the token total is least off.
+
+Only a narrow table flies: rows that are equal in what identifies them are counted, and what a count takes is shared
+among them. Texts are joined to their copies once.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortweave.llm.storage import cut
+from cohortweave.functions.ranks import counted_values
+from cohortweave.llm.storage import Scope, cut, join_salted
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -25,6 +29,8 @@ MOST = 3.0
 BLOCK = 1500
 #: Documents that a source's last block keeps for the landing; other blocks pass half as many on.
 HELD = 12
+#: Equal rows that are dealt out of their count at once.
+DEALT = 10_000
 _TINY = 1e-9
 
 
@@ -32,6 +38,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
     """Words each source should give: sources by code point, null last, with repeating weights share the whole.
 
     A target stops at `most` times its source; what it leaves is shared by weight among the others, until none is above.
+    source_targets does the same for any number of sources.
     """
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -82,6 +89,38 @@ def flight(p: list[float], size: list[int], rng: np.random.Generator) -> list[fl
     return p
 
 
+def fly_largest(p: list[float], size: list[int], rng: np.random.Generator, left: int) -> list[float]:
+    """Decide documents from the largest on until `left` are undecided, keeping sum(p) and sum(p * size).
+
+    A step moves one document and, by the projection onto the null-space of the constraints, all undecided ones a little
+    against it, so that a huge document is settled while there are many to level it.
+    """
+    x, s = np.array(p, np.float64), np.array(size, np.float64)
+    s /= max(1.0, s.max(initial=0.0))
+    live = np.flatnonzero((x > 0) & (x < 1))
+    live = live[np.argsort(-s[live], kind="stable")]
+    while len(live) > left:
+        a = np.stack([np.ones(len(live)), s[live]])
+        inverse = np.linalg.pinv(a @ a.T, rcond=1e-12)
+        for first in range(len(live)):
+            u = -a.T @ (inverse @ a[:, first])
+            u[first] += 1
+            if u[first] > 1e-9:
+                break
+        else:
+            break
+        u[np.abs(u) < 1e-12] = 0.0
+        q = x[live]
+        room = lambda v: np.min(np.where(v > 0, (1 - q) / np.maximum(v, 1e-300), np.where(v < 0, q / np.maximum(-v, 1e-300), np.inf)))
+        up, down = room(u), room(-u)
+        q = q + (up if rng.random() < down / (up + down) else -down) * u
+        q[q < _TINY] = 0.0
+        q[q > 1 - _TINY] = 1.0
+        x[live] = q
+        live = live[(q > 0) & (q < 1)]
+    return x.tolist()
+
+
 def land(p: list[float], size: list[int]) -> list[float]:
     """Decide the last few so that the token total is least off, then the document total; fewer taken on a tie."""
     at = [i for i, x in enumerate(p) if 0 < x < 1]
@@ -96,7 +135,7 @@ def land(p: list[float], size: list[int]) -> list[float]:
 
 
 def fly(p: list[float], size: list[int], rng: np.random.Generator, held: int) -> list[float]:
-    """Flight with a few documents of spread-out sizes held back, which can later level what the flight's last two leave."""
+    """Flight with a few documents of spread-out sizes held back for the next round."""
     at = [i for i, x in enumerate(p) if 0 < x < 1]
     back = {at[int(k)] for k in np.linspace(0, len(at) - 1, held)} if len(at) > held + 2 else set(at)
     rest = [i for i in at if i not in back]
@@ -108,52 +147,109 @@ def fly(p: list[float], size: list[int], rng: np.random.Generator, held: int) ->
 def _flights(seed: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
-        group = group.sort_values(["size", "__order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        key = f"{first['__source']!r}/{first['__block']}/{first['__level']}/{seed}"
-        size, last = group["size"].tolist(), bool(first["__last"])
-        p = fly(group["p"].tolist(), size, np.random.default_rng(zlib.crc32(key.encode())), HELD if last else HELD // 2)
-        group["p"] = land(p, size) if last else p
+        group = group.sort_values(["size", "__order"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        rng = np.random.default_rng(zlib.crc32(f"{first['__source']}/{first['__block']}/{first['__level']}/{seed}".encode()))
+        p, size = group["p"].tolist(), group["size"].tolist()
+        group["p"] = land(fly_largest(p, size, rng, HELD), size) if first["__blocks"] == 1 else fly(p, size, rng, HELD // 2)
         return group
 
     return run
 
 
-def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = 8, payload: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken, and the payload columns.
+def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """Per source of (source, size, n): source_size, docs and target. Sources are ranked and summed in Spark; the driver sees one row a round.
 
-    The size is the number of words of the whole text, 0 for a null one. A null source is a source of its own, the last. A null
-    doc_id is a document like others, repeated rows are documents of their own, and an empty table gives an empty
-    result. Draws depend on seed, source and doc_id only, so reruns agree. Sources are summed
-    to one row each before anything is planned; documents stay in Spark.
+    All share one level, words per weight; a source is full where its share would exceed `most` times its size. The level
+    only rises as full sources leave words to the others, so it settles when no more become full.
     """
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", F.col("source").alias("__source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *[F.col(c).alias(f"__p_{c}") for c in payload])
-    sized = sized if payload else cut(sized, "mix-sizes")
-    sources = {r["__source"]: (int(r["s"]), int(r["n"])) for r in sized.groupBy("__source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
-    goal = targets({k: s for k, (s, _) in sources.items()}, weights, most)
-    plan = []
-    for k, (s, n) in sources.items():
-        f = goal[k] / s if s else 0.0
-        whole = min(int(most), math.floor(f + _TINY))
-        plan.append((k, s, goal[k], whole, min(1.0, max(0.0, f - whole)) if f - whole > _TINY else 0.0, max(1, math.ceil(n / BLOCK))))
-    plan_df = spark.createDataFrame(plan, "__k string, source_size long, target double, whole int, p double, __blocks long")
-    rows = sized.join(F.broadcast(plan_df) if len(plan) < 100_000 else plan_df, F.col("__source").eqNullSafe(F.col("__k"))).drop("__k")
-    rows = rows.withColumn("__order", F.xxhash64("doc_id", "size", F.lit(seed)))
-    done, blocks, level = None, {k: max(1, math.ceil(n / BLOCK)) for k, (_, n) in sources.items()}, 0
+    sums = cut(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").cast("long").alias("docs")), "mix-sources")
+    known = counted_values(sums, ["source"]).select("source", F.col("n_before").alias("at")).unionByName(
+        sums.where("source is null").select("source", F.lit(sums.where("source is not null").count()).cast("long").alias("at")))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    ranked = cut(sums.join(known, sums["source"].eqNullSafe(known["source"])).select(sums["source"], "source_size", "docs", weight.alias("weight")), "mix-weights")
+    left, total, full = *ranked.agg(F.sum("source_size"), F.sum("weight")).first(), 0
+    if not left:
+        return ranked.select("source", "source_size", "docs", F.lit(0.0).alias("target"))
+    words, share = left, lambda: F.lit(float(left)) * F.col("weight") / F.lit(total)
     while True:
-        some = rows.withColumn("__block", F.pmod(F.xxhash64("__order", F.lit(level)), F.col("__blocks"))).withColumn("__level", F.lit(level)).withColumn("__last", F.col("__blocks") == 1)
-        flown = cut(some.groupBy("__source", "__block").applyInPandas(_flights(seed), some.schema), f"mix-{level}")
-        settled = flown.where("p = 0 or p = 1")
-        done = settled if done is None else done.unionByName(settled)
-        if max(blocks.values(), default=1) == 1:
+        is_full = share() > most * F.col("source_size")
+        n, held, weighs = ranked.agg(F.count_if(is_full), F.sum(F.when(is_full, most * F.col("source_size"))), F.sum(F.when(~is_full, F.col("weight")))).first()
+        if n == full or not weighs:
             break
-        blocks = {k: max(1, math.ceil((HELD // 2 + 2) * b / BLOCK)) if b > 1 else 1 for k, b in blocks.items()}
-        level += 1
-        again = spark.createDataFrame(list(blocks.items()), "__k string, __blocks long")
-        rows = flown.where("p > 0 and p < 1").drop("__blocks", "__block", "__level", "__last")
-        rows = rows.join(F.broadcast(again) if len(blocks) < 100_000 else again, F.col("__source").eqNullSafe(F.col("__k"))).drop("__k")
-    copies = F.col("whole") + F.col("p").cast("int")
-    return done.select(
-        "doc_id", F.col("__source").alias("source"), "size", "source_size", "target", copies.alias("copies"),
-        (F.col("size") * copies).cast("long").alias("taken"), *[F.col(f"__p_{c}").alias(c) for c in payload if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken")],
-    )
+        full, left, total = n, words - (held or 0), weighs
+    return ranked.select("source", "source_size", "docs", F.when(is_full, most * F.col("source_size")).otherwise(share()).alias("target"))
+
+
+def _copies(counted: DataFrame, key: list[str], weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
+    """A row for each document of counted (key, source, size, n: so many alike): key, source, size, source_size, target, copies.
+
+    The key may hold strings, or numbers that are never null: it passes through pandas.
+    """
+    with Scope() as scope:
+        plan = cut(source_targets(counted, weights, most), "mix-plan")
+        largest = plan.agg(F.max("docs")).first()[0]
+        name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+        f = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+        whole = F.least(F.lit(int(most)), F.floor(f + _TINY)).cast("int")
+        part = F.when(f - whole > _TINY, F.least(F.lit(1.0), F.greatest(F.lit(0.0), f - whole))).otherwise(F.lit(0.0))
+        plan = plan.select(name.alias("__source"), "source_size", "target", whole.alias("whole"), part.alias("p"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long").alias("__blocks"))
+        chunk = counted.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DEALT).cast("long"))))
+        each = chunk.withColumn("__at", F.explode(F.sequence(F.col("__at"), F.least(F.col("__at") + (DEALT - 1), F.col("n") - 1))))
+        rows = each.select(*key, "source", name.alias("__source"), "size", F.xxhash64(*key, "size", "__at", F.lit(seed)).alias("__order"))
+        rows = join_salted(rows, plan, ["__source"], "__order", "inner")
+        done, level, most_blocks = None, 0, max(1, math.ceil((largest or 0) / BLOCK))
+        while True:
+            some = rows.withColumn("__block", F.pmod(F.xxhash64("__order", F.lit(level)), F.col("__blocks"))).withColumn("__level", F.lit(level))
+            flown = scope.keep(cut(some.groupBy("__source", "__block").applyInPandas(_flights(seed), some.schema), f"mix-{level}"))
+            settled = flown.where("p = 0 or p = 1")
+            done = settled if done is None else done.unionByName(settled)
+            if most_blocks == 1:
+                break
+            again = lambda b: max(1, math.ceil((HELD // 2 + 2) * b / BLOCK))
+            most_blocks, level = again(most_blocks), level + 1
+            fewer = F.when(F.col("__blocks") > 1, F.greatest(F.lit(1), F.ceil((HELD // 2 + 2) * F.col("__blocks") / BLOCK))).otherwise(F.lit(1)).cast("long")
+            rows = flown.where("p > 0 and p < 1").withColumn("__blocks", fewer).drop("__block", "__level")
+    return done.select(*key, "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+
+
+def _sizes(docs: DataFrame, *columns: Column) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(*columns, F.col("source").cast("string").alias("source"), size.alias("size"))
+
+
+def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = 8) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken.
+
+    The size is the number of words of the whole text, 0 for a null one. A null source is a source of its own, the last. A null
+    doc_id is a document like others, repeated rows are documents of their own, and an empty table gives an empty
+    result. Ties in size are ordered by a hash, and draws depend on seed, source, doc_id and size only, so reruns agree. A
+    text may have any length, and a source any share of the rows. Other columns are ignored.
+    """
+    with Scope() as scope:
+        sized = _sizes(docs, F.col("doc_id").cast("long").cast("string").alias("doc_id"))
+        counted = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counted")
+        out = scope.keep(cut(_copies(counted, ["doc_id"], weights, most, seed), "mix-copies"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = 8) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with its own columns, whatever their names.
+
+    Rows are told apart by two hashes of all their columns, which fly without the texts; rows that are equal in every
+    column share what their count takes. Texts are shuffled once, to be joined to their copies. Nulls in any column,
+    empty texts and an empty table are as in cube_mix.
+    """
+    a, b = F.xxhash64(*docs.columns).alias("__a"), F.xxhash64(F.lit(seed), *docs.columns).alias("__b")
+    with Scope() as scope:
+        counted = cut(_sizes(docs, a, b).groupBy("__a", "__b", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counted")
+        flown = _copies(counted, ["__a", "__b"], weights, most, seed).groupBy("__a", "__b").agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__alike"))
+        copies = scope.keep(cut(flown, "mix-copies"))
+        alike = scope.keep(cut(copies.where("__alike > 1").select("__a", "__b", F.col("__copies").alias("__of_all")), "mix-alike"))
+    rows, own = docs.select("*", a, b), copies.where("__alike = 1 and __copies > 0").select("__a", "__b", "__copies")
+    out = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    if alike.isEmpty():
+        return out(rows.join(own, ["__a", "__b"]))
+    # equal rows meet before the shuffle, however many they are
+    marked = join_salted(rows.withColumn("__row", F.monotonically_increasing_id()), alike, ["__a", "__b"], "__row").drop("__row")
+    one = marked.where("__of_all > 0").groupBy("__a", "__b").agg(F.first("__of_all").alias("__copies"), *[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return out(marked.where("__of_all is null").drop("__of_all").join(own, ["__a", "__b"])).unionByName(out(one))

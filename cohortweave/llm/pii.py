@@ -13,8 +13,9 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from cohortweave.llm.rows import map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _BASE = re.compile(r"[0-9@]")
@@ -355,46 +356,51 @@ def redact(text: str, spans: list[Span]) -> str:
 def pii_spans(docs: DataFrame, labelled: tuple[str, ...] = LABELLED, with_redacted: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: counts of base spans by kind, base_sha256, spans (base and added) and, if asked, the redacted text.
 
-    A null text is an empty one with no spans, and stays null when redacted. Rows are independent: repeated rows
-    give repeated results, and an empty table an empty one. Columns other than text and keep are ignored.
+    A null text is an empty one with no spans, and stays null when redacted. Rows are independent: the columns in keep,
+    null ids among them, pass through untouched, repeated rows give repeated results, and an empty table an empty one. A
+    text may have any length. Of label sequences that score alike the field takes the one whose labels come first in
+    Crf.labels, from the last word back. Columns other than text and keep are ignored.
     """
     crf = Crf().train(labelled)
-    schema = docs.select(*keep).schema.simpleString()[7:-1] + "".join(f", n_{k} long" for k in KINDS) + ", base_sha256 string, spans string" + (", redacted string" if with_redacted else "")
 
-    def run(batches):
-        for batch in batches:
-            texts = batch["__text"].tolist()
+    def finder():
+        def run(texts: list[str | None]) -> tuple:
             base = [base_spans(t) for t in texts]
-            more = add_spans(crf, texts, base)
-            out = batch[list(keep)].copy()
-            for k in KINDS:
-                out[f"n_{k}"] = [sum(s[0] == k for s in b) for b in base]
-            out["base_sha256"] = [hashlib.sha256(join_spans(b).encode()).hexdigest() for b in base]
-            out["spans"] = [join_spans(b + m) for b, m in zip(base, more)]
-            if with_redacted:
-                out["redacted"] = [t if t is None else redact(t, b + m) for t, b, m in zip(texts, base, more)]
-            yield out
+            spans = [b + m for b, m in zip(base, add_spans(crf, texts, base))]
+            counts = [[sum(s[0] == k for s in b) for b in base] for k in KINDS]
+            digest = [hashlib.sha256(join_spans(b).encode()).hexdigest() for b in base]
+            out = (*counts, digest, [join_spans(s) for s in spans])
+            return (*out, [t if t is None else redact(t, s) for t, s in zip(texts, spans)]) if with_redacted else out
+
+        return run
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+    fields = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string" + (", redacted string" if with_redacted else "")
+    return map_texts(docs, finder, fields, keep)
 
 
 def redact_documents(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
-    """docs with every span, base or added, replaced by its kind; n_chars, where present, follows a changed text."""
+    """docs with every span, base or added, replaced by its kind; n_chars, where present, follows a changed text.
+
+    Null texts stay null and empty ones empty; rows are independent, so repeated rows and null ids need no care; every
+    other column, whatever its name, stays as it is; an empty table gives an empty one; a text may have any length.
+    """
     crf = Crf().train(labelled)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            base = [base_spans(t) for t in texts]
-            spans = [b + m for b, m in zip(base, add_spans(crf, texts, base))]
-            new = [redact(t, s) if s else t for t, s in zip(texts, spans)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(new, columns[at].type)
-            if chars is not None:
-                columns[chars] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, columns[chars].to_pylist())], columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for whole in batches:
+            for a, b in slices(whole.column(at)):
+                batch = whole.slice(a, b - a)
+                texts = batch.column(at).to_pylist()
+                base = [base_spans(t) for t in texts]
+                spans = [b + m for b, m in zip(base, add_spans(crf, texts, base))]
+                new = [redact(t, s) if s else t for t, s in zip(texts, spans)]
+                columns = list(batch.columns)
+                columns[at] = pa.array(new, columns[at].type)
+                if chars is not None:
+                    columns[chars] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, columns[chars].to_pylist())], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,6 @@
 """Quality scores: random Fourier features, ridge by partition-summed normal equations, isotonic calibration.
 
-Statistics of each document are computed once and cut to a table. A Gaussian kernel over
+Statistics of the labelled documents are cut to a table. A Gaussian kernel over
 the standardised statistics is approximated by cosines of random projections; each partition sums
 its part of the normal equations, and the driver adds and solves those fixed-size sums. Ridge
 scores are mapped to probabilities by isotonic regression on rows that the fit has not seen.
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortweave.llm.quality_rules import MEASURES, measure
-from cohortweave.llm.storage import cut
+from cohortweave.llm.rows import map_texts, slices
+from cohortweave.llm.storage import Scope, cut, small_side
 from cohortweave.llm.words import _WS
 
 STATS = ("words", "chars_per_word", "symbols", "duplicate_lines", "repeated", "line_words", "upper", "bangs", "stutter", "digits", "marks", "non_ascii", "entropy", "spaces")
@@ -64,10 +65,15 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _stats(batches):
-    for batch in batches:
-        rows = np.array([statistics(t) for t in batch["text"].tolist()], np.float64).reshape(len(batch), len(STATS))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], **{f"f{i}": rows[:, i] for i in range(len(STATS))}})
+_NAMES = tuple(f"f{i}" for i in range(len(STATS)))
+
+
+def _rows(texts: list[str | None]) -> np.ndarray:
+    return np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(STATS))
+
+
+def _stats():
+    return lambda texts: tuple(_rows(texts).T)
 
 
 def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -110,13 +116,14 @@ class QualityModel:
 
 
 def _matrix(batch: pd.DataFrame) -> np.ndarray:
-    return batch[[f"f{i}" for i in range(len(STATS))]].to_numpy(np.float64)
+    return batch[list(_NAMES)].to_numpy(np.float64)
 
 
-def fit(stats: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityModel | None:
     """Fit on the labelled rows whose crc32(doc_id) mod held_out_of is not 0; None when there are none.
 
-    Remainder 1 calibrates, the others fit. Several labels of one doc_id are averaged.
+    Remainder 1 calibrates, the others fit. Several labels of one doc_id are averaged. Statistics are taken of the
+    documents that are fitted on, and of no others.
     """
     crc = F.crc32(F.col("doc_id").cast("string")) % config.held_out_of
     y = labels.where("doc_id is not null and quality is not null").where(crc != 0)
@@ -127,8 +134,11 @@ def fit(stats: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityMo
     if n > config.max_fit:
         share = int(config.max_fit / n * (1 << 32))
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
-    rows = cut(stats.join(y, "doc_id").withColumn("calibrates", crc == 1), "quality-fit").coalesce(16)
-    names = [f"f{i}" for i in range(len(STATS))]
+    y = cut(y, "quality-labels")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(y if (held := small_side(y)) is None else held, "doc_id")
+    rows = map_texts(some.withColumn("calibrates", crc == 1), _stats, ", ".join(f"{c} double" for c in _NAMES), ("y", "calibrates"))
+    rows = cut(rows, "quality-fit").coalesce(16)
+    names = _NAMES
     moments = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
     if not moments["n"]:
         return None
@@ -166,21 +176,25 @@ def fit(stats: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityMo
     return model
 
 
+def fitted(docs: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityModel | None:
+    """fit, without the tables that it leaves."""
+    with Scope():
+        return fit(docs, labels, config)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score (0 to 1) and predicted.
+    """Score every whole text: doc_id, held_out, score (0 to 1) and predicted; one pass over the texts after the fit.
 
     Only text enters a score. Null and empty texts are scored from zero statistics; a null doc_id is never
     held out and never a training row; repeated rows get equal scores; an empty table gives
-    an empty result. Without any usable label all scores are 0.5. Further columns of docs are ignored.
+    an empty result. Without any usable label all scores are 0.5. A text may have any length. Further columns of docs are ignored.
     """
-    stats = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_stats, "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(STATS)))), "quality-stats")
-    model = fit(stats, labels, config)
+    model = fitted(docs, labels, config)
 
-    def score(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.full(len(batch), 0.5) if model is None else model.score(_matrix(batch))})
+    def scorer():
+        return lambda texts: (np.full(len(texts), 0.5) if model is None else model.score(_rows(texts)),)
 
-    return stats.mapInPandas(score, "doc_id long, score double").select(
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scorer, "score double").select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % config.held_out_of == 0, F.lit(False)).alias("held_out"),
         "score",
@@ -191,10 +205,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, config: QualityConfig = Q
 def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns; without any usable label, all rows.
 
-    Decisions are made row by row on the whole text, in one pass after the fit and without a join.
+    Decisions are made row by row on the whole text, in one pass after the fit and without a join: null and empty texts by
+    their zero statistics, rows with a null doc_id and repeated rows like others. Columns of any other name stay as they are.
     """
-    stats = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_stats, "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(STATS)))), "quality-stats")
-    model = fit(stats, labels, config)
+    model = fitted(docs, labels, config)
     if model is None:
         return docs
     at = docs.columns.index("text")
@@ -203,8 +217,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qua
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float64)
-                yield batch.filter(pa.array(model.score(x) >= config.threshold))
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(model.score(_rows(part.column(at).to_pylist())) >= config.threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortweave.llm.rows import map_texts
 from cohortweave.llm.words import _WS, windows, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_bangs", "n_stutter")
@@ -82,22 +82,18 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measures(batches):
-    for batch in batches:
-        rows = np.array([measure(t) for t in batch["text"].tolist()], np.int64).reshape(len(batch), len(MEASURES))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], **{m: rows[:, i] for i, m in enumerate(MEASURES)}})
+def _measures():
+    return lambda texts: tuple(np.array([measure(t) for t in texts], np.int64).reshape(len(texts), len(MEASURES)).T)
 
 
 def rule_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, every measurement and fail_bits, for each row of docs; no shuffle.
 
     Only doc_id and text are read, so other columns may have any names. Null and empty texts
-    have zero measurements (and fail the word count); repeated rows give repeated rows; an empty
-    table gives an empty one. The size of a text has no limit.
+    have zero measurements (and fail the word count); a null doc_id is measured like any other; repeated rows give
+    repeated rows; an empty table gives an empty one. The size of a text has no limit.
     """
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        _measures, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    )
+    measured = map_texts(docs, _measures, ", ".join(f"{m} long" for m in MEASURES))
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(rules):
         bits = bits + F.when(rule.failed(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")

@@ -6,13 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from cohortweave.llm.tokens import tokenizer_path
 
-def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +18,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm.token_files import token_files
 
-    return token_files(_documents(spark, sf_dir), _tokenizer(), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files(_documents(spark, sf_dir), tokenizer_path(), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +49,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm.bpe import bpe_round_trip
 
-    return bpe_round_trip(_documents(spark, sf_dir), _tokenizer())
+    return bpe_round_trip(_documents(spark, sf_dir), tokenizer_path())
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.scratch import cut, shared_dir
+from cohortweave.scratch import Scope, cut, remove, shared_dir
 
-__all__ = ["cut", "join_salted", "open_fs", "remove", "shared_dir", "small_side"]
+__all__ = ["Scope", "cut", "join_salted", "open_fs", "remove", "shared_dir", "small_side"]
 SALTS = 32
 #: Rows of a few numbers each that a broadcast may have.
 SMALL = 300_000
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system its URI names."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def open_fs(uri: str):
     """(file system, path) of pyarrow for a shared URI; used inside tasks for binary files."""
     from pyarrow import fs

@@ -13,12 +13,13 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortweave.llm.rows import slices
 from cohortweave.llm.storage import open_fs, shared_dir
 from cohortweave.llm.tokens import library_encoder
 
@@ -44,35 +45,43 @@ def ef_encode(x: np.ndarray, universe: int) -> tuple[dict, bytes]:
 
 
 class EliasFano:
-    """Random access into ef_encode's bytes."""
-
-    def __init__(self, head: dict, raw: bytes):
-        a, b = head["lows"], head["lows"] + head["high"]
-        self.n, self.low = head["n"], head["low"]
-        self.lows = np.frombuffer(raw[:a], np.uint8)
-        self.high = np.frombuffer(raw[a:b], np.uint8)
-        self.samples = np.frombuffer(raw[b : b + head["samples"]], "<u8" if head["wide"] else "<u4").astype(np.int64)
+    """Random access into ef_encode's bytes, which read(offset, length) gives: a select fetches the bytes that it needs."""
+
+    def __init__(self, head: dict, read: Callable[[int, int], bytes]):
+        self.n, self.low, self.read = head["n"], head["low"], read
+        self.high_at, self.samples_at = head["lows"], head["lows"] + head["high"]
+        self.high = head["high"]
+        self.sample = np.dtype("<u8" if head["wide"] else "<u4")
+        self.samples = head["samples"] // self.sample.itemsize
+
+    def _sampled(self, k: int) -> int:
+        """Bit position of value k * SAMPLE, or the end."""
+        if k >= self.samples:
+            return 8 * self.high
+        w = self.sample.itemsize
+        return int(np.frombuffer(self.read(self.samples_at + k * w, w), self.sample)[0])
 
     def select(self, i: int, j: int) -> np.ndarray:
         """Values i..j-1, decoded from the sampled one at or before i."""
         if i >= j:
             return np.zeros(0, np.uint64)
         first = i // SAMPLE
-        start = int(self.samples[first])
-        stop = int(self.samples[(j - 1) // SAMPLE + 1]) if (j - 1) // SAMPLE + 1 < len(self.samples) else 8 * len(self.high)
-        bits = np.unpackbits(self.high[start // 8 : stop // 8 + 1], bitorder="little")
-        ones = np.flatnonzero(bits) + 8 * (start // 8)
+        start, stop = self._sampled(first), self._sampled((j - 1) // SAMPLE + 1)
+        a, b = start // 8, min(self.high, stop // 8 + 1)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.read(self.high_at + a, b - a), np.uint8), bitorder="little")) + 8 * a
         ones = ones[ones >= start][i - first * SAMPLE : j - first * SAMPLE]
         out = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low)
         if self.low:
-            at = i * self.low
-            packed = np.unpackbits(self.lows[at // 8 : (j * self.low + 7) // 8], bitorder="little")[at % 8 :][: (j - i) * self.low]
+            at, end = i * self.low // 8, (j * self.low + 7) // 8
+            packed = np.unpackbits(np.frombuffer(self.read(at, end - at), np.uint8), bitorder="little")[i * self.low % 8 :][: (j - i) * self.low]
             out |= (packed.reshape(j - i, self.low).astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return out
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches):
+        import pyarrow as pa
+
         encoder = library_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
@@ -87,16 +96,13 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             if out is None:
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(MAGIC)
-            doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            for at in range(0, len(texts), 256):
-                pieces = [raw + end for raw in encoder.encode([t or "" for t in texts[at : at + 256]])]
+            for a, b in slices(batch.column(1)):
+                pieces = [raw + end for raw in encoder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])]
                 lengths += [len(p) // width for p in pieces]
                 out.write(b"".join(pieces))
-            for d in doc_ids:
-                if d is None or d != d:
-                    nulls += 1
-                else:
-                    ids.append(int(d))
+            known = [d for d in batch.column(0).to_pylist() if d is not None]
+            ids += known
+            nulls += batch.num_rows - len(known)
         if out is None:
             return
         ends = np.cumsum(np.array(lengths, np.int64)).astype(np.uint64)
@@ -105,9 +111,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         id_head, id_raw = ef_encode(shifted, int(shifted[-1]) if ids else 0)
         end_head, end_raw = ef_encode(ends, int(ends[-1]))
         head = json.dumps({"width": width, "n_docs": len(lengths), "n_tokens": int(ends[-1]), "nulls": nulls, "base": base, "ids": id_head, "ends": end_head, "ids_bytes": len(id_raw), "ends_bytes": len(end_raw)}).encode()
-        out.write(id_raw + end_raw + head + struct.pack("<II", len(head), len(id_raw) + len(end_raw)) + MAGIC)
+        out.write(id_raw + end_raw + head + struct.pack("<QQ", len(head), len(id_raw) + len(end_raw)) + MAGIC)
         out.close()
-        yield pd.DataFrame({"part": [part], "file": [name], "n_docs": [len(lengths)], "n_tokens": [int(ends[-1])]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(lengths)], "n_tokens": [int(ends[-1])]})
 
     return write
 
@@ -116,12 +122,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Encode every text and write shard files in ascending doc_id order; the list of shards is the manifest.
 
     docs: columns doc_id and text; others are ignored. A null text is an empty one, a null
-    doc_id comes first, repeated doc_ids stand in the order of their texts. Documents are
-    range-partitioned, so a shard holds an unbroken run of the order. A retried task writes a
+    doc_id comes first, repeated doc_ids stand in the order of a hash of their texts, an empty table gives no file, and a
+    text may have any length. Documents are range-partitioned, a doc_id with very many rows over several ranges too, so
+    a shard holds an unbroken run of the order. A retried task writes a
     file of its own name; the manifest names the file of the attempt that succeeded. It has a row for each shard.
     """
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInPandas(_writer(folder, tokenizer, end_id), "part long, file string, n_docs long, n_tokens long").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    dealt = rows.repartitionByRange("doc_id", "__hash", "__row").sortWithinPartitions("doc_id", "__hash", "text").select("doc_id", "text")
+    rows = dealt.mapInArrow(_writer(folder, tokenizer, end_id), "part long, file string, n_docs long, n_tokens long").collect()
     shards, start, before = [], 0, 0
     for r in sorted(rows, key=lambda r: r["part"]):
         shards.append({**r.asDict(), "start": start, "doc_start": before})
@@ -130,18 +138,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 class Shard:
-    """A shard file opened for reading."""
+    """A shard file opened for reading; only its trailer's head is read at once."""
 
     def __init__(self, fs, path: str):
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        if self.file.read_at(len(MAGIC), 0) != MAGIC or self.file.read_at(len(MAGIC), size - len(MAGIC)) != MAGIC:
+        head_len, ef_len, magic = struct.unpack("<QQ8s", self.file.read_at(24, size - 24))
+        if magic != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"not a token file: {path}")
-        head_len, ef_len = struct.unpack("<II", self.file.read_at(8, size - 16))
-        tail = self.file.read_at(ef_len + head_len, size - 16 - head_len - ef_len)
-        self.head = json.loads(tail[ef_len:])
-        self.ids = EliasFano(self.head["ids"], tail[: self.head["ids_bytes"]])
-        self.ends = EliasFano(self.head["ends"], tail[self.head["ids_bytes"] : ef_len])
+        self.head = json.loads(self.file.read_at(head_len, size - 24 - head_len))
+        at = size - 24 - head_len - ef_len
+        self.ids = EliasFano(self.head["ids"], lambda offset, n: self.file.read_at(n, at + offset))
+        self.ends = EliasFano(self.head["ends"], lambda offset, n: self.file.read_at(n, at + self.head["ids_bytes"] + offset))
         self.dtype = np.dtype("<u2") if self.head["width"] == 2 else np.dtype("<u4")
 
     def bounds(self, a: int, b: int) -> np.ndarray:
@@ -162,11 +170,13 @@ class Shard:
 
 def _reader(folder: str):
     def read(batches):
+        import pyarrow as pa
+
         fs, root = open_fs(folder)
         for batch in batches:
-            for r in batch.itertuples():
-                shard = Shard(fs, f"{root}/{r.file}")
-                bounds = shard.bounds(r.a, r.b)
+            for r in batch.to_pylist():
+                shard = Shard(fs, f"{root}/{r['file']}")
+                bounds = shard.bounds(r["a"], r["b"])
                 rows: list[tuple[int, int]] = []
                 for k in range(len(bounds) - 1):
                     lo, hi = int(bounds[k]), int(bounds[k + 1])
@@ -174,12 +184,12 @@ def _reader(folder: str):
                     for x in range(lo, hi, 1 << 20):
                         crc = zlib.crc32(shard.tokens(x, min(hi, x + (1 << 20))).astype("<u4").tobytes(), crc)
                     rows.append((hi - lo, crc))
-                yield pd.DataFrame({
-                    "doc_id": pd.array(shard.doc_ids(r.a, r.b), "Int64"),
-                    "start": r.start + bounds[:-1],
-                    "n_tokens": np.array([x[0] for x in rows], np.int64),
-                    "ids_crc32": np.array([x[1] for x in rows], np.int64),
-                    "file": r.file,
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(shard.doc_ids(r["a"], r["b"]), pa.int64()),
+                    "start": pa.array(r["start"] + bounds[:-1], pa.int64()),
+                    "n_tokens": pa.array([x[0] for x in rows], pa.int64()),
+                    "ids_crc32": pa.array([x[1] for x in rows], pa.int64()),
+                    "file": pa.array([r["file"]] * len(rows), pa.string()),
                 })
 
     return read
@@ -191,7 +201,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[dict]) -> Da
     plan = spark.createDataFrame(blocks, "file string, a long, b long, start long")
     if blocks:
         plan = plan.repartition(min(len(blocks), 4096))
-    return plan.mapInPandas(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return plan.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -12,6 +12,13 @@ import numpy as np
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 as itself, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -11,7 +12,7 @@ def test_stages(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
     from cohortweave.llm.jaccard_join import jaccard_components
-    from cohortweave.llm.mixing import cube_mix
+    from cohortweave.llm.mixing import targets
     from cohortweave.llm.quality_classifier import quality_scores
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -29,11 +30,16 @@ def test_stages(spark):
     assert clean.count() == once.count() and clean.schema == once.schema
     assert clean.where("text rlike '[A-Za-z0-9]@[a-z0-9]+[.]example'").count() == 0
     mixed = pipeline.cut(stages["mixing"](spark, clean, DATA), "t")
-    copies = {r["doc_id"]: r["copies"] for r in cube_mix(clean).collect()}
-    got = {}
+    copies, taken, sizes, largest = {}, {}, {}, {}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for r in clean.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + words(r["text"])
+        largest[r["source"]] = max(largest.get(r["source"], 0), words(r["text"]))
     for r in mixed.collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
-    assert got == {i: n for i, n in copies.items() if n} and mixed.columns == docs.columns
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+        taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
+    assert max(copies.values()) <= 3 and mixed.columns == docs.columns
+    assert all(abs(taken.get(k, 0) - goal) <= largest[k] / 2 for k, goal in targets(sizes).items())
     assert stages["BPE"](spark, mixed, DATA).count() == mixed.count() > 0
 
 

@@ -43,7 +43,7 @@ def test_elias_fano():
     for n, top in ((1, 0), (5, 3), (1000, 10), (3000, 1 << 40), (700, 1 << 63)):
         x = np.sort(rng.integers(0, top + 1, n, dtype=np.uint64)) if top else np.zeros(n, np.uint64)
         head, raw = ef_encode(x, int(x[-1]))
-        ef = EliasFano(head, raw)
+        ef = EliasFano(head, lambda at, k: raw[at : at + k])
         assert (ef.select(0, n) == x).all()
         for i in range(0, n, 97):
             assert ef.select(i, min(n, i + 300)).tolist() == x[i : i + 300].tolist()
