@@ -10,68 +10,74 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.llm.bpe import bpe_round_trip
 from cohortweave.llm.jaccard_join import jaccard_components
-from cohortweave.llm.mixing import cube_mix
+from cohortweave.llm.mixing import mixed_documents
 from cohortweave.llm.pii import redact_documents
 from cohortweave.llm.quality_classifier import keep_quality
-from cohortweave.llm.queries import _tokenizer
-from cohortweave.llm.storage import cut
+from cohortweave.llm.storage import Scope, cut, small_side
+from cohortweave.llm.tokens import tokenizer_path
 
 #: The stages cannot be put in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-#: Documents that an Arrow batch may hold: texts are long, and a batch is in memory several times over.
-BATCH = 1000
-
-
-def _bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    _bounded(spark)
+    """Documents that the quality classifier rejects go; the rest stay as they are.
+
+    Null and empty texts are judged by their zero statistics, rows with a null doc_id and repeated rows one by one; texts
+    of any length are read whole; an empty table stays empty; without a usable label nothing goes. Other columns are kept.
+    """
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; a null doc_id is in no group and stays.
 
-    Where rows share a doc_id, each goes by its own text: it is in the groups that this text is linked to, and rows of
-    the same doc_id and text are one. Of rows that are linked and share a doc_id, the one with the smallest hash stays.
+    Null texts, empty ones and those without words link with nothing and stay. Where rows share a doc_id, each goes by
+    its own text: it is in the groups that this text is linked to, and rows of the same doc_id and text are one. Of rows
+    that are linked and share a doc_id, the one with the smallest hash stays. An empty table stays empty, texts of any length
+    are compared whole, and other columns are kept, whatever their names.
     """
-    _bounded(spark)
     known = docs.where("doc_id is not null")
-    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        found = cut(jaccard_components(docs).select("doc_id", "component_id"), "pipeline-components")
-        return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    rows = cut(known.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
-    empty = F.col("n_shingles") == 0
-    own = rows.select("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns), "__row").alias("first"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
-    group = own.join(found, "__row").groupBy(F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("digest")))
-    stay = cut(group.agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row")), "pipeline-stay")
+    with Scope() as scope:
+        if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            found = jaccard_components(docs)
+            gone = scope.keep(cut(found.where("doc_id <> component_id").select("doc_id"), "pipeline-gone"))
+            return docs.join(gone if (held := small_side(gone)) is None else held, "doc_id", "left_anti").select(docs.columns)
+        rows = scope.keep(cut(known.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows"))
+        found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+        empty = F.col("n_shingles") == 0
+        own = rows.select("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns), "__row").alias("first"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+        group = own.join(found, "__row").groupBy(F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("digest")))
+        stay = scope.keep(cut(group.agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row")), "pipeline-stay"))
     return rows.join(stay, "__row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind in brackets."""
-    _bounded(spark)
+    """Spans of personal data, by pattern or field, are replaced by their kind in brackets; n_chars follows.
+
+    Each row is read by itself and whole: null texts stay null, empty ones empty, repeated rows equal, an empty table empty;
+    a null doc_id and other columns stay as they are.
+    """
     return redact_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document appears as often as the mix takes it."""
-    _bounded(spark)
-    payload = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    taken = cube_mix(docs, payload=payload)
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+    """Sources at their target weights: a document appears as often as the mix takes it.
+
+    A null or empty text has size 0, a null source is a source of its own, a null doc_id is a document like others; repeated
+    rows share what the mix takes of them; an empty table stays empty; other columns are kept, whatever their names.
+    """
+    return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode what the mix holds."""
-    _bounded(spark)
-    return bpe_round_trip(docs, _tokenizer())
+    """Encode and decode what the mix holds: doc_id, n_tokens and the digests of ids and decoded text, a row for each row.
+
+    A null text counts as an empty one, with no ids; a null doc_id stays null; repeated rows give repeated rows, an empty
+    table none; texts of any length are encoded whole; other columns are left out.
+    """
+    return bpe_round_trip(docs, tokenizer_path())
 
 
 STAGES = [
@@ -84,8 +90,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table; a stage's table is deleted when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
+    with Scope() as scope:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, cut(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
+            scope.free(before)
+        scope.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
