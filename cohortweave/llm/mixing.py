@@ -144,14 +144,28 @@ def fly(p: list[float], size: list[int], rng: np.random.Generator, held: int) ->
     return p
 
 
+def _flown(group: pd.DataFrame, seed: int) -> pd.DataFrame:
+    first = group.iloc[0]
+    group = group.sort_values(["size", "__order"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    rng = np.random.default_rng(zlib.crc32(f"{first['__source']}/{first['__block']}/{first['__level']}/{seed}".encode()))
+    p, size = group["p"].tolist(), group["size"].tolist()
+    group["p"] = land(fly_largest(p, size, rng, HELD), size) if first["__blocks"] == 1 else fly(p, size, rng, HELD // 2)
+    return group
+
+
 def _flights(seed: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        group = group.sort_values(["size", "__order"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng(zlib.crc32(f"{first['__source']}/{first['__block']}/{first['__level']}/{seed}".encode()))
-        p, size = group["p"].tolist(), group["size"].tolist()
-        group["p"] = land(fly_largest(p, size, rng, HELD), size) if first["__blocks"] == 1 else fly(p, size, rng, HELD // 2)
-        return group
+    """Over partitions sorted by source and block: a block flies when the next one begins."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            at = rows.groupby(["__source", "__block"], sort=False).ngroup().to_numpy()
+            for k in range(at.max(initial=0)):
+                yield _flown(rows[at == k], seed)
+            held = rows[at == at.max(initial=0)]
+        if held is not None and len(held):
+            yield _flown(held, seed)
 
     return run
 
@@ -200,7 +214,8 @@ def _copies(counted: DataFrame, key: list[str], weights: tuple[int, ...], most:
         done, level, most_blocks = None, 0, max(1, math.ceil((largest or 0) / BLOCK))
         while True:
             some = rows.withColumn("__block", F.pmod(F.xxhash64("__order", F.lit(level)), F.col("__blocks"))).withColumn("__level", F.lit(level))
-            flown = scope.keep(cut(some.groupBy("__source", "__block").applyInPandas(_flights(seed), some.schema), f"mix-{level}"))
+            dealt = some.repartition("__source", "__block").sortWithinPartitions("__source", "__block")
+            flown = scope.keep(cut(dealt.mapInPandas(_flights(seed), some.schema), f"mix-{level}"))
             settled = flown.where("p = 0 or p = 1")
             done = settled if done is None else done.unionByName(settled)
             if most_blocks == 1:

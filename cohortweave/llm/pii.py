@@ -144,7 +144,7 @@ LABELLED = (
 )
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 13)
 def features(word: str) -> tuple[str, ...]:
     """Shape features of one word: its character classes, run lengths and a few marks."""
     core = word.strip(",.;:!?\"'")
