@@ -51,6 +51,34 @@ def documents(seed=1):
     return text
 
 
+def families(seed, families, each, words, edits, common):
+    """Edited, cut and lengthened copies of texts that share their first words."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(families):
+        base = [f"c{k}" for k in range(common)] + [f"w{f}_{k}" for k in range(words)]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**9)}"
+            w = w[: len(w) - rng.randrange(1, len(w) // 5 + 2)] if rng.random() < 0.3 else w
+            out.append(" ".join(w + [f"t{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 12))] if rng.random() < 0.1 else w))
+    rng.shuffle(out)
+    return dict(enumerate(out))
+
+
+def test_frequent_shingles_lose_no_link(spark):
+    for config, shape in ((JoinConfig(pairs_up_to=1, block=5, sample_of=1, sample_least=1), (60, 3, 30, 1, 25)), (JoinConfig(pairs_up_to=3, block=7, sample_of=2), (3, 50, 60, 3, 10))):
+        text = families(5, *shape)
+        rows = [*text.items(), (1, text[5]), (2, text[2])]
+        s = {}
+        for i, t in rows:
+            s.setdefault(i, []).append(shingles(t))
+        want = components(s, lambda a, b: any(100 * len(x & y) >= 80 * len(x | y) for x in s[a] for y in s[b]))
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()}
+        assert got == want
+
+
 def test_jaccard_matches_brute_force(spark):
     text = documents()
     rows = [(i, t, "x") for i, t in text.items()] + [(7, text[7], "x"), (None, text[3], "x")]
