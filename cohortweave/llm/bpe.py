@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from cohortweave.llm.rows import map_texts
-from cohortweave.llm.tokens import PieceMemo, byte_alphabet
+from cohortweave.llm.tokens import HEAD, PieceMemo, byte_alphabet
 
 FRAGMENTS = 100_000
 NEVER = np.int32(2**31 - 1)
@@ -98,6 +98,10 @@ class ForcedBoundaryBpe(PieceMemo):
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = PairRanks([(vocab[a], vocab[b]) for a, b in merges])
         self.new_id = np.array([vocab[a + b] for a, b in merges], np.int64)
+        #: no merge takes part in one of a lower rank, so that all equal pairs of a fragment may merge at once
+        first = np.full(len(self.bytes), NEVER, np.int64)
+        np.minimum.at(first, np.array([[vocab[a], vocab[b]] for a, b in merges], np.int64).reshape(-1), np.repeat(np.arange(len(merges)), 2))
+        self.ordered = bool((first[self.new_id] > np.arange(len(merges))).all())
         self.pre = regex.compile(PATTERN)
         self.specials = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.fragments: dict[bytes, bytes] = {}
@@ -117,7 +121,10 @@ class ForcedBoundaryBpe(PieceMemo):
         return [buf[i:j] for i, j in zip(starts, starts[1:])], counts
 
     def merged(self, fragments: list[bytes]) -> list[bytes]:
-        """Ids of each fragment: all together, again and again, each merges its pair of the lowest rank, leftmost first."""
+        """Ids of each fragment: all together, again and again, each merges its pairs of the lowest rank, leftmost first.
+
+        In a run of equal tokens pairs overlap, and every second one merges. A round so takes a whole rank off a fragment.
+        """
         lens = np.array([len(f) for f in fragments])
         ids = self.byte_id[np.frombuffer(b"".join(fragments), np.uint8)]
         owner = np.repeat(np.arange(len(fragments)), lens)
@@ -138,13 +145,19 @@ class ForcedBoundaryBpe(PieceMemo):
                 ids, owner, ranks = ids[rest], owner[rest], ranks[rest]
                 continue
             at = np.flatnonzero((ranks == np.repeat(low, counts)) & (ranks != NEVER))
-            at = at[np.append(True, owner[at][1:] != owner[at][:-1])]
+            if self.ordered:
+                run = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            else:
+                at = at[np.append(True, owner[at][1:] != owner[at][:-1])]
             ids[at] = self.new_id[ranks[at]]
             stay = np.ones(len(ids), bool)
             stay[at + 1] = False
             ids, owner, ranks = ids[stay], owner[stay], ranks[stay]
             at -= np.arange(len(at))
-            fresh = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            changed = np.zeros(len(ids) + 1, bool)
+            changed[at] = changed[at - 1] = True
+            fresh = np.flatnonzero(changed[:-1])
             ranks[fresh] = NEVER
             fresh = fresh[fresh + 1 < len(ids)]
             fresh = fresh[owner[fresh] == owner[fresh + 1]]
@@ -153,6 +166,8 @@ class ForcedBoundaryBpe(PieceMemo):
 
     def _pretokens(self, tokens: list[str]) -> list[bytes]:
         """Ids of each pre-token, from those of its fragments."""
+        if not tokens:
+            return []
         parts, counts = self.cut(tokens)
         if len(self.fragments) > FRAGMENTS:
             self.fragments.clear()
@@ -180,7 +195,7 @@ class ForcedBoundaryBpe(PieceMemo):
         tokens: list[str] = []
         ends = []
         for p in pieces:
-            tokens += self.pre.findall(" " + p)
+            tokens += self.pre.findall(p[1:] if p[0] == HEAD else " " + p)
             ends.append(len(tokens))
         values, out, at = self._pretokens(tokens), [], 0
         for e in ends:

@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Marks a text's first piece, which has no space before it; no piece holds a space.
+HEAD = " "
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
@@ -46,14 +48,16 @@ class PieceMemo:
         raise NotImplementedError
 
     def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
+        """Ids of each piece with a space before it; of one that is marked as HEAD, without mark and space."""
         raise NotImplementedError
 
     def _some(self, texts: list[str]) -> list[bytes]:
         every: list[str] = []
         ends = []
         for t in texts:
-            every += t.split(" ")[1:]
+            pieces = t.split(" ")
+            pieces[0] = HEAD + pieces[0]
+            every += pieces
             ends.append(len(every))
         values = list(map(self.young.get, every))
         missing = [i for i, v in enumerate(values) if v is None]
@@ -73,9 +77,8 @@ class PieceMemo:
             if len(young) > self.room:
                 self.old, self.young = young, {}
         out, at = [], 0
-        for t, end in zip(texts, ends):
-            head = t[: t.find(" ")] if end > at else t
-            out.append((self.whole(head) if head else b"") + b"".join(values[at:end]))
+        for end in ends:
+            out.append(b"".join(values[at:end]))
             at = end
         return out
 
@@ -140,7 +143,14 @@ class LibraryEncoder(PieceMemo):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, pieces: list[str]) -> list[bytes]:
-        """One call for all pieces, cut at the ids that open with a space."""
+        """One call for all pieces, cut at the ids that open with a space; one more for the heads."""
+        heads = [i for i, p in enumerate(pieces) if p[:1] == HEAD]
+        if heads:
+            whole = self.tok.encode_batch_fast([pieces[i][1:] for i in heads], add_special_tokens=False)
+            known = {i: np.array(x.ids, self.dtype).tobytes() for i, x in zip(heads, whole)}
+            rest = [p for i, p in enumerate(pieces) if i not in known]
+            others = iter(self.learn(rest) if rest else [])
+            return [known[i] if i in known else next(others) for i in range(len(pieces))]
         many = self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
         ids = np.array(many[0].ids, self.dtype)
         cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)).tolist()

@@ -80,3 +80,27 @@ def test_round_trip(spark):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(by[r["doc_id"]].encode()).hexdigest()
     assert bpe_round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_repetitive_texts_are_linear():
+    own, lib = ForcedBoundaryBpe(PATH), tokenizers.Tokenizer.from_file(PATH)
+    assert own.ordered
+    for text in ("-" * 5001, "0" * 40_000, "ACGT" * 9999 + "A", "e" * 1_000_000, " a", " ", "é" * 777):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == want
+    own.ordered = False
+    assert np.frombuffer(own.encode(["-" * 501])[0], own.dtype).tolist() == lib.encode("-" * 501, add_special_tokens=False).ids
+
+
+def test_real_texts_match_the_library_row_by_row():
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob("/root/testdata/sf0.01/documents.parquet") or pytest.skip("no test tables")
+    own, lib = ForcedBoundaryBpe(PATH), LibraryEncoder(PATH)
+    texts = [t or "" for t in pq.read_table(files[0], columns=["text"])["text"].to_pylist()]
+    for text, a, b in zip(texts, own.encode(texts), lib.encode(texts)):
+        ids = lib.tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(a, own.dtype).tolist() == ids == np.frombuffer(b, lib.dtype).tolist()
+        assert own.decode(ids) == lib.tok.decode(ids, skip_special_tokens=False)
