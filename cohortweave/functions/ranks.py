@@ -1,7 +1,7 @@
 """Ranks, bins and multiple-testing adjustment over whole tables or per group.
 
-A rank over a whole table never goes through one partition: values are counted, the counts are
-range-partitioned, and each range adds the total of the ranges before it.
+A rank never goes through one partition, be it over a whole table or in a group that holds most of one: values are
+counted, the counts are range-partitioned, and each range adds the total of the ranges before it.
 """
 
 from __future__ import annotations
@@ -18,20 +18,48 @@ def counted_values(df: DataFrame, value: list[str], by: list[str] | None = None)
     for c in value:
         known = known.where(F.col(c).isNotNull())
     counts = known.groupBy(*by, *value).agg(F.count(F.lit(1)).alias("n_equal"))
+    key = [*by, "__range"]
+    dealt = cut(counts.repartitionByRange(*by, *value).withColumn("__range", F.spark_partition_id()), "ranks")
+    # a group may span ranges: each adds what its group has in the ranges before it
+    sums = dealt.groupBy(*key).agg(F.sum("n_equal").alias("__n"))
     if by:
-        w = Window.partitionBy(*by)
-        upto = w.orderBy(*value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.select(*by, *value, "n_equal", (F.sum("n_equal").over(upto) - F.col("n_equal")).alias("n_before"), F.sum("n_equal").over(w).alias("n_total"))
-    dealt = cut(counts.repartitionByRange(*value).withColumn("__range", F.spark_partition_id()), "ranks")
-    sums = dealt.groupBy("__range").agg(F.sum("n_equal").alias("n")).collect()
-    before, total = [], 0
-    for r in sorted(sums, key=lambda r: r["__range"]):
-        before.append((r["__range"], total))
-        total += r["n"]
-    offsets = df.sparkSession.createDataFrame(before, "__range int, __offset long")
-    upto = Window.partitionBy("__range").orderBy(*value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = dealt.join(F.broadcast(offsets), "__range")
-    return ranked.select(*value, "n_equal", (F.sum("n_equal").over(upto) - F.col("n_equal") + F.col("__offset")).alias("n_before"), F.lit(total).cast("long").alias("n_total"))
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        offsets = sums.select(*key, (F.sum("__n").over(earlier) - F.col("__n")).alias("__offset"), F.sum("__n").over(group).alias("n_total"))
+        ranked = dealt.join(offsets, (dealt["__range"] == offsets["__range"]) & _same(dealt, offsets, by)).select(dealt["*"], "__offset", "n_total")
+    else:
+        before, total = [], 0
+        for r in sorted(sums.collect(), key=lambda r: r["__range"]):
+            before.append((r["__range"], total))
+            total += r["__n"]
+        offsets = df.sparkSession.createDataFrame(before, "__range int, __offset long")
+        ranked = dealt.join(F.broadcast(offsets), "__range").withColumn("n_total", F.lit(total).cast("long"))
+    upto = Window.partitionBy(*key).orderBy(*value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranked.select(*by, *value, "n_equal", (F.sum("n_equal").over(upto) - F.col("n_equal") + F.col("__offset")).alias("n_before"), "n_total")
+
+
+def _same(x: DataFrame, y: DataFrame, columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & x[c].eqNullSafe(y[c])
+    return out
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Interpolated quantiles of a column, per group: a column for each named share, from counted ranks and not from a buffer of values.
+
+    NULL values are left out; a group without any has no row, and a table without any gives one row of NULLs.
+    """
+    by = by or []
+    at = lambda q: (F.col("n_total") - 1) * F.lit(float(q))
+    holds = lambda place: (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n_equal"))
+    ends = []
+    for name, q in shares.items():
+        ends += [F.max(F.when(holds(F.floor(at(q))), F.col(value))).alias(f"__l_{name}"), F.max(F.when(holds(F.ceil(at(q))), F.col(value))).alias(f"__h_{name}")]
+    ranked = counted_values(df.select(*by, F.col(value).cast("double").alias(value)), [value], by)
+    found = ranked.groupBy(*by).agg(F.max("n_total").alias("n_total"), *ends)
+    mixed = [(F.col(f"__l_{n}") + (F.col(f"__h_{n}") - F.col(f"__l_{n}")) * (at(q) - F.floor(at(q)))).alias(n) for n, q in shares.items()]
+    return found.select(*by, *mixed)
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] | None = None, name: str = "rank", normalise: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from cohortweave.functions.ranks import bh_adjust
+from cohortweave.functions.ranks import bh_adjust, quantiles
 from cohortweave.functions.scalars import m_value, patient_of, sample_group
 from cohortweave.functions.special import digamma, inverse_trigamma, t_p_value, trigamma
 from cohortweave.operators.evidence import complete_probes, patients_with_both, strongest
@@ -79,6 +79,18 @@ def moderated(fits: DataFrame) -> DataFrame:
     return fits.withColumn("t", t).withColumn("p", t_p_value(F.col("t"), df))
 
 
+def group_fits(beta: DataFrame, samples: DataFrame, paired: bool = False, barcode: str = "barcode") -> DataFrame:
+    """Per probe the fit on M-values before its variance is moderated: effect, s2, df, scale and mean."""
+    rows = complete_probes(beta.join(design(samples, paired, barcode), "sample"))
+    return _fit_means(rows.select("probe", "patient", "grp", m_value("beta").alias("y"), F.lit(1.0).alias("w")), "probe", paired)
+
+
+def mean_difference(rows: DataFrame, key: str, value: str, group: str, one: str, other: str) -> DataFrame:
+    """Per key the mean of value in group `one` less that in group `other`; NULL where a group has no value."""
+    side = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
+    return rows.groupBy(key).agg((side(one) - side(other)).alias("delta"))
+
+
 def diff_methylation(beta: DataFrame, samples: DataFrame, paired: bool = False, barcode: str = "barcode") -> DataFrame:
     """probe, delta_beta, padj, t: tests on M-values, effect as the difference of group means of beta.
 
@@ -86,7 +98,7 @@ def diff_methylation(beta: DataFrame, samples: DataFrame, paired: bool = False,
     """
     d = design(samples, paired, barcode)
     rows = complete_probes(beta.join(d, "sample"))
-    delta = rows.groupBy("probe").agg((F.avg(F.when(F.col("grp") == "tumour", F.col("beta"))) - F.avg(F.when(F.col("grp") == "normal", F.col("beta")))).alias("delta_beta"))
+    delta = mean_difference(rows, "probe", "beta", "grp", "tumour", "normal").withColumnRenamed("delta", "delta_beta")
     fits = cut(_fit_means(rows.select("probe", "patient", "grp", m_value("beta").alias("y"), F.lit(1.0).alias("w")), "probe", paired), "diff-fits")
     return bh_adjust(moderated(fits), "p", "padj").join(delta, "probe").select("probe", "delta_beta", "padj", "t")
 
@@ -113,7 +125,7 @@ def tmm_factors(counts: DataFrame) -> DataFrame:
     """(sample, lib, factor): trimmed mean of M-values against the sample of the most typical upper quartile, geometric mean 1."""
     lib = cut(library_sizes(counts), "tmm-lib")
     shares = counts.join(lib, "sample").withColumn("q", F.col("count") / F.col("lib"))
-    upper = shares.groupBy("sample").agg(F.percentile("q", F.lit(0.75)).alias("u"))
+    upper = cut(quantiles(shares, "q", {"u": 0.75}, ["sample"]), "tmm-quartiles")
     ref = upper.crossJoin(F.broadcast(upper.agg(F.avg("u").alias("m")))).orderBy(F.abs(F.col("u") - F.col("m")), "sample").limit(1).select("sample").first()
     base = shares.where(F.col("sample") == ref["sample"]).select("gene_id", F.col("q").alias("rq"), F.col("count").alias("rc"), F.col("lib").alias("rl"))
     rows = shares.join(base, "gene_id").where("count > 0 and rc > 0")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortweave.functions.ranks import rank_normalise, windowed_rank
+from cohortweave.functions.ranks import rank_normalise
 from cohortweave.functions.scalars import concordance, has_column, patient_of, sample_group, sample_type_of, sign, split_fields
 
+#: Region labels and chromosome names as annotations spell them.
 PROMOTER = ("TSS1500", "TSS200", "5'UTR", "1stExon", "promoter")
 BODY = ("Body", "3'UTR", "ExonBnd", "body")
 SEX_CHROMOSOMES = ("chrX", "chrY", "X", "Y")
@@ -29,10 +31,33 @@ def strongest(df: DataFrame, key: list[str], effect: str, ties: list[str]) -> Da
     return df.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
-def dedup_aliquots(samples: DataFrame, barcode: str = "barcode") -> DataFrame:
-    """One sample per patient and sample type: the one whose barcode sorts first."""
+def dedup_aliquots(samples: DataFrame, barcode: str = "barcode", position: str | None = None) -> DataFrame:
+    """One sample per patient and sample type: the one whose barcode sorts first. With a position column, in the order that it gives."""
     w = Window.partitionBy(patient_of(barcode), sample_type_of(barcode)).orderBy(barcode)
-    return samples.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+    out = samples.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+    return out if position is None else out.orderBy(position)
+
+
+def annotation_or(primary: DataFrame, fallback: DataFrame, probe: str = "probe", region: str = "regions") -> DataFrame:
+    """Annotation by probe: the primary table's row, field by field the fallback's where the primary has none or an empty one.
+
+    Without a single region label methylation evidence would be zero unseen, so that is an error.
+    """
+    fields = [c for c in primary.columns if c != probe]
+    a, b = primary.alias("a"), fallback.alias("b")
+    named = lambda side, c: F.nullif(F.col(f"{side}.{c}").cast("string"), F.lit(""))
+    both = a.join(b, F.col(f"a.{probe}") == F.col(f"b.{probe}"), "full")
+    out = both.select(F.coalesce(f"a.{probe}", f"b.{probe}").alias(probe), *[F.coalesce(named("a", c), named("b", c)).alias(c) if c in fallback.columns else F.col(f"a.{c}").alias(c) for c in fields])
+    if out.where(F.col(region).isNotNull()).isEmpty():
+        raise ValueError(f"no probe has a region label: column {region} is empty in both annotations")
+    return out
+
+
+def warn_if_empty(df: DataFrame, message: str) -> DataFrame:
+    """df as it is; a warning when it has no row, since empty evidence makes empty prizes without an error."""
+    if df.isEmpty():
+        warnings.warn(message, stacklevel=2)
+    return df
 
 
 def patients_with_both(samples: DataFrame, barcode: str = "barcode") -> DataFrame:
@@ -130,7 +155,3 @@ def coding_only(table: DataFrame, biotype: DataFrame, gene: str = "gene", allowe
     """Rows whose gene has an allowed biotype; apply before ranking, so that ranks are among these genes."""
     return table.join(biotype.where(F.col("biotype").isin(*allowed)).select(gene).distinct(), gene, "left_semi")
 
-
-def context_ranks(rows: DataFrame, context: list[str], effect: str) -> DataFrame:
-    """Average-tie rank of the absolute effect within a context, over the context's size."""
-    return rows.withColumn("score", windowed_rank(F.abs(F.col(effect)), context, normalise=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortweave.functions.ranks import rank_normalise
+from cohortweave.functions.ranks import quantiles, rank_normalise
 from cohortweave.functions.scalars import clamp, edge_sign, has_column, string_bool
 from cohortweave.operators.components import connected_components
 
@@ -42,7 +42,7 @@ def cost_graph(raw: DataFrame, source: str = "source", target: str = "target", c
 
 def suggest_omega(prizes: DataFrame, quantile: float = 0.9, prize: str = "prize") -> DataFrame:
     """One row: the interpolated quantile of the positive prizes, 1 without any."""
-    return prizes.where(F.col(prize) > 0).agg(F.coalesce(F.percentile(prize, F.lit(quantile)), F.lit(1.0)).alias("omega"))
+    return quantiles(prizes.where(F.col(prize) > 0), prize, {"omega": quantile}).select(F.coalesce("omega", F.lit(1.0)).alias("omega"))
 
 
 def nodes_of(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -100,5 +100,5 @@ def network_report(raw: DataFrame, edges: DataFrame, source: str = "source", tar
 def confident(edges: DataFrame, value: Column, quantile: float = 0.75) -> DataFrame:
     """Rows whose value is at or above its interpolated quantile; the threshold is one row, broadcast."""
     rows = edges.withColumn("__v", value)
-    limit = rows.agg(F.percentile("__v", F.lit(quantile)).alias("__limit"))
+    limit = quantiles(rows, "__v", {"__limit": quantile})
     return rows.join(F.broadcast(limit), F.col("__v") >= F.col("__limit")).drop("__v", "__limit")

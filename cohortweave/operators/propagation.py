@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortweave.functions.ranks import pearson, rank_bins, windowed_rank
+from cohortweave.functions.ranks import average_rank, quantiles, rank_bins
 from cohortweave.functions.scalars import sign, uniform
-from cohortweave.operators.network import nodes_of
-from cohortweave.scratch import cut
+from cohortweave.scratch import Scope, cut
 
 
 def signed_matrix(edges: DataFrame, source: str = "source", target: str = "target", sign_: str = "sign", weight: str | None = None) -> DataFrame:
@@ -37,15 +36,17 @@ def propagate(matrix: DataFrame, seeds: DataFrame, nodeset: DataFrame | None = N
     """(run, node, state) summed over hops 1..hops; a node that no signal reaches has no row, and the seed itself is not counted.
 
     seeds: node, state and optionally run. A hop is a join on source and a sum by (run, target), so partial sums are
-    combined before they are shuffled.
+    combined before they are shuffled. The matrix and every hop are cut, so that a hop is planned and run once.
     """
     w = matrix if nodeset is None else induced(matrix, nodeset)
-    w = normalised(w) if normalise else w
     state = (seeds if "run" in seeds.columns else seeds.withColumn("run", F.lit(0))).select("run", "node", F.col("state").cast("double").alias("state"))
-    total = None
-    for _ in range(hops):
-        state = state.join(w, state["node"] == w["source"]).groupBy("run", F.col("target").alias("node")).agg((damping * F.sum(F.col("w") * F.col("state"))).alias("state"))
-        total = state if total is None else total.unionByName(state)
+    with Scope() as scope:
+        w = cut(normalised(w) if normalise else w, "hop-matrix")
+        total = None
+        for _ in range(hops):
+            state = state.join(w, state["node"] == w["source"]).groupBy("run", F.col("target").alias("node")).agg((damping * F.sum(F.col("w") * F.col("state"))).alias("state"))
+            state = scope.keep(cut(state, "hop"))
+            total = state if total is None else total.unionByName(state)
     return total.groupBy("run", "node").agg(F.sum("state").alias("state"))
 
 
@@ -61,12 +62,16 @@ def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFra
     rows = rows.crossJoin(F.broadcast(runs)).join(predicted, ["run", "node"], "left")
     rows = rows.select("run", F.coalesce("state", F.lit(0.0)).alias("p"), "v", "sig")
     rows = rows.withColumn("reached", F.abs("p") > min_abs).withColumn("hit", F.col("reached") & F.col("sig"))
-    limit = rows.where("hit").groupBy("run").agg(F.percentile(F.abs("p"), F.lit(conf_quantile)).alias("limit"), F.count(F.lit(1)).alias("hits"))
+    rows = cut(rows, "scored")
+    hit = rows.where("hit").select("run", F.abs("p").alias("size"))
+    limit = quantiles(hit, "size", {"limit": conf_quantile}, ["run"]).join(hit.groupBy("run").agg(F.count(F.lit(1)).alias("hits")), "run")
     rows = rows.join(limit, "run", "left").withColumn("conf", F.coalesce(F.col("hit") & (F.abs("p") >= F.col("limit")) & (F.col("hits") >= least), F.lit(False)))
+    rows = cut(rows, "scored")
     for group, flag in (("g", F.lit(True)), ("l", F.col("reached")), ("c", F.col("conf"))):
         rows = rows.withColumn(f"{group}_", flag)
         for c in ("p", "v"):
-            rows = rows.withColumn(f"{c}{group}", F.when(F.col(f"{group}_"), windowed_rank(c, ["run", f"{group}_"])))
+            x = F.when(F.col(f"{group}_"), F.col(c))
+            rows = average_rank(rows.withColumn(f"__{c}", x), f"__{c}", ["run"], name=f"{c}{group}").drop(f"__{c}")
     same = (sign("p") == sign("v")).cast("double")
 
     def rho(group: str, flag: str):
@@ -133,6 +138,3 @@ def star(matrix: DataFrame, seeds: DataFrame, observed: DataFrame, least: int =
     rows = rows.withColumn("nth", F.row_number().over(w.orderBy(F.abs("value").desc(), "target"))).where(F.col("nth") <= top)
     return rows.select("source", "target", "nth", sign("push").alias("predicted"), sign("value").alias("observed"), (sign("push") == sign("value")).alias("agree"))
 
-
-def network_nodes(matrix: DataFrame) -> DataFrame:
-    return nodes_of(matrix)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortweave.functions.ranks import average_rank, pearson, windowed_rank
+from cohortweave.functions.ranks import average_rank, pearson, quantiles, windowed_rank
 from cohortweave.functions.scalars import is_finite, sign
 from cohortweave.functions.special import t_p_value, z_p_value
 
@@ -102,8 +102,8 @@ def left_chain(tables: list[DataFrame], key: str) -> DataFrame:
 
 def five_numbers(table: DataFrame, by: list[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum per group, interpolated."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return table.groupBy(*by).agg(q.alias("q"), F.count(value).alias("n")).select(*by, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))])
+    counts = table.groupBy(*by).agg(F.count(value).alias("n"))
+    return counts.join(quantiles(table, value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}, by), by, "left")
 
 
 def histogram(table: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

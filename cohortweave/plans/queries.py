@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from cohortweave.functions import ranks, scalars
-from cohortweave.operators import evidence, network, propagation, regulon, solver
+from cohortweave.operators import diff, evidence, network, propagation, regulon, solver, summaries
 from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
 from cohortweave.plans.roles import sql, table
@@ -194,8 +194,7 @@ def annotate_unpack(spark, sf_dir):
 
 @query("SELECT l_partkey AS probe, round(avg(CASE WHEN l_linestatus='O' THEN l_quantity END)-avg(CASE WHEN l_linestatus='F' THEN l_quantity END),6)+0.0::DOUBLE AS delta FROM lineitem GROUP BY 1")
 def delta_mean(spark, sf_dir):
-    side = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("probe")).agg((side("O") - side("F")).alias("delta"))
+    return diff.mean_difference(table(spark, sf_dir, "lineitem").withColumn("probe", F.col("l_partkey")), "probe", "l_quantity", "l_linestatus", "O", "F")
 
 
 @query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, least(greatest(l_discount,0.001::DOUBLE),0.999::DOUBLE) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(log2(b/(1-b)),6)+0.0::DOUBLE AS m FROM x")
@@ -373,10 +372,20 @@ def ulm_activity(spark, sf_dir):
     return regulon.activity(_regulon(spark, sf_dir), roles.de(spark, sf_dir).select("gene", F.col("log2FC").alias("y")))
 
 
-@query()
+def _t_tail(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided p of t by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    a, c = f"atan(abs({t})/sqrt({df}))", f"2*exp(lgamma(({df}+1)/2)-lgamma({df}/2))/sqrt(pi())"
+    return f"least(1.0::DOUBLE, {c}*(pi()/2-{a})/{steps}/3*list_sum([(CASE WHEN i=0 OR i={steps} THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*pow(greatest(0,cos({a}+(pi()/2-{a})*i/{steps})),{df}-1) for i in range({steps + 1})]))"
+
+
+_BH = """upto AS (SELECT *, count(*) OVER () AS __m, count(*) OVER (ORDER BY p) AS __r FROM tested), adj AS (SELECT *, least(1.0::DOUBLE, min(p*__m/__r) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM upto)"""
+
+
+@query(sql("de", _REG, _ULM, "act AS (SELECT tf, n_targets, (cwy/cww)/sqrt((cyy-cwy*cwy/cww)/(n-2)/cww) AS activity, n-2 AS df FROM c)", f"tested AS (SELECT *, {_t_tail('activity', 'df', 20000)} AS p FROM act)", _BH,
+    select="SELECT tf, n_targets, round(activity,4)+0.0::DOUBLE AS activity, round(p,4)+0.0::DOUBLE AS p, round(padj,4)+0.0::DOUBLE AS padj FROM adj"))
 def ulm_activity_p(spark, sf_dir):
     act = regulon.activity(_regulon(spark, sf_dir), roles.de(spark, sf_dir).select("gene", F.col("log2FC").alias("y")), with_p=True)
-    return ranks.bh_adjust(act, "p")
+    return rounded(ranks.bh_adjust(act, "p").select("tf", "n_targets", "activity", "p", "padj"), 4)
 
 
 _CIS = """x AS (SELECT l_partkey AS k, l_suppkey AS pair, round(avg(l_quantity),6) AS x, round(avg(l_discount),6) AS y FROM lineitem GROUP BY 1,2),
@@ -493,9 +502,10 @@ def set_intersect(spark, sf_dir):
     return o.where("o_orderstatus = 'O'").select("o_custkey").intersect(o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus='P' OR o_totalprice>400000")
 def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    ordered = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' or o_totalprice > 400000")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).subtract(ordered.select("o_custkey"))
 
 
 @query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, round(l_extendedprice,6)+0.0::DOUBLE AS l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY abs(l_extendedprice) DESC, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS k FROM lineitem) WHERE k=1")
@@ -527,3 +537,262 @@ def robust_frequency(spark, sf_dir):
 def permutation_test(spark, sf_dir):
     edges, prizes = _forest_inputs(spark, sf_dir)
     return solver.permutation_test(edges, prizes, omega=0.05, mu=0.0005)
+
+
+# differential tests over samples
+
+
+_ASSAY = """sampled AS (SELECT l_suppkey AS feature, lpad((o_custkey%40)::VARCHAR,12,'P') AS patient, CASE o_orderstatus WHEN 'O' THEN 'tumour' ELSE 'normal' END AS grp, sum(l_quantity)::BIGINT AS count, round(avg(l_discount),9) AS beta FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE o_orderstatus IN ('O','F') GROUP BY 1,2,3)"""
+
+
+def _assay(spark, sf_dir):
+    """Suppliers as features, customers in forty groups as patients, open and finished orders as tumour and normal samples."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("o_orderstatus in ('O', 'F')")
+    sample = F.concat(F.lpad((F.col("o_custkey") % 40).cast("string"), 12, "P"), F.when(F.col("o_orderstatus") == "O", "-01A").otherwise("-11A"))
+    return rows.groupBy(F.col("l_suppkey").alias("feature"), sample.alias("sample")).agg(F.sum("l_quantity").cast("long").alias("count"), F.round(F.avg("l_discount"), 9).alias("beta"))
+
+
+def _samples(assay):
+    return assay.select(F.col("sample").alias("barcode")).distinct()
+
+
+_M = "log2(least(greatest(beta,0.001::DOUBLE),0.999::DOUBLE)/(1-least(greatest(beta,0.001::DOUBLE),0.999::DOUBLE)))"
+_FITS = f"""ms AS (SELECT feature, grp, patient, beta, {_M} AS y FROM sampled),
+fit AS (SELECT feature, avg(beta) FILTER (grp='tumour')-avg(beta) FILTER (grp='normal') AS delta_beta, avg(y) FILTER (grp='tumour')-avg(y) FILTER (grp='normal') AS effect, count(*) FILTER (grp='tumour') AS nt, count(*) FILTER (grp='normal') AS nn,
+var_pop(y) FILTER (grp='tumour')*count(*) FILTER (grp='tumour')+var_pop(y) FILTER (grp='normal')*count(*) FILTER (grp='normal') AS ss FROM ms GROUP BY 1),
+fits AS (SELECT *, (nt+nn-2)::DOUBLE AS df, ss/(nt+nn-2) AS s2, 1.0::DOUBLE/nt+1.0::DOUBLE/nn AS scale FROM fit WHERE nt>0 AND nn>0 AND nt+nn>2)"""
+
+
+def _digamma(x: str) -> str:
+    z = f"({x}+20)"
+    return f"(ln({z})-1/(2*{z})-1/(12*pow({z},2))+1/(120*pow({z},4))-list_sum([1.0::DOUBLE/({x}+k) for k in range(20)]))"
+
+
+def _trigamma(x: str) -> str:
+    z = f"({x}+20)"
+    return f"(1/{z}+1/(2*pow({z},2))+1/(6*pow({z},3))-1/(30*pow({z},5))+list_sum([1.0::DOUBLE/pow({x}+k,2) for k in range(20)]))"
+
+
+_PRIOR = f"""grp_df AS (SELECT df, count(*) AS n, avg(ln(s2)) AS m, coalesce(var_samp(ln(s2)),0) AS v, {_digamma('df/2')}-ln(df/2) AS c, {_trigamma('df/2')} AS tri FROM fits WHERE s2>0 GROUP BY df),
+mean_ AS (SELECT sum(n*(m-c))/sum(n) AS mean, sum(n) AS total FROM grp_df),
+excess AS (SELECT any_value(mean) AS mean, sum((n-1)*v+n*pow(m-c-mean,2))/(any_value(total)-1)-sum(n*tri)/any_value(total) AS x FROM grp_df, mean_),
+bis(i, lo, hi) AS (SELECT 0, -20.0::DOUBLE, 20.0::DOUBLE UNION ALL SELECT i+1, CASE WHEN {_trigamma('exp((lo+hi)/2)')}>x THEN (lo+hi)/2 ELSE lo END, CASE WHEN {_trigamma('exp((lo+hi)/2)')}>x THEN hi ELSE (lo+hi)/2 END FROM bis, excess WHERE i<90 AND x>1e-12),
+prior AS (SELECT CASE WHEN x>1e-12 THEN (SELECT 2*exp(max(lo)) FROM bis WHERE i=90) END AS d0, mean FROM excess),
+prior2 AS (SELECT d0, exp(mean+CASE WHEN d0 IS NULL THEN 0 ELSE {_digamma('d0/2')}-ln(d0/2) END) AS s0, (SELECT sum(df) FROM fits) AS total FROM prior),
+mod AS (SELECT *, effect/sqrt(coalesce((d0*s0+df*s2)/(d0+df),s0)*scale) AS t, coalesce(least(df+d0,total),total) AS dft FROM fits, prior2), tested AS (SELECT *, {_t_tail('t', 'dft')} AS p FROM mod)"""
+
+
+@query("WITH RECURSIVE " + sql(_ASSAY, _FITS, _PRIOR, _BH, select="SELECT feature AS probe, round(delta_beta,4)+0.0::DOUBLE AS delta_beta, round(padj,4)+0.0::DOUBLE AS padj, round(t,4)+0.0::DOUBLE AS t FROM adj").removeprefix("WITH "))
+def diff_methylation(spark, sf_dir):
+    assay = _assay(spark, sf_dir)
+    return rounded(diff.diff_methylation(assay.select(F.col("feature").alias("probe"), "sample", "beta"), _samples(assay)), 4)
+
+
+@query(sql(_ASSAY, _FITS, select=f"SELECT feature AS probe, {r6('effect', 's2', 'df')} FROM fits"))
+def two_group_fits(spark, sf_dir):
+    assay = _assay(spark, sf_dir)
+    return diff.group_fits(assay.select(F.col("feature").alias("probe"), "sample", "beta"), _samples(assay)).select("probe", "effect", "s2", "df")
+
+
+@query(sql(_ASSAY, f"""both_ AS (SELECT patient FROM sampled GROUP BY 1 HAVING count(DISTINCT grp)=2)""", f"""d AS (SELECT feature, patient, max(CASE WHEN grp='tumour' THEN {_M} END)-max(CASE WHEN grp='normal' THEN {_M} END) AS d FROM sampled WHERE patient IN (SELECT patient FROM both_) GROUP BY 1,2)""",
+    select="SELECT feature AS probe, round(avg(d),6)+0.0::DOUBLE AS effect, round(var_samp(d)/2,6)+0.0::DOUBLE AS s2, (count(d)-1)::DOUBLE AS df FROM d GROUP BY 1 HAVING count(d)>1"))
+def paired_fits(spark, sf_dir):
+    assay = _assay(spark, sf_dir)
+    return diff.group_fits(assay.select(F.col("feature").alias("probe"), "sample", "beta"), _samples(assay), paired=True).select("probe", "effect", "s2", "df")
+
+
+@query(sql(_ASSAY, """c AS (SELECT feature, patient||grp AS sample, count FROM sampled)""", """lib AS (SELECT sample, sum(count)::DOUBLE AS lib FROM c GROUP BY 1)""", """sh AS (SELECT c.*, lib, count/lib AS q FROM c JOIN lib USING (sample))""",
+    """up AS (SELECT sample, quantile_cont(q,0.75) AS u FROM sh GROUP BY 1)""", """ref AS (SELECT sample FROM up ORDER BY abs(u-(SELECT avg(u) FROM up)), sample LIMIT 1)""", """base AS (SELECT feature, q AS rq, count AS rc, lib AS rl FROM sh WHERE sample=(SELECT sample FROM ref))""",
+    """r AS (SELECT sh.*, rq, rc, rl, log2(q/rq) AS m, log2(q*rq)/2 AS a, (lib-count)/lib/count+(rl-rc)/rl/rc AS v FROM sh JOIN base USING (feature) WHERE count>0 AND rc>0)""",
+    """k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) AS rm, rank() OVER (PARTITION BY sample ORDER BY a) AS ra FROM r)""",
+    """f AS (SELECT sample, sum(m/v)/sum(1/v) AS lf FROM k WHERE rm>=floor(n*0.3::DOUBLE)+1 AND rm<=n-floor(n*0.3::DOUBLE) AND ra>=floor(n*0.05::DOUBLE)+1 AND ra<=n-floor(n*0.05::DOUBLE) GROUP BY 1)""", """g AS (SELECT lib.*, coalesce(lf,0) AS lf FROM lib LEFT JOIN f USING (sample))""",
+    select="SELECT substr(sample,1,12) AS patient, substr(sample,13) AS grp, lib, round(pow(2,lf-(SELECT avg(lf) FROM g)),5)+0.0::DOUBLE AS factor FROM g"))
+def size_factors(spark, sf_dir):
+    counts = _assay(spark, sf_dir).select(F.col("feature").alias("gene_id"), "sample", "count")
+    out = diff.tmm_factors(counts)
+    return out.select(scalars.patient_of("sample").alias("patient"), scalars.sample_group("sample").alias("grp"), "lib", F.round("factor", 5).alias("factor"))
+
+
+@query()
+def diff_expression(spark, sf_dir):
+    assay = _assay(spark, sf_dir)
+    return diff.diff_expression(assay.select(F.col("feature").cast("string").alias("gene_id"), "sample", "count"), _samples(assay))
+
+
+# annotation
+
+
+_PACKED = """packed AS (SELECT l_orderkey AS probe, string_agg(CASE WHEN l_tax>0.07 THEN '' ELSE l_partkey::VARCHAR END, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS genes, string_agg(l_returnflag, ';' ORDER BY l_linenumber, l_partkey, l_suppkey)||CASE WHEN l_orderkey%7=0 THEN ';X' ELSE '' END AS regions FROM lineitem GROUP BY l_orderkey),
+fields AS (SELECT probe, CASE WHEN genes='' THEN []::VARCHAR[] ELSE string_split(regexp_replace(genes,';$',''),';') END AS g, string_split(regions,';') AS r FROM packed)"""
+
+
+def _packed(spark, sf_dir):
+    """Orders as probes whose genes and regions are packed in two columns; some genes are empty, some lists uneven."""
+    gene = F.when(F.col("l_tax") > 0.07, "").otherwise(F.col("l_partkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("probe")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", gene.alias("g"), F.col("l_returnflag").alias("r")))).alias("x"))
+    return rows.select("probe", F.array_join("x.g", ";").alias("genes"), F.concat(F.array_join("x.r", ";"), F.when(F.col("probe") % 7 == 0, ";X").otherwise("")).alias("regions"))
+
+
+@query(sql(_PACKED, """dm AS (SELECT o_orderkey AS probe, round(o_totalprice/1000-100,6) AS delta_beta, round((o_custkey%100)/100.0::DOUBLE,6) AS padj FROM orders WHERE o_orderstatus<>'P')""",
+    """pairs AS (SELECT DISTINCT probe, gene, region FROM (SELECT probe, unnest(g) AS gene, unnest(r) AS region FROM fields WHERE len(g)=len(r)) WHERE gene<>'')""",
+    select=f"SELECT gene, region, {r6('delta_beta', 'padj')}, probe FROM pairs JOIN dm USING (probe)"))
+def annotate_probes(spark, sf_dir):
+    dm = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("probe"), F.round(F.col("o_totalprice") / 1000 - 100, 6).alias("delta_beta"), F.round((F.col("o_custkey") % 100) / 100.0, 6).alias("padj"))
+    return evidence.annotate_probes(dm, _packed(spark, sf_dir))
+
+
+@query(sql(_PACKED, select="SELECT count(*) FILTER (len(g)<>len(r)) AS dropped FROM fields"))
+def annotation_mismatches(spark, sf_dir):
+    return evidence.mismatched_probes(_packed(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT p_partkey AS probe, CASE WHEN p_size%3=0 THEN '' WHEN p_size%3=1 THEN p_brand END AS regions, p_name AS genes FROM part WHERE p_partkey%5<>0), b AS (SELECT l_partkey AS probe, min(l_returnflag) AS regions, max(l_linestatus) AS genes FROM lineitem GROUP BY 1)
+SELECT coalesce(a.probe,b.probe) AS probe, coalesce(nullif(a.regions,''),b.regions) AS regions, coalesce(nullif(a.genes,''),b.genes) AS genes FROM a FULL JOIN b ON a.probe=b.probe""")
+def annotation_with_fallback(spark, sf_dir):
+    size = F.col("p_size") % 3
+    a = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("probe"), F.when(size == 0, "").when(size == 1, F.col("p_brand")).alias("regions"), F.col("p_name").alias("genes"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("probe")).agg(F.min("l_returnflag").alias("regions"), F.max("l_linestatus").alias("genes"))
+    return evidence.annotation_or(a, b)
+
+
+@query(sql("de", """coding AS (SELECT p_partkey AS gene FROM part WHERE p_size%2=0)""", """deC AS (SELECT de.* FROM de JOIN coding USING (gene))""",
+    """x0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY abs(log2FC) DESC, padj, log2FC) AS k FROM deC WHERE log2FC IS NOT NULL AND padj<=0.05 AND abs(log2FC)>=0.1) WHERE k=1)""",
+    select="SELECT gene, round((rank() OVER (ORDER BY abs(log2FC)) + (count(*) OVER (PARTITION BY abs(log2FC))-1)/2.0::DOUBLE)/count(*) OVER (),6)+0.0::DOUBLE AS expr_score, sign(log2FC)::DOUBLE AS expr_direction FROM x0"))
+def coding_scores(spark, sf_dir):
+    biotype = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.when(F.col("p_size") % 2 == 0, "protein_coding").otherwise("other").alias("biotype"))
+    return evidence.expression_scores(evidence.coding_only(roles.de(spark, sf_dir), biotype), effect_cutoff=0.1)
+
+
+@query(sql(_BARCODES, """n AS (SELECT *, right(barcode,1) || left(barcode,12) AS pos FROM b)""", """k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY substr(barcode,1,12), substr(barcode,14,2) ORDER BY barcode)=1)""", select="SELECT barcode, row_number() OVER (ORDER BY pos, barcode) AS place FROM k"))
+def aliquots_in_order(spark, sf_dir):
+    rows = _barcodes(spark, sf_dir).withColumn("pos", F.concat(F.substring("barcode", -1, 1), F.substring("barcode", 1, 12), "barcode"))
+    kept = evidence.dedup_aliquots(rows, position="pos").select("barcode", "pos")
+    return ranks.counted_values(kept, ["pos"]).join(kept, "pos").select("barcode", (F.col("n_before") + 1).alias("place"))
+
+
+@query("SELECT DISTINCT p_brand||'.'||p_size AS id, p_brand AS stripped FROM part")
+def version_suffix(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("."), F.col("p_size").cast("string")).alias("id")).distinct()
+    return rows.select("id", scalars.strip_version("id").alias("stripped"))
+
+
+# networks, continued
+
+
+@query(sql("interactions", """marked AS (SELECT CASE WHEN substr(source,2)::INTEGER%9=0 THEN 'COMP:'||source ELSE source END AS source, CASE WHEN substr(target,2)::INTEGER%11=0 THEN NULL WHEN substr(target,2)::INTEGER%11=1 THEN '' ELSE target END AS target, confidence FROM raw)""",
+    select="SELECT * FROM marked WHERE source<>target AND target<>'' AND source NOT LIKE 'COMP:%' AND target NOT LIKE 'COMP:%'"))
+def clean_endpoints(spark, sf_dir):
+    number = lambda c: F.substring(c, 2, 20).cast("int")
+    s = F.when(number("source") % 9 == 0, F.concat(F.lit("COMP:"), "source")).otherwise(F.col("source"))
+    t = F.when(number("target") % 11 == 0, None).when(number("target") % 11 == 1, "").otherwise(F.col("target"))
+    raw = roles.interactions(spark, sf_dir).select(s.alias("source"), t.alias("target"), "confidence")
+    return network.clean_endpoints(raw, drop_complexes=True)
+
+
+_ORDERS = """og AS (SELECT DISTINCT 2*o_custkey AS s, 2*(o_orderkey%(SELECT count(*)+o_custkey FROM customer))+1 AS t FROM orders WHERE o_totalprice>250000)"""
+
+
+def _order_edges(spark, sf_dir):
+    """Customers linked to the groups that their larger orders fall into: some thousands of nodes, many small components."""
+    n = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "orders").where("o_totalprice > 250000").join(F.broadcast(n))
+    return rows.select((2 * F.col("o_custkey")).alias("s"), (2 * (F.col("o_orderkey") % (F.col("n") + F.col("o_custkey"))) + 1).alias("t")).distinct()
+
+
+_WALK = """e AS (SELECT s AS a, t AS b FROM og UNION SELECT t, s FROM og), walk(node, other) AS (SELECT a, b FROM e UNION SELECT walk.node, e.b FROM walk JOIN e ON walk.other=e.a)"""
+
+
+@query("WITH RECURSIVE " + _ORDERS + ", " + _WALK + " SELECT node, least(node, min(other)) AS component FROM walk GROUP BY node")
+def order_components(spark, sf_dir):
+    return connected_components(_order_edges(spark, sf_dir), "s", "t")
+
+
+@query("WITH RECURSIVE " + _ORDERS + ", " + _WALK + ", c AS (SELECT node, least(node, min(other)) AS component FROM walk GROUP BY node), z AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS n, min(component) AS first FROM z WHERE size>1 GROUP BY 1")
+def component_sizes(spark, sf_dir):
+    sizes = network.component_sizes(_order_edges(spark, sf_dir), "s", "t")
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("first"))
+
+
+_ROUTES = """routes AS (SELECT least(c_nationkey,s_nationkey) AS a, greatest(c_nationkey,s_nationkey) AS b, min(o_totalprice+l_orderkey*1e-7) AS cost FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey WHERE c_nationkey<>s_nationkey GROUP BY 1,2)"""
+
+
+@query("WITH RECURSIVE " + _ROUTES + """, placed AS (SELECT *, row_number() OVER (ORDER BY cost, a, b) AS k FROM routes), two AS (SELECT a AS x, b AS y, k FROM placed UNION ALL SELECT b, a, k FROM placed),
+reach(a, b, lim, node) AS (SELECT a, b, k, a FROM placed UNION SELECT r.a, r.b, r.lim, two.y FROM reach r JOIN two ON two.x=r.node AND two.k<r.lim)
+SELECT a, b, round(cost,3)+0.0::DOUBLE AS cost FROM routes WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.a=routes.a AND reach.b=routes.b AND reach.node=routes.b)""")
+def spanning_tree(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    ends = rows.where("c_nationkey <> s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("a"), F.greatest("c_nationkey", "s_nationkey").alias("b"))
+    routes = ends.agg(F.min(F.col("o_totalprice") + F.col("l_orderkey") * 1e-7).alias("cost"))
+    return solver.spanning_forest(routes).select("a", "b", F.round("cost", 3).alias("cost"))
+
+
+@query(sql("interactions", "users", "seeds", "matrix", """inside AS (SELECT node FROM users WHERE clicks%3<>0)""", """m2 AS (SELECT * FROM m WHERE source IN (SELECT node FROM inside) AND target IN (SELECT node FROM inside))""", """w2 AS (SELECT source, target, w/sum(abs(w)) OVER (PARTITION BY target) AS w FROM m2)""",
+    """g1 AS (SELECT target AS node, 0.5::DOUBLE*sum(w*state) AS state FROM seeds JOIN w2 ON node=source GROUP BY 1)""", """g2 AS (SELECT target AS node, 0.5::DOUBLE*sum(w*state) AS state FROM g1 JOIN w2 ON node=source GROUP BY 1)""",
+    select="SELECT node, round(sum(state),6)+0.0::DOUBLE AS state FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY 1"))
+def propagate_inside(spark, sf_dir):
+    inside = roles.users(spark, sf_dir).where("clicks % 3 <> 0").select("node")
+    return propagation.propagate(_matrix(spark, sf_dir), roles.seeds(spark, sf_dir), nodeset=inside, hops=2).select("node", "state")
+
+
+@query("""WITH n AS (SELECT o_custkey, round(avg(o_totalprice),2) AS v FROM orders GROUP BY 1), o AS (SELECT round(avg(o_totalprice),2) AS obs FROM orders)
+SELECT round((count(*) FILTER (v<=obs)+1)::DOUBLE/(count(*)+1),6)+0.0::DOUBLE AS p, round(avg(v),4)+0.0::DOUBLE AS null_mean, count(*) AS n FROM n, o""")
+def empirical_p_lower(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    null = orders.groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    out = propagation.empirical_p(orders.agg(F.round(F.avg("o_totalprice"), 2).alias("v")), null, "v", lower=True)
+    return out.withColumn("null_mean", F.round("null_mean", 4))
+
+
+# summaries of the reports
+
+
+_CISROWS = "cis AS (SELECT gene, region, round(delta_beta*10,6) AS rho, padj FROM dmr WHERE delta_beta IS NOT NULL)"
+
+
+def _cis(spark, sf_dir):
+    return roles.dmr(spark, sf_dir).where("delta_beta is not null").select("gene", "region", F.round(F.col("delta_beta") * 10, 6).alias("rho"), "padj")
+
+
+@query(sql("dmr", _CISROWS, select="SELECT region, count(*) AS genes, round(avg((rho<0)::INTEGER),6)+0.0::DOUBLE AS share_negative, count(*) FILTER (rho<-0.2 AND padj<0.05) AS strong_negative, count(*) FILTER (rho>0.2 AND padj<0.05) AS strong_positive, round(median(rho),6)+0.0::DOUBLE AS median_rho FROM cis GROUP BY 1"))
+def region_summary(spark, sf_dir):
+    return summaries.region_summary(_cis(spark, sf_dir))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1,2")
+def cross_table(spark, sf_dir):
+    return summaries.cross_table(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query(sql("de", "dmr", "meth", _CISROWS, """inside AS (SELECT gene FROM de WHERE abs(log2FC)<0.5)""",
+    select="SELECT gene AS node, round(-prom_direction*prom_score,6)+0.0::DOUBLE AS state FROM meth WHERE prom_direction IS NOT NULL AND prom_score IS NOT NULL AND gene IN (SELECT gene FROM inside) AND gene IN (SELECT gene FROM cis WHERE region='A' AND rho<-0.1 AND padj<0.25)"))
+def seed_vector(spark, sf_dir):
+    nodes = roles.de(spark, sf_dir).where("abs(log2FC) < 0.5").select(F.col("gene").alias("node"))
+    return summaries.seed_vector(_meth(spark, sf_dir), nodes, _cis(spark, sf_dir).where("region = 'A'"))
+
+
+@query(sql("de", "dmr", _REG, _ULM, """act AS (SELECT tf, round((cwy/cww)/sqrt((cyy-cwy*cwy/cww)/(n-2)/cww),9) AS activity FROM c)""", """j AS (SELECT activity AS x, delta_beta AS y FROM act JOIN dmr ON tf=gene WHERE region='R' AND delta_beta IS NOT NULL)""", _rank_sql({"rx": "x", "ry": "y"}, "j"),
+    select="SELECT round(corr(rx,ry),6)+0.0::DOUBLE AS rho, count(*) AS n FROM k"))
+def activity_against_promoter(spark, sf_dir):
+    act = regulon.activity(_regulon(spark, sf_dir), roles.de(spark, sf_dir).select("gene", F.col("log2FC").alias("y"))).withColumn("activity", F.round("activity", 9))
+    return summaries.activity_against(act, roles.dmr(spark, sf_dir).where("region = 'R'"), "delta_beta")
+
+
+_GRID = [(p, e) for p in (0.03, 0.04, 0.05) for e in (0.0, 0.1, 0.5, 9.0)]
+
+
+@query(sql("de", "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({p}::DOUBLE, {e}::DOUBLE)" for p, e in _GRID) + ") v(padj_cutoff, effect_cutoff))",
+    select="SELECT padj_cutoff, effect_cutoff, count(gene) AS n, count(gene) FILTER (log2FC>0) AS up, count(gene) FILTER (log2FC<0) AS down FROM grid LEFT JOIN de ON padj<=padj_cutoff AND abs(log2FC)>=effect_cutoff GROUP BY 1,2"))
+def threshold_sweep(spark, sf_dir):
+    return summaries.threshold_sweep(roles.de(spark, sf_dir), spark.createDataFrame(_GRID, "padj_cutoff double, effect_cutoff double"))
+
+
+@query("SELECT l_shipmode_ AS flag, place AS flag_place, round(total,2)+0.0::DOUBLE AS total FROM (SELECT l_returnflag AS l_shipmode_, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 END::BIGINT AS place, sum(l_quantity) AS total FROM lineitem WHERE l_linenumber=1 GROUP BY 1) WHERE place IS NOT NULL")
+def grid_rows(spark, sf_dir):
+    results = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.col("l_returnflag").alias("flag")).agg(F.round(F.sum("l_quantity"), 2).alias("total"))
+    return summaries.grid_rows(results, "l_linenumber", 1, {"flag": ["R", "A"]}, ["total"])
+
+
+@query(sql("dmr", _CISROWS, select="SELECT region, printf('%+.3f', round(median(rho),6)) AS median_rho, printf('%.0f%%', round(100*avg((rho<0)::INTEGER),6)) AS negative FROM cis GROUP BY 1"))
+def figures_as_text(spark, sf_dir):
+    rows = summaries.region_summary(_cis(spark, sf_dir)).select("region", F.round("median_rho", 6).alias("median_rho"), F.round(100 * F.col("share_negative"), 6).alias("negative"))
+    return summaries.figures_as_text(rows, median_rho="%+.3f", negative="%.0f%%")
