@@ -3,8 +3,11 @@
 Unit vectors are cut in two halves, each with a codebook of its own; the product of the codebooks is a grid of
 cells. A vector is stored in the cell of its two nearest centroids. As a query it visits cells in order of the sum of
 its two half distances (multi-sequence traversal) for as long as that sum exceeds the one of its own cell by no more than a
-reach; the reach is calibrated so that the target share of pairs just at the threshold meets. What meets is verified
+reach. The reach is set so that the target share of pairs meets: of pairs just at the threshold in random directions, and of the
+table's own links of a few hundred vectors, which are found by comparing those with all rows. What meets is verified
 by cosine in double precision. Every vector is stored and every vector asks.
+
+Ids and cells are worked out once, as a narrow table; vectors travel to the cells where they meet, as the floats they came as.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.llm.storage import cut, join_salted
+from cohortweave.llm.storage import Scope, cut, join_salted
 from cohortweave.operators.components import connected_components
 
 
@@ -27,11 +30,14 @@ class IndexConfig:
     cosine: float = 0.93
     #: Share of pairs at the threshold that must meet; pairs closer than that meet more often.
     recall: float = 0.98
-    #: Codebooks are fitted on about so many vectors, taken by a hash of vec_id.
+    #: Codebooks are fitted on about so many vectors, or on 20 for each centroid where that is more, taken by a hash of vec_id.
     sample: int = 6000
     #: Vectors per cell that the size of the codebooks aims at.
     per_cell: int = 40
-    most_centroids: int = 256
+    #: Centroids of a codebook, at most; its square times per_cell vectors of a label is where cells begin to grow.
+    most_centroids: int = 8192
+    #: Vectors whose links in the whole table are looked up to set the reach.
+    measured: int = 200
     #: A cell's vectors and its queries are dealt in blocks of so many.
     block: int = 1500
     queries: int = 6000
@@ -51,14 +57,30 @@ def unit(vector) -> np.ndarray | None:
     return None if top == 0 else (x / top) / np.linalg.norm(x / top)
 
 
-def _units(batches):
-    import pyarrow as pa
+def _units(wide: bool):
+    """Usable rows with their components as they came, and a digest of the unit vector that tells equal directions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = "<f8" if wide else "<f4"
+        for batch in batches:
+            ids, labels, vectors = (batch.column(i).to_pylist() for i in range(3))
+            rows = [(i, k, len(v), np.asarray(v, kind).tobytes(), hashlib.blake2b(u.tobytes(), digest_size=16).digest()) for i, k, v in zip(ids, labels, vectors) if i is not None and k is not None and (u := unit(v)) is not None]
+            cols = list(zip(*rows)) if rows else [[], [], [], [], []]
+            types = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["vec_id", "label", "dim", "x", "key"])
+
+    return run
+
 
-    for batch in batches:
-        ids, labels, vectors = (batch.column(i).to_pylist() for i in range(3))
-        rows = [(i, k, u.tobytes(), hashlib.blake2b(u.tobytes(), digest_size=16).digest()) for i, k, v in zip(ids, labels, vectors) if i is not None and k is not None and (u := unit(v)) is not None]
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["vec_id", "label", "x", "key"])
+def unit_rows(raw, dim: int) -> np.ndarray:
+    """Unit vectors in double precision from the bytes of many vectors of one length."""
+    raw = list(raw)
+    kind = "<f4" if raw and len(raw[0]) == 4 * dim else "<f8"
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -> np.ndarray:
@@ -105,53 +127,90 @@ class MultiIndex:
                     heapq.heappush(heap, (s1[p[0]] + s2[p[1]], *p))
         return out
 
+    def excess(self, q: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How much further than to its own cell a query must go to the cell of the other vector of its row."""
+        (a, b), (c, d) = self.halves(q), self.halves(other)
+        rows = np.arange(len(q))
+        return a[rows, c.argmin(axis=1)] + b[rows, d.argmin(axis=1)] - a.min(axis=1) - b.min(axis=1)
+
+    def needed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The least reach by which the vectors of a row meet, from either side."""
+        return np.minimum(self.excess(x, y), self.excess(y, x))
+
     def calibrate(self, x: np.ndarray, cosine: float, recall: float, rng: np.random.Generator) -> None:
         """Set the reach from the sampled vectors and, for each, one in a random direction at the threshold."""
         noise = rng.normal(size=x.shape)
         noise -= (noise * x).sum(axis=1, keepdims=True) * x
         y = cosine * x + math.sqrt(1 - cosine**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+        self.reach = float(np.quantile(self.needed(x, y), recall)) + 1e-9
 
-        def excess(q: np.ndarray, other: np.ndarray) -> np.ndarray:
-            (a, b), (c, d) = self.halves(q), self.halves(other)
-            rows = np.arange(len(q))
-            return a[rows, c.argmin(axis=1)] + b[rows, d.argmin(axis=1)] - a.min(axis=1) - b.min(axis=1)
 
-        self.reach = float(np.quantile(np.minimum(excess(x, y), excess(y, x)), recall)) + 1e-9
+#: Reaches are counted in steps of this size.
+STEP = 1e-3
 
 
-def fit_index(vectors: DataFrame, n: int, labels: int, config: IndexConfig) -> MultiIndex:
-    share = min(1 << 32, int(config.sample / max(n, 1) * (1 << 32)) + 1)
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(config.seed)), F.lit(1 << 32)) < share).select("vec_id", "x").toPandas().sort_values("vec_id")
-    x = np.frombuffer(b"".join(sample["x"]), np.float64).reshape(len(sample), -1) if len(sample) else np.zeros((0, 2))
-    rng = np.random.default_rng(config.seed)
+def fit_index(vectors: DataFrame, n: int, labels: int, dim: int, config: IndexConfig) -> MultiIndex:
+    """Codebooks from a bounded sample, and the reach."""
     k = int(np.clip(round(math.sqrt(n / max(1, labels) / config.per_cell)), 4, config.most_centroids))
-    h = x.shape[1] // 2
-    if not len(x):
-        return MultiIndex(np.zeros((1, 1)), np.zeros((1, 1)), math.inf)
+    most = max(config.sample, 20 * k)
+    place = F.pmod(F.xxhash64("vec_id", F.lit(config.seed)), F.lit(1 << 32))
+    share = min(1 << 32, int(most / max(n, 1) * (1 << 32)) + 1)
+    sample = vectors.where(place < share).select("vec_id", "x", "label", place.alias("place")).toPandas().sort_values("vec_id")
+    rng = np.random.default_rng(config.seed)
+    if not len(sample):
+        return MultiIndex(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), math.inf)
+    x, h = unit_rows(sample["x"], dim), dim // 2
     index = MultiIndex(kmeans(x[:, :h], k, rng), kmeans(x[:, h:], k, rng))
     index.calibrate(x, config.cosine, config.recall, rng)
+    few = sample.sort_values("place").head(config.measured)
+    counts = measured_reaches(vectors, index, few["vec_id"].to_numpy(), few["label"].to_numpy(), unit_rows(few["x"], dim), dim, config.cosine)
+    total, seen = sum(counts.values()), 0
+    for at in sorted(counts):
+        seen += counts[at]
+        if seen >= config.recall * total:
+            index.reach = max(index.reach, (at + 1) * STEP)
+            break
     return index
 
 
-def _postings(index: MultiIndex):
+def measured_reaches(vectors: DataFrame, index: MultiIndex, ids: np.ndarray, labels: np.ndarray, few: np.ndarray, dim: int, cosine: float) -> dict[int, int]:
+    """All links of a few vectors in the whole table, counted by the reach that each needs, in steps of STEP."""
+
+    def run(batches):
+        counts: dict[int, int] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 4000):
+                part = batch.iloc[at : at + 4000]
+                y = unit_rows(part["x"], dim)
+                same = (part["label"].to_numpy()[:, None] == labels[None]) & (part["vec_id"].to_numpy()[:, None] != ids[None])
+                row, col = np.nonzero((y @ few.T >= cosine) & same)
+                if len(row):
+                    for b, c in zip(*np.unique(np.floor(np.maximum(index.needed(few[col], y[row]), 0) / STEP).astype(int), return_counts=True)):
+                        counts[int(b)] = counts.get(int(b), 0) + int(c)
+        yield pd.DataFrame({"at": list(counts), "n": list(counts.values())}, dtype="int64")
+
+    found = vectors.select("vec_id", "label", "x").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    return {r["at"]: r["n"] for r in found}
+
+
+def _postings(index: MultiIndex, dim: int):
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                x = np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), -1)
-                d1, d2 = index.halves(x)
+                d1, d2 = index.halves(unit_rows(part["x"], dim))
                 own = index.cell(d1.argmin(axis=1), d2.argmin(axis=1)).tolist()
                 rows = []
-                for r, a, b, cell in zip(part.itertuples(index=False), d1, d2, own):
-                    visits = index.visit(a, b)
-                    probes = np.array(sorted({cell, *visits}), "<i4").tobytes()
-                    rows += [(r.label, c, c == cell, r.vec_id, r.copies, cell, probes, r.x) for c in {cell, *visits}]
-                yield pd.DataFrame(rows, columns=["label", "cell", "stored", "vec_id", "copies", "own", "probes", "x"])
+                for label, vec_id, a, b, cell in zip(part["label"], part["vec_id"], d1, d2, own):
+                    visits = {cell, *index.visit(a, b)}
+                    probes = np.array(sorted(visits), "<i4").tobytes()
+                    rows += [(label, c, c == cell, vec_id, cell, probes) for c in visits]
+                yield pd.DataFrame(rows, columns=["label", "cell", "stored", "vec_id", "own", "probes"])
 
     return run
 
 
-def _meet(cosine: float):
+def _meet(cosine: float, dim: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links between a block of stored vectors and a block of queries of one cell: counts per vector, and a spanning forest."""
         kept = group[group["stored"] & group["as_stored"]]
@@ -159,8 +218,7 @@ def _meet(cosine: float):
         empty = pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
         if not len(kept) or not len(asks):
             return empty
-        matrix = lambda g: np.frombuffer(b"".join(g["x"]), np.float64).reshape(len(g), -1)
-        xs, ys = matrix(asks), matrix(kept)
+        xs, ys = unit_rows(asks["x"], dim), unit_rows(kept["x"], dim)
         xi, yi = asks["vec_id"].to_numpy(), kept["vec_id"].to_numpy()
         xc, yc = asks["copies"].to_numpy(), kept["copies"].to_numpy()
         cell, own = int(group["cell"].iloc[0]), asks["own"].to_numpy()
@@ -206,34 +264,51 @@ def _meet(cosine: float):
     return run
 
 
+def _found(reps: DataFrame, dim: int, config: IndexConfig) -> DataFrame:
+    """Of vectors of one length: link counts (a, n) and a spanning forest of the links (a, b)."""
+    n, labels = reps.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    index = fit_index(reps, n, labels, dim, config)
+    posted = cut(reps.select("label", "vec_id", "x").mapInPandas(_postings(index, dim), "label string, cell int, stored boolean, vec_id long, own int, probes binary"), "index-postings")
+    sizes = posted.groupBy("label", "cell").agg(F.count_if("stored").alias("kept"), F.count(F.lit(1)).alias("asks")).where("kept > 0 and asks > 1")
+    sizes = cut(sizes.select("label", "cell", F.ceil(F.col("kept") / config.block).cast("int").alias("kb"), F.ceil(F.col("asks") / config.queries).cast("int").alias("ab")), "index-cells")
+    dealt = join_salted(posted, sizes, ["label", "cell"], "vec_id", "inner").join(reps.select("vec_id", "copies", "x"), "vec_id")
+    spread = F.xxhash64("vec_id")
+    stored = dealt.where("stored").select("*", F.pmod(spread, F.col("kb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(True).alias("as_stored"))
+    asking = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("i"), F.pmod(spread, F.col("ab")).cast("int").alias("j"), F.lit(False).alias("as_stored"))
+    return cut(stored.unionByName(asking).drop("kb", "ab").groupBy("label", "cell", "i", "j").applyInPandas(_meet(config.cosine, dim), "a long, b long, n long"), "index-links")
+
+
 def embedding_links(vectors: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
-    Only vectors with the same label link. A null label, a vector that is null, empty, zero or has null or non-finite
-    components, and a null vec_id link with nothing. Equal vectors are one class from the start; its copies count
-    as links of each other. An empty table gives an empty result. vec_id, embedding and label are read. All vectors
-    must have the same length; vec_id should be unique, and rows that share one are one vector to the counts.
+    Only vectors with the same label and of the same length link. A null label, a vector that is null, empty, zero or has
+    null or non-finite components, and a null vec_id link with nothing. Vectors of equal direction are one class from the start;
+    its copies count as links of each other. Of equally near centroids the first holds a vector. An empty table gives an empty
+    result. vec_id, embedding and label are read, other columns ignored. vec_id should be unique, and rows that share one
+    are one vector to the counts.
     """
+    with Scope() as scope:
+        return scope.keep(cut(_links(vectors, config), "index-result"))
+
+
+def _links(vectors: DataFrame, config: IndexConfig) -> DataFrame:
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    units = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(_units, "vec_id long, label string, x binary, key binary"), "index-units")
-    classes = cut(units.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "index-classes")
-    n, labels = classes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    repeated = classes.where("copies > 1")
+    wide = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>" if wide else "array<float>"))
+    units = cut(source.mapInArrow(_units(wide), "vec_id long, label string, dim int, x binary, key binary"), "index-units")
+    classes = cut(units.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "index-classes")
+    repeated = classes.where("copies > 1").drop("dim")
     member = cut(join_salted(units.select("vec_id", "label", "key"), repeated, ["label", "key"], "vec_id", "inner").select("vec_id", "rep", "copies").distinct(), "index-members")
     reps = units.join(member.where("vec_id <> rep"), "vec_id", "left_anti").dropDuplicates(["vec_id"])
-    reps = reps.join(member.where("vec_id = rep").select("vec_id", "copies"), "vec_id", "left").select("vec_id", "label", "x", F.coalesce("copies", F.lit(1)).alias("copies"))
+    reps = reps.join(member.where("vec_id = rep").select("vec_id", "copies"), "vec_id", "left").select("vec_id", "label", "dim", "x", F.coalesce("copies", F.lit(1)).alias("copies"))
     reps = cut(reps, "index-reps")
 
-    index = fit_index(reps, n, labels, config)
-    schema = "label string, cell int, stored boolean, vec_id long, copies long, own int, probes binary, x binary"
-    posted = reps.mapInPandas(_postings(index), schema)
-    sizes = reps.mapInPandas(_postings(index), schema).groupBy("label", "cell").agg(F.count_if("stored").alias("kept"), F.count(F.lit(1)).alias("asks"))
-    sizes = cut(sizes.where("kept > 0").select("label", "cell", F.ceil(F.col("kept") / config.block).cast("int").alias("kb"), F.ceil(F.col("asks") / config.queries).cast("int").alias("ab")), "index-cells")
-    dealt = posted.join(sizes, ["label", "cell"])
-    spread = F.xxhash64("vec_id")
-    stored = dealt.where("stored").select("*", F.pmod(spread, F.col("kb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(True).alias("as_stored"))
-    asking = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("i"), F.pmod(spread, F.col("ab")).cast("int").alias("j"), F.lit(False).alias("as_stored"))
-    found = cut(stored.unionByName(asking).drop("kb", "ab").groupBy("label", "cell", "i", "j").applyInPandas(_meet(config.cosine), "a long, b long, n long"), "index-links")
+    found = None
+    for dim in sorted(r["dim"] for r in reps.select("dim").distinct().toLocalIterator()):
+        some = _found(reps.where(F.col("dim") == dim), dim, config)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
 
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     reached = connected_components(found.where("b is not null").select("a", "b"))

@@ -127,6 +127,39 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_links(df.limit(0)).count() == 0
 
 
+def test_production_index_on_the_test_vectors(spark):
+    """The registered query's settings over nudged copies of the given vectors: recall against all pairs, and no false link."""
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    base = spark.read.parquet(path).where("label is not null").orderBy("vec_id").limit(2500).collect()
+    rng = np.random.default_rng(11)
+    rows = []
+    for r in base:
+        x = np.array(r["embedding"], np.float64)
+        rows.append((len(rows), x, r["label"]))
+        for _ in range(int(rng.integers(0, 3))):
+            noise = rng.normal(size=len(x))
+            rows.append((len(rows), x * rng.uniform(0.5, 2) + np.linalg.norm(x) * rng.uniform(0.05, 0.38) * noise / np.linalg.norm(noise), r["label"]))
+    rows += [(len(rows) + k, np.array([1.0, 2.0, 3.0 + k * 1e-3]), rows[0][2]) for k in range(2)]
+    df = spark.createDataFrame([(i, [float(v) for v in x], k) for i, x, k in rows], "vec_id long, embedding array<float>, label int")
+    want = dict.fromkeys(range(len(rows)), 0)
+    for size in {len(x) for _, x, _ in rows}:
+        some = [r for r in rows if len(r[1]) == size]
+        u = np.array([x for _, x, _ in some], np.float32).astype(np.float64)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        labels = np.array([k for *_, k in some])
+        hit = (u @ u.T >= 0.93) & (labels[:, None] == labels[None])
+        want |= {r[0]: int(h.sum()) - 1 for r, h in zip(some, hit)}
+    got = {r["vec_id"]: r["n_links"] for r in embedding_links(df).collect()}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
+    assert sum(want.values()) > 1000 and sum(got.values()) >= 0.95 * sum(want.values()), (sum(got.values()), sum(want.values()))
+
+
 def repeated_ids(spark):
     words = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
     rows = [(1, words[0]), (2, words[0] + " end"), (2, words[1]), (2, None), (3, words[2]), (3, words[2]), (4, ""), (4, ""), (5, None), (1, words[1] + " end"), (1, "")]
