@@ -24,15 +24,15 @@ def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame | None:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
-def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "left") -> DataFrame:
+def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], by: str | list[str], how: str = "left") -> DataFrame:
     """rows joined to small on keys, where one key may hold a third of all rows and small has each key once.
 
     Up to SMALL rows, small is broadcast. Beyond, rows of a key are dealt over SALTS partitions by the hash
-    of column `by`, and small is repeated for each.
+    of the columns `by`, and small is repeated for each.
     """
     held = small_side(small)
     if held is not None:
         return rows.join(held, keys, how)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -122,7 +122,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
     firsts = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     firsts = cut(firsts.where("first < last").select("digest", "first"), "warc-firsts")
-    joined = join_salted(rows, firsts, ["digest"], "url")
+    joined = join_salted(rows, firsts, ["digest"], ["page_id", "url"])
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
