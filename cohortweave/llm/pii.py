@@ -27,6 +27,8 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: An address whose at or dots may be words, in brackets or not.
+_SPELLED = re.compile(r"[a-z0-9._%+-]+(?: \(?dot\)? [a-z0-9_%+-]+)* ?(?:@|\(at\)|(?<= )at(?= )) ?[a-z0-9-]+(?:(?:\.| \(?dot\)? )[a-z0-9-]+)+", re.IGNORECASE)
 WINDOW = 6
 #: Words that a padded batch may hold, unless a single window has more.
 CELLS = 1 << 17
@@ -112,6 +114,10 @@ LABELLED = (
     "write to [email|xena (at) mail.example.com] please",
     "look at the list at noon",
     "he looked at dot two of the map",
+    "the&&& end*** at%%% this### line,&&& and$$$ more.%%%",
+    "it was*** at$$$ noon.### We*** met&&& there%%%",
+    "now write to [email|ida AT example DOT org] or call",
+    "look AT THE END. DOT by dot",
     "stay at home at night",
     "the price at the end was high",
     "point at line 4 dot two",
@@ -328,7 +334,7 @@ class Crf:
 def _plausible(kind: str, text: str) -> bool:
     n = len(_digits(text))
     if kind == "email":
-        return ("@" in text or re.search(r"\bat\b", text, re.IGNORECASE) is not None) and re.search(r"\.|\bdot\b", text, re.IGNORECASE) is not None
+        return _SPELLED.fullmatch(text) is not None
     if kind == "ip":
         return text.count(".") == 3 and n >= 4 and all(p.isdigit() and int(p) <= 255 for p in text.split("."))
     if kind == "card":
