@@ -11,6 +11,9 @@ replicates are one job.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from cohortweave.functions.ranks import rank_bins
@@ -142,19 +145,30 @@ def prune_trees(tree: DataFrame, prizes: DataFrame) -> tuple[DataFrame, DataFram
     return edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b", "cost"), nodes
 
 
-def solve_forest(edges: DataFrame, prizes: DataFrame, omega: float = 3.0, mu: float = 0.005) -> tuple[DataFrame, DataFrame]:
+#: Solvers by name, each (edges, prizes, omega, mu) to (edges, nodes) as solve_forest gives them; add others here.
+BACKENDS: dict[str, Callable[..., tuple[DataFrame, DataFrame]]] = {}
+
+
+def solve_forest(edges: DataFrame, prizes: DataFrame, omega: float = 3.0, mu: float = 0.005, backend: str = "builtin") -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of the forest: edges (run, a, b, cost), nodes (run, node, prize, terminal).
 
     edges: source, target, cost, the undirected network; prizes: node, prize and optionally run. Prizes lose mu per
     degree; a component with one terminal is that terminal, others are trees; edges above omega are cut; absent
-    terminals worth more than omega come back alone; lone nodes worth no more than omega go.
+    terminals worth more than omega come back alone; lone nodes worth no more than omega go. Without a prize left after
+    the penalty both tables are empty, with a warning.
     """
+    if backend != "builtin":
+        if backend not in BACKENDS:
+            raise ValueError(f"no solver named {backend!r}; register it in solver.BACKENDS")
+        return BACKENDS[backend](edges, prizes, omega, mu)
     runs = prizes if "run" in prizes.columns else prizes.withColumn("run", F.lit(0))
     key = lambda c: F.concat_ws(":", F.col("run"), F.col(c))
     degree = degrees(edges)
     p = runs.join(degree, "node").select("run", "node", F.col("prize").cast("double").alias("prize"), (F.col("prize") - mu * F.col("degree")).alias("p"))
     p = cut(p.select("run", F.col("node").alias("name"), key("node").alias("node"), "prize", "p"), "forest-prizes")
     terminals = p.where("p > 0").select("node", "p")
+    if terminals.isEmpty():
+        warnings.warn("all prizes are zero after the hub penalty", stacklevel=2)
     every = runs.select("run").distinct()
     net = edges.select("source", "target", "cost").crossJoin(F.broadcast(every)).select(key("source").alias("a"), key("target").alias("b"), F.coalesce("cost", F.lit(1.0)).alias("cost"))
     net = cut(net, "forest-network")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import time
+import warnings
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortweave.operators import diff, evidence, network, solver
 from cohortweave.scratch import cut
 from cohortweave.sources import interactions
-from cohortweave.sources.tables import write_bundle
+from cohortweave.sources.tables import write_bundle, write_tsv
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,15 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], raw_network: DataFram
         de = cut(diff.diff_expression(tables["counts"], samples, tables.get("symbols"), config.paired and design["expr_pairs"] >= config.least_pairs), "cohort")
     with t.stage("methylation"):
         samples = evidence.dedup_aliquots(tables["methylation_samples"])
-        beta = evidence.filter_probes(tables["beta"], tables["annotation"], bad=tables.get("bad_probes"))
+        annotation = tables["annotation"]
+        if "annotation_fallback" in tables:
+            annotation = cut(evidence.annotation_or(annotation, tables["annotation_fallback"]), "cohort")
+        beta = evidence.filter_probes(tables["beta"], annotation, bad=tables.get("bad_probes"))
         dm = cut(diff.diff_methylation(beta, samples, config.paired and design["meth_pairs"] >= config.least_pairs), "cohort")
-        dmr = cut(evidence.annotate_probes(dm, tables["annotation"]), "cohort")
+        dropped = evidence.mismatched_probes(annotation).first()["dropped"]
+        if dropped:
+            warnings.warn(f"{dropped} annotated probes have unequal numbers of genes and regions and are left out", stacklevel=2)
+        dmr = cut(evidence.annotate_probes(dm, annotation), "cohort")
         if dmr.where("region is not null and region <> ''").isEmpty():
             raise ValueError("no probe has a region; check the annotation")
     with t.stage("prizes"):
@@ -72,8 +79,9 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], raw_network: DataFram
             scored, regions = evidence.coding_only(de, tables["biotype"]), evidence.coding_only(dmr, tables["biotype"])
             if scored.isEmpty():
                 raise ValueError("no gene is left after the restriction to coding genes")
-        prizes = evidence.build_prizes(evidence.expression_scores(scored, padj_cutoff=config.padj, effect_cutoff=config.effect), evidence.methylation_scores(regions, padj_cutoff=config.padj, min_delta=config.min_delta), config.prizes)
-        prizes = cut(prizes, "cohort")
+        expr = evidence.warn_if_empty(cut(evidence.expression_scores(scored, padj_cutoff=config.padj, effect_cutoff=config.effect), "cohort"), "no gene passed the expression thresholds")
+        meth = evidence.warn_if_empty(cut(evidence.methylation_scores(regions, padj_cutoff=config.padj, min_delta=config.min_delta), "cohort"), "no gene passed the methylation thresholds")
+        prizes = cut(evidence.build_prizes(expr, meth, config.prizes), "cohort")
     with t.stage("network"):
         edges = cut(network.cost_graph(raw_network, interactions.SOURCE, interactions.TARGET, "curation_effort"), "cohort")
         vector = cut(evidence.prize_vector(prizes).withColumnRenamed("gene", "node"), "cohort")
@@ -102,11 +110,15 @@ def main() -> None:
     args.add_argument("--input", required=True)
     args.add_argument("--output", required=True)
     args.add_argument("--network", help="tab-separated interaction records; INPUT/network.tsv by default")
+    args.add_argument("--tsv", action="store_true", help="write every result table as tab-separated text too")
     a = args.parse_args()
     spark = SparkSession.builder.getOrCreate()
     tables = {n: spark.read.parquet(f"{a.input}/{n}") for n in ("counts", "expression_samples", "symbols", "beta", "methylation_samples", "annotation", "biotype")}
     out = run(spark, tables, interactions.load(spark, a.network or f"{a.input}/network.tsv"))
     write_bundle(spark, a.output, out, asdict(CohortConfig()))
+    if a.tsv:
+        for name, df in out.items():
+            write_tsv(df, f"{a.output}/tsv/{name}", "overwrite")
 
 
 if __name__ == "__main__":

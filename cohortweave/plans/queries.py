@@ -726,6 +726,21 @@ def spanning_tree(spark, sf_dir):
     return solver.spanning_forest(routes).select("a", "b", F.round("cost", 3).alias("cost"))
 
 
+@query("WITH RECURSIVE " + sql("interactions", "costs", "users", "prizes", """arcs AS (SELECT source AS a, target AS b, cost FROM edges UNION ALL SELECT target, source, cost FROM edges)""",
+    """near(node, dist) USING KEY (node) AS (SELECT node, 0.0::DOUBLE FROM prizes WHERE prize>0.12 UNION (SELECT b, min(near.dist+arcs.cost) FROM near JOIN arcs ON arcs.a=near.node LEFT JOIN recurring.near AS known ON known.node=arcs.b WHERE known.dist IS NULL OR near.dist+arcs.cost<known.dist-1e-12 GROUP BY b))""",
+    select="SELECT node, round(dist,6)+0.0::DOUBLE AS dist FROM near").removeprefix("WITH "))
+def nearest_terminals(spark, sf_dir):
+    edges, prizes = _forest_inputs(spark, sf_dir)
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "cost")
+    return solver.nearest_terminal(ends, prizes.where("prize > 0.12").select("node")).select("node", "dist")
+
+
+@query("SELECT DISTINCT p_partkey, nullif(p_brand,'Brand#11') AS symbol FROM part")
+def first_symbol(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_brand") != "Brand#11", F.col("p_brand")).alias("external_gene_name"), "p_name").distinct()
+    return parts.select("p_partkey", scalars.first_available(parts, ["gene_name", "external_gene_name"], F.col("p_name")).alias("symbol"))
+
+
 @query(sql("interactions", "users", "seeds", "matrix", """inside AS (SELECT node FROM users WHERE clicks%3<>0)""", """m2 AS (SELECT * FROM m WHERE source IN (SELECT node FROM inside) AND target IN (SELECT node FROM inside))""", """w2 AS (SELECT source, target, w/sum(abs(w)) OVER (PARTITION BY target) AS w FROM m2)""",
     """g1 AS (SELECT target AS node, 0.5::DOUBLE*sum(w*state) AS state FROM seeds JOIN w2 ON node=source GROUP BY 1)""", """g2 AS (SELECT target AS node, 0.5::DOUBLE*sum(w*state) AS state FROM g1 JOIN w2 ON node=source GROUP BY 1)""",
     select="SELECT node, round(sum(state),6)+0.0::DOUBLE AS state FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY 1"))

@@ -8,6 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MANIFEST = "id string, filename string, md5 string, size long, state string"
+#: Typed columns of the tables that reports read back, by what the table holds.
+RESULTS = {
+    "regulon": "source_genesymbol string, target_genesymbol string, consensus_stimulation string, consensus_inhibition string, mor double",
+    "cis": "gene string, rho double, p double, padj double, n long",
+    "de": "gene string, log2FC double, padj double, AveExpr double, t double",
+    "dmr": "gene string, region string, delta_beta double, padj double, probe string",
+    "grid": "seeds string, network string, k_hops int, rho_conf double, sign_acc_conf double, p double",
+}
+
+
+def read_result(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A tab-separated result table with typed columns, found by name in its header; columns that the file lacks are NULL, NA is NULL."""
+    raw = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+    wanted = [x.split() for x in RESULTS[kind].split(", ")]
+    return raw.select(*[(F.col(f"`{n}`") if n in raw.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted])
+
+
+def ingest_sample_counts(spark: SparkSession, paths: str | list[str], manifest: DataFrame, gene: str = "gene_id", count: str = "unstranded") -> DataFrame:
+    """Long counts (gene_id, sample, count) of per-sample tables with a header; summary rows, which start with N_, and comment lines go."""
+    raw = spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(paths)
+    rows = raw.select(F.col(gene).alias("gene_id"), F.col(count).cast("long").alias("count"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"))
+    rows = rows.where(~F.col("gene_id").startswith("N_"))
+    return rows.join(manifest.select("filename", F.col("id").alias("sample")), "filename").select("gene_id", "sample", "count")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None, quoting: bool = True) -> DataFrame:
