@@ -115,3 +115,28 @@ def normal(seed: int, *keys: Column | str) -> Column:
     """A standard normal number by Box-Muller over two uniform ones."""
     u, v = uniform(2 * seed + 1, *keys), uniform(2 * seed + 2, *keys)
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
+
+
+def gamma(seed: int, shape: int, *keys: Column | str) -> Column:
+    """A gamma number of whole shape and scale 1: a sum of exponential ones."""
+    return sum((-F.log(uniform(seed, *keys, F.lit(i))) for i in range(shape)), F.lit(0.0))
+
+
+def beta(seed: int, a: int, b: int, *keys: Column | str) -> Column:
+    """A beta number of whole shapes, from two gamma ones."""
+    x, y = gamma(2 * seed + 1, a, *keys), gamma(2 * seed + 2, b, *keys)
+    return x / (x + y)
+
+
+def negative_binomial(seed: int, size: int, mean: float, *keys: Column | str) -> Column:
+    """A negative binomial count of whole size and given mean: a sum of geometric ones."""
+    fails = math.log(mean / (size + mean))
+    return sum((F.floor(F.log(uniform(seed, *keys, F.lit(i))) / fails) for i in range(size)), F.lit(0)).cast("long")
+
+
+def choice(seed: int, values: list, weights: list[float], *keys: Column | str) -> Column:
+    """One of a few values, each as likely as its share of the weights."""
+    u, total, out = uniform(seed, *keys), sum(weights), F.lit(values[-1])
+    for i in reversed(range(len(values) - 1)):
+        out = F.when(u < sum(weights[: i + 1]) / total, F.lit(values[i])).otherwise(out)
+    return out

@@ -33,6 +33,13 @@ def seed_vector(methylation: DataFrame, nodes: DataFrame, cis: DataFrame | None
     return out.join(kept, "node", "left_semi")
 
 
+def seed_evidence(seeds: DataFrame, de: DataFrame, cis: DataFrame) -> DataFrame:
+    """Seeds (node, state) with the expression effect and the cis correlation of their gene; all three must know it."""
+    effects = de.select(F.col("gene").alias("node"), F.col("log2FC").alias("effect"), F.col("padj").alias("de_padj"))
+    cis = cis.select(F.col("gene").alias("node"), "rho", F.col("padj").alias("cis_padj"))
+    return seeds.select("node", "state").join(effects.where("effect is not null"), "node").join(cis, "node")
+
+
 def activity_against(activity: DataFrame, evidence: DataFrame, value: str, left: str = "tf", right: str = "gene") -> DataFrame:
     """One row: Spearman rho and n of regulator activity against a value of the gene of that name."""
     rows = activity.select(F.col(left).alias("__k"), "activity").join(evidence.select(F.col(right).alias("__k"), F.col(value).alias("__v")), "__k")

@@ -811,3 +811,29 @@ def grid_rows(spark, sf_dir):
 def figures_as_text(spark, sf_dir):
     rows = summaries.region_summary(_cis(spark, sf_dir)).select("region", F.round("median_rho", 6).alias("median_rho"), F.round(100 * F.col("share_negative"), 6).alias("negative"))
     return summaries.figures_as_text(rows, median_rho="%+.3f", negative="%.0f%%")
+
+
+_SEEDS = """seed AS (SELECT gene AS node, -prom_direction*prom_score AS state FROM meth WHERE prom_direction IS NOT NULL AND prom_score IS NOT NULL)"""
+
+
+@query(sql("de", "dmr", "meth", _CISROWS, _SEEDS, select=f"SELECT node, {r6('state')}, round(log2FC,6)+0.0::DOUBLE AS effect, round(de.padj,6)+0.0::DOUBLE AS de_padj, {r6('rho')}, round(cis.padj,6)+0.0::DOUBLE AS cis_padj FROM seed JOIN de ON de.gene=node JOIN cis ON cis.gene=node WHERE region='A' AND log2FC IS NOT NULL"))
+def seed_evidence(spark, sf_dir):
+    de = roles.de(spark, sf_dir)
+    seeds = summaries.seed_vector(_meth(spark, sf_dir), de.select(F.col("gene").alias("node")))
+    return summaries.seed_evidence(seeds, de, _cis(spark, sf_dir).where("region = 'A'"))
+
+
+_BYFEATURE = """cells AS (SELECT l_suppkey AS k, o_custkey%40 AS patient, o_orderstatus AS g, avg(l_quantity) AS x, avg(l_discount) AS y FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE o_orderstatus IN ('O','F') GROUP BY 1,2,3),
+deltas AS (SELECT k, patient, round(max(x) FILTER (g='O')-max(x) FILTER (g='F'),6) AS x, round(max(y) FILTER (g='O')-max(y) FILTER (g='F'),6) AS y FROM cells GROUP BY 1,2),
+r AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY x)+(count(*) OVER (PARTITION BY k,x)-1)/2.0::DOUBLE AS rx, rank() OVER (PARTITION BY k ORDER BY y)+(count(*) OVER (PARTITION BY k,y)-1)/2.0::DOUBLE AS ry FROM deltas WHERE x IS NOT NULL AND y IS NOT NULL),
+g AS (SELECT k, count(*) AS n, count(*)*sum(rx*ry)-sum(rx)*sum(ry) AS c, count(*)*sum(rx*rx)-sum(rx)*sum(rx) AS vx, count(*)*sum(ry*ry)-sum(ry)*sum(ry) AS vy FROM r GROUP BY 1),
+h AS (SELECT k, CASE WHEN n>=10 AND vx>1e-9 AND vy>1e-9 THEN c/(sqrt(vx)*sqrt(vy)) END AS rho, n, (n-2)::DOUBLE AS df FROM g)"""
+
+
+@query(sql(_BYFEATURE, select=f"SELECT k, round(rho,4)+0.0::DOUBLE AS rho, n, round({_t_tail('(rho*sqrt(df)/sqrt(1-rho*rho))', 'df')},4)+0.0::DOUBLE AS p FROM h"))
+def paired_cis_correlation(spark, sf_dir):
+    """Correlation per supplier of the paired differences of two measures, with its p."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("o_orderstatus in ('O', 'F')")
+    rows = rows.select(F.col("l_suppkey").alias("k"), (F.col("o_custkey") % 40).alias("patient"), F.when(F.col("o_orderstatus") == "O", "tumour").otherwise("normal").alias("grp"), "l_quantity", "l_discount")
+    x, y = (regulon.paired_deltas(rows, "k", c).select("k", "patient", F.round("delta", 6).alias("value")) for c in ("l_quantity", "l_discount"))
+    return rounded(regulon.with_spearman_p(regulon.cis_correlation(x, y, "k", "patient", least=10)).select("k", "rho", "n", "p"), 4)

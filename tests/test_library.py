@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cohortweave.functions import ranks
+from cohortweave.functions import ranks, scalars
 from cohortweave.operators import components, evidence, solver, summaries
 from cohortweave.scratch import Scope, cut
 from cohortweave.sources import tables
@@ -99,3 +99,11 @@ def test_backends_and_the_warning_of_an_empty_forest(spark, monkeypatch):
 def test_report_figures(spark):
     df = spark.createDataFrame([("x", 0.1234, 41.6), ("y", None, 7.0)], "r string, rho double, share double")
     assert [tuple(r) for r in summaries.figures_as_text(df, rho="%+.3f", share="%.0f%%").collect()] == [("x", "+0.123", "42%"), ("y", None, "7%")]
+
+
+def test_draws_have_their_means(spark):
+    df = spark.range(20_000).select(
+        scalars.gamma(1, 3, "id").alias("g"), scalars.beta(2, 2, 6, "id").alias("b"), scalars.negative_binomial(3, 4, 30.0, "id").alias("n"), scalars.choice(4, ["x", "y", "z"], [1, 2, 1], "id").alias("c")
+    )
+    r = df.agg(F.avg("g"), F.avg("b"), F.avg("n"), F.var_samp("n"), F.avg((F.col("c") == "y").cast("int")), F.avg((F.col("c") == "z").cast("int"))).first()
+    assert list(r) == [pytest.approx(m, rel=0.06) for m in (3, 0.25, 30, 30 + 30**2 / 4, 0.5, 0.25)]
