@@ -17,7 +17,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.functions.ranks import counted_values
@@ -144,28 +143,37 @@ def fly(p: list[float], size: list[int], rng: np.random.Generator, held: int) ->
     return p
 
 
-def _flown(group: pd.DataFrame, seed: int) -> pd.DataFrame:
-    first = group.iloc[0]
-    group = group.sort_values(["size", "__order"], ascending=[False, True], kind="stable").reset_index(drop=True)
+def _flown(rows, seed: int):
+    """One block, an Arrow table, with p after its flight."""
+    import pyarrow as pa
+
+    first = {c: rows[c][0].as_py() for c in ("__source", "__block", "__level", "__blocks")}
+    p, size, order = (rows[c].to_numpy() for c in ("p", "size", "__order"))
+    at = np.lexsort((order, -size))
     rng = np.random.default_rng(zlib.crc32(f"{first['__source']}/{first['__block']}/{first['__level']}/{seed}".encode()))
-    p, size = group["p"].tolist(), group["size"].tolist()
-    group["p"] = land(fly_largest(p, size, rng, HELD), size) if first["__blocks"] == 1 else fly(p, size, rng, HELD // 2)
-    return group
+    q, sizes = p[at].tolist(), size[at].tolist()
+    out = np.empty(len(p))
+    out[at] = land(fly_largest(q, sizes, rng, HELD), sizes) if first["__blocks"] == 1 else fly(q, sizes, rng, HELD // 2)
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(out))
 
 
 def _flights(seed: int):
     """Over partitions sorted by source and block: a block flies when the next one begins."""
 
     def run(batches):
+        import pyarrow as pa
+
         held = None
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            at = rows.groupby(["__source", "__block"], sort=False).ngroup().to_numpy()
-            for k in range(at.max(initial=0)):
-                yield _flown(rows[at == k], seed)
-            held = rows[at == at.max(initial=0)]
-        if held is not None and len(held):
-            yield _flown(held, seed)
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            source, block = rows["__source"].to_pylist(), rows["__block"].to_pylist()
+            starts = [i for i in range(len(block)) if i == 0 or block[i] != block[i - 1] or source[i] != source[i - 1]]
+            for a, b in zip(starts, starts[1:]):
+                yield from _flown(rows.slice(a, b - a), seed).to_batches()
+            held = rows.slice(starts[-1]) if starts else None
+        if held is not None:
+            yield from _flown(held, seed).to_batches()
 
     return run
 
@@ -197,7 +205,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
 def _copies(counted: DataFrame, key: list[str], weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
     """A row for each document of counted (key, source, size, n: so many alike): key, source, size, source_size, target, copies.
 
-    The key may hold strings, or numbers that are never null: it passes through pandas.
+    Blocks fly as Arrow tables, so the key may be anything.
     """
     with Scope() as scope:
         plan = cut(source_targets(counted, weights, most), "mix-plan")
@@ -215,7 +223,7 @@ def _copies(counted: DataFrame, key: list[str], weights: tuple[int, ...], most:
         while True:
             some = rows.withColumn("__block", F.pmod(F.xxhash64("__order", F.lit(level)), F.col("__blocks"))).withColumn("__level", F.lit(level))
             dealt = some.repartition("__source", "__block").sortWithinPartitions("__source", "__block")
-            flown = scope.keep(cut(dealt.mapInPandas(_flights(seed), some.schema), f"mix-{level}"))
+            flown = scope.keep(cut(dealt.mapInArrow(_flights(seed), some.schema), f"mix-{level}"))
             settled = flown.where("p = 0 or p = 1")
             done = settled if done is None else done.unionByName(settled)
             if most_blocks == 1:
@@ -241,10 +249,10 @@ def cube_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     text may have any length, and a source any share of the rows. Other columns are ignored.
     """
     with Scope() as scope:
-        sized = _sizes(docs, F.col("doc_id").cast("long").cast("string").alias("doc_id"))
+        sized = _sizes(docs, F.col("doc_id").cast("long").alias("doc_id"))
         counted = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counted")
         out = scope.keep(cut(_copies(counted, ["doc_id"], weights, most, seed), "mix-copies"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = 8) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortweave.llm.quality_rules import MEASURES, measure
@@ -115,8 +114,8 @@ class QualityModel:
         return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0.0, 1.0)
 
 
-def _matrix(batch: pd.DataFrame) -> np.ndarray:
-    return batch[list(_NAMES)].to_numpy(np.float64)
+def _matrix(batch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in _NAMES])
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityModel | None:
@@ -152,25 +151,29 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig) -> QualityMod
     size = config.features + 1
 
     def sums(batches):
+        import pyarrow as pa
+
         a, b = np.zeros((size, size)), np.zeros(size)
         for batch in batches:
             phi = model.lift(_matrix(batch))
             a += phi.T @ phi
-            b += phi.T @ batch["y"].to_numpy()
-        yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
+            b += phi.T @ batch.column("y").to_numpy()
+        yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "b": [b.tobytes()]})
 
     some = rows.where("not calibrates")
-    parts = (some if not some.isEmpty() else rows).mapInPandas(sums, "a binary, b binary").collect()
+    parts = (some if not some.isEmpty() else rows).mapInArrow(sums, "a binary, b binary").collect()
     a = sum(np.frombuffer(p["a"]).reshape(size, size) for p in parts)
     b = sum(np.frombuffer(p["b"]) for p in parts)
     model.coef = np.linalg.solve(a + config.ridge * moments["n"] * np.eye(size), b)
 
     def raw(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            yield pd.DataFrame({"raw": model.raw(_matrix(batch)), "y": batch["y"]})
+            yield pa.RecordBatch.from_pydict({"raw": model.raw(_matrix(batch)), "y": batch.column("y")})
 
     held = rows.where("calibrates")
-    held = (held if not held.isEmpty() else rows).mapInPandas(raw, "raw double, y double").groupBy("raw").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("w")).toPandas()
+    held = (held if not held.isEmpty() else rows).mapInArrow(raw, "raw double, y double").groupBy("raw").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("w")).toPandas()
     held = held.sort_values("raw")
     model.knots, model.levels = held["raw"].to_numpy(), pava(held["y"].to_numpy(), held["w"].to_numpy(np.float64))
     return model
