@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
 Patterns give the base spans. A conditional random field over word-shape features, trained from a small labelled
-table, reads the words around every digit, @ and spelled-out at or dot, and adds spans that the
+table, reads the words around every digit, @ and spelled-out at before a dotted name, and adds spans that the
 patterns miss (a phone number without its plus, a spelled address). Training is exact forward-backward
 in numpy; decoding is Viterbi over padded batches of word windows.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,8 @@ from cohortweave.llm.rows import map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _BASE = re.compile(r"[0-9@]")
-#: Every span that _plausible takes holds one of these.
-_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.IGNORECASE)
+#: Every span that _plausible takes holds one of these: digits, an @, or a spelled at before a name with a dot.
+_TRIGGER = re.compile(r"[0-9]+|@|\bat\)? ?[a-z0-9-]+(?:\.[a-z0-9-]| \(?dot\b)", re.IGNORECASE)
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -353,10 +354,10 @@ def add_spans(crf: Crf, texts: list[str | None], base: list[list[Span]]) -> list
             if _TRIGGER.search(line):
                 words = [(m.group(), at + m.start(), at + m.end()) for m in _WORD.finditer(line)]
                 near = np.zeros(len(words) + 1, np.int64)
-                for i, w in enumerate(words):
-                    if _TRIGGER.search(w[0]):
-                        near[max(0, i - WINDOW)] += 1
-                        near[min(len(words), i + WINDOW + 1)] -= 1
+                starts = [w[1] for w in words]
+                for i in {bisect_right(starts, at + m.start()) - 1 for m in _TRIGGER.finditer(line)}:
+                    near[max(0, i - WINDOW)] += 1
+                    near[min(len(words), i + WINDOW + 1)] -= 1
                 inside = np.cumsum(near)[:-1] > 0
                 start = None
                 for i in range(len(words) + 1):
