@@ -16,9 +16,23 @@ from cohortweave.llm.quality_classifier import keep_quality
 from cohortweave.llm.storage import Scope, cut, small_side
 from cohortweave.llm.tokens import tokenizer_path
 
-#: The stages cannot be put in SQL; tests compare them with brute force.
+#: The stages cannot be put in SQL; tests/llm/test_brute_force.py holds run() against plain versions of all five.
 ORACLE_SQL = None
 
+#: Documents in an Arrow batch: texts are long, and a batch is in memory several times over, in the JVM and beside it.
+BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _bounded(spark: SparkSession) -> str:
+    """Bound Arrow batches of the session to BATCH rows, if they are larger; gives the setting before.
+
+    A stage is run after it returns, so a single stage leaves the session so; run() puts the setting back.
+    """
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH:
+        spark.conf.set(_BATCH, str(BATCH))
+    return before
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are judged by their zero statistics, rows with a null doc_id and repeated rows one by one; texts
     of any length are read whole; an empty table stays empty; without a usable label nothing goes. Other columns are kept.
     """
+    _bounded(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that are linked and share a doc_id, the one with the smallest hash stays. An empty table stays empty, texts of any length
     are compared whole, and other columns are kept, whatever their names.
     """
+    _bounded(spark)
     known = docs.where("doc_id is not null")
     with Scope() as scope:
         if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
@@ -59,6 +75,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each row is read by itself and whole: null texts stay null, empty ones empty, repeated rows equal, an empty table empty;
     a null doc_id and other columns stay as they are.
     """
+    _bounded(spark)
     return redact_documents(docs)
 
 
@@ -68,6 +85,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has size 0, a null source is a source of its own, a null doc_id is a document like others; repeated
     rows share what the mix takes of them; an empty table stays empty; other columns are kept, whatever their names.
     """
+    _bounded(spark)
     return mixed_documents(docs)
 
 
@@ -77,6 +95,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as an empty one, with no ids; a null doc_id stays null; repeated rows give repeated rows, an empty
     table none; texts of any length are encoded whole; other columns are left out.
     """
+    _bounded(spark)
     return bpe_round_trip(docs, tokenizer_path())
 
 
@@ -91,10 +110,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; a stage's table is deleted when the next one's is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with Scope() as scope:
-        for name, stage in STAGES[:-1]:
-            before, docs = docs, cut(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
-            scope.free(before)
-        scope.keep(docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), _bounded(spark)
+    try:
+        with Scope() as scope:
+            for name, stage in STAGES:
+                last, docs = docs, cut(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
+                scope.free(last)
+            return scope.keep(docs)
+    finally:
+        spark.conf.set(_BATCH, before)
