@@ -57,5 +57,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], tuple]], fiel
                 part = batch.slice(a, b - a)
                 values = function(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v, t) for v, t in zip(values, types))], names=names)
+        # the worker stays for later tasks; what Arrow has put by goes
+        pa.default_memory_pool().release_unused()
 
     return some.mapInArrow(run, schema)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
-_SEGMENT = 1 << 20
+#: Bytes of a text that are hashed at once; words are the same however it is cut.
+_SEGMENT = 1 << 17
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _K = np.uint64(0x9E3779B97F4A7C15)
