@@ -36,4 +36,50 @@ walk(node, other) AS (SELECT a, b FROM l UNION SELECT walk.node, l.b FROM walk J
 c AS (SELECT node, min(other) AS m FROM walk GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n,0)::BIGINT AS n_links, least(vec_id, coalesce(m,vec_id)) AS component_id, vec_id<=coalesce(m,vec_id) AS kept FROM embeddings LEFT JOIN k ON a=vec_id LEFT JOIN c ON node=vec_id"""
 
-SQL = {"op3_jaccard_join": JACCARD, "op4_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op10_embedding_dedup": EMBEDDINGS}
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes: bytes come in by xor, and each is followed by eight steps, -1, of the polynomial."""
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x'||substr(hex(encode({text})), 1+2*i::INT, 2))::BIGINT)"
+    steps = f"flatten(list_transform({data}, lambda b: [b,-1,-1,-1,-1,-1,-1,-1,-1]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, b: CASE WHEN b>=0 THEN xor(c,b) WHEN c%2=1 THEN xor(c//2, 3988292384::BIGINT) ELSE c//2 END), 4294967295::BIGINT)"
+
+
+SPELLING = rf"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT run, k, coalesce(doc_id::VARCHAR,'')||':'||run AS t FROM (SELECT doc_id, run, count(*) AS k FROM r GROUP BY 1,2)),
+h AS (SELECT run, k, {_crc32("t")} AS h FROM d),
+c AS (SELECT CASE WHEN h%97=0 THEN substring(run,1,h%length(run))||substring(run,h%length(run)+2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM c WHERE length(word)>=5 GROUP BY 1 HAVING sum(k)>=3),
+x AS (SELECT word, i, substring(word,1,i-1)||substring(word,i+1) AS v FROM (SELECT word, unnest(range(1,length(word)+1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.v=b.v AND a.i=b.i AND a.word<>b.word UNION SELECT x.word, w.word FROM x JOIN w ON x.v=w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.v=w.word),
+q AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p JOIN w ON word=b),
+f AS (SELECT w.word, w.n, coalesce(n_near,0)::BIGINT AS n_near, CASE WHEN q.n>=2*w.n THEN b END AS form, CASE WHEN q.n>=2*w.n THEN q.n END AS form_n FROM w LEFT JOIN q ON a=w.word AND k=1),
+walk(word, last, nxt) AS (SELECT word, word, form FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word=nxt)
+SELECT f.word, form, last AS root, n, n_near, form_n FROM f JOIN walk ON walk.word=f.word WHERE nxt IS NULL"""
+
+
+def _merkle(levels: int = 20, top: int = 10) -> str:
+    """Trees of at most 2**levels leaves for each of at most 2**top langs, a statement for each level."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR)||':'||({c})::VARCHAR END"
+    digest = lambda chars: "sha256(" + "||".join(map(field, ("doc_id", "source", "lang", chars, "text"))) + ")"
+    parts = [
+        f"d AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS id FROM (SELECT doc_id, lang, {digest('n_chars')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')}%7=0 THEN {digest('n_chars+1')} END AS other FROM documents))",
+        "a0 AS MATERIALIZED (SELECT lang AS g, row_number() OVER (PARTITION BY lang ORDER BY id)-1 AS i, leaf AS x, count(*) OVER (PARTITION BY lang) AS m FROM d)",
+        "pa0 AS MATERIALIZED (SELECT id, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY id)-1 AS i, coalesce(other, leaf) AS f, '' AS s FROM d)",
+    ]
+
+    def tree(t: str, n: int) -> None:
+        for k in range(n):
+            parts.append(f"{t}{k + 1} AS MATERIALIZED (SELECT g, i//2 AS i, CASE WHEN max(m)=1 THEN min(x) ELSE sha256(string_agg(x, '' ORDER BY i)) END AS x, (max(m)+1)//2 AS m FROM {t}{k} GROUP BY g, i//2)")
+            parts.append(
+                f"p{t}{k + 1} AS MATERIALIZED (SELECT id, p.g, p.i//2 AS i, CASE WHEN o.m=1 THEN f WHEN b.x IS NULL THEN sha256(f) WHEN p.i%2=1 THEN sha256(b.x||f) ELSE sha256(f||b.x) END AS f, s||coalesce(b.x,'') AS s FROM p{t}{k} p"
+                f" JOIN {t}{k} o ON o.g IS NOT DISTINCT FROM p.g AND o.i=p.i LEFT JOIN {t}{k} b ON b.g IS NOT DISTINCT FROM p.g AND b.i=xor(p.i,1))"
+            )
+
+    tree("a", levels)
+    parts.append(f"b0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST)-1 AS i, x, count(*) OVER () AS m, g AS lang FROM a{levels})")
+    parts.append(f"pb0 AS MATERIALIZED (SELECT id, 0 AS g, b0.i, f, s FROM pa{levels} p JOIN b0 ON b0.lang IS NOT DISTINCT FROM p.g)")
+    tree("b", top)
+    return "WITH " + ",\n".join(parts) + f"\nSELECT d.doc_id, leaf, b0.x AS subroot, r.x AS root, sha256(s) AS proof_sha256, f AS folded_root, f=r.x AS verified FROM d JOIN pb{top} USING (id) JOIN b0 ON b0.lang IS NOT DISTINCT FROM d.lang CROSS JOIN b{top} r"
+
+
+SQL = {"op3_jaccard_join": JACCARD, "op4_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op10_embedding_dedup": EMBEDDINGS, "op11_spelling_variants": SPELLING, "op13_merkle_manifest": _merkle()}

@@ -76,6 +76,24 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.spelling import spelling_variants
+
+    return spelling_variants(_documents(spark, sf_dir))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.token_counts import token_counts
+
+    return token_counts(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortweave.llm.merkle import checked_manifest
+
+    return checked_manifest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -88,6 +106,9 @@ def queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op10_embedding_dedup": op10_embedding_dedup,
         "op5_bpe_round_trip": op5_bpe_round_trip,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_token_counts": op12_token_counts,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
