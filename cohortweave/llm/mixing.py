@@ -216,6 +216,8 @@ def _copies(counted: DataFrame, key: list[str], weights: tuple[int, ...], most:
         part = F.when(f - whole > _TINY, F.least(F.lit(1.0), F.greatest(F.lit(0.0), f - whole))).otherwise(F.lit(0.0))
         plan = plan.select(name.alias("__source"), "source_size", "target", whole.alias("whole"), part.alias("p"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long").alias("__blocks"))
         chunk = counted.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DEALT).cast("long"))))
+        # the copies of one row are made in many tasks, if they are many
+        chunk = chunk.where(F.col("n") <= DEALT).unionByName(chunk.where(F.col("n") > DEALT).repartition(*key, "__at"))
         each = chunk.withColumn("__at", F.explode(F.sequence(F.col("__at"), F.least(F.col("__at") + (DEALT - 1), F.col("n") - 1))))
         rows = each.select(*key, "source", name.alias("__source"), "size", F.xxhash64(*key, "size", "__at", F.lit(seed)).alias("__order"))
         rows = join_salted(rows, plan, ["__source"], "__order", "inner")
@@ -262,17 +264,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     column share what their count takes. Texts are shuffled once, to be joined to their copies. Nulls in any column,
     empty texts and an empty table are as in cube_mix.
     """
-    a, b = F.xxhash64(*docs.columns).alias("__a"), F.xxhash64(F.lit(seed), *docs.columns).alias("__b")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    a, b = F.xxhash64(*columns).alias("__a"), F.xxhash64(F.lit(seed), *columns).alias("__b")
     with Scope() as scope:
         counted = cut(_sizes(docs, a, b).groupBy("__a", "__b", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counted")
-        flown = _copies(counted, ["__a", "__b"], weights, most, seed).groupBy("__a", "__b").agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__alike"))
+        flown = _copies(counted, ["__a", "__b"], weights, most, seed).groupBy("__a", "__b").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("alike"))
         copies = scope.keep(cut(flown, "mix-copies"))
-        alike = scope.keep(cut(copies.where("__alike > 1").select("__a", "__b", F.col("__copies").alias("__of_all")), "mix-alike"))
-    rows, own = docs.select("*", a, b), copies.where("__alike = 1 and __copies > 0").select("__a", "__b", "__copies")
-    out = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+        alike = scope.keep(cut(copies.where("alike > 1").select("__a", "__b", F.col("copies").alias("of_all")), "mix-alike"))
+    # a row travels as one struct, so that its columns may have any names
+    rows, own = docs.select(F.struct(*columns).alias("row"), a, b), copies.where("alike = 1 and copies > 0").select("__a", "__b", "copies")
+    out = lambda df: df.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
     if alike.isEmpty():
         return out(rows.join(own, ["__a", "__b"]))
     # equal rows meet before the shuffle, however many they are
-    marked = join_salted(rows.withColumn("__row", F.monotonically_increasing_id()), alike, ["__a", "__b"], "__row").drop("__row")
-    one = marked.where("__of_all > 0").groupBy("__a", "__b").agg(F.first("__of_all").alias("__copies"), *[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    return out(marked.where("__of_all is null").drop("__of_all").join(own, ["__a", "__b"])).unionByName(out(one))
+    marked = join_salted(rows.withColumn("place", F.monotonically_increasing_id()), alike, ["__a", "__b"], "place").drop("place")
+    one = marked.where("of_all > 0").groupBy("__a", "__b").agg(F.first("of_all").alias("copies"), F.first("row").alias("row"))
+    return out(marked.where("of_all is null").drop("of_all").join(own, ["__a", "__b"])).unionByName(out(one))

@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
 Patterns give the base spans. A conditional random field over word-shape features, trained from a small labelled
-table, reads the words around every digit, @ and spelled-out at before a dotted name, and adds spans that the
+table, reads the words around every digit, @ and spelled-out at or dot, and adds spans that the
 patterns miss (a phone number without its plus, a spelled address). Training is exact forward-backward
 in numpy; decoding is Viterbi over padded batches of word windows.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +19,10 @@ from cohortweave.llm.rows import map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _BASE = re.compile(r"[0-9@]")
-#: Every span that _plausible takes holds one of these: digits, an @, or a spelled at before a name with a dot.
-_TRIGGER = re.compile(r"[0-9]+|@|\bat\)? ?[a-z0-9-]+(?:\.[a-z0-9-]| \(?dot\b)", re.IGNORECASE)
+#: A line without one of these holds no span that _plausible takes.
+_LINE = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.IGNORECASE)
+#: A word that the field reads, with its neighbours: every word of a span that _plausible takes is one, or next to one.
+_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b|\A[^\w]+\Z", re.IGNORECASE)
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -30,7 +31,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: An address whose at or dots may be words, in brackets or not.
 _SPELLED = re.compile(r"[a-z0-9._%+-]+(?: \(?dot\)? [a-z0-9_%+-]+)* ?(?:@|\(at\)|(?<= )at(?= )) ?[a-z0-9-]+(?:(?:\.| \(?dot\)? )[a-z0-9-]+)+", re.IGNORECASE)
+#: Words on both sides of a trigger that are read with it.
 WINDOW = 6
+#: Code points up to which a word's features are kept for later.
+KEPT = 64
 #: Words that a padded batch may hold, unless a single window has more.
 CELLS = 1 << 17
 
@@ -195,9 +199,12 @@ LABELLED = (
 )
 
 
-@lru_cache(maxsize=1 << 13)
 def features(word: str) -> tuple[str, ...]:
     """Shape features of one word: its character classes, run lengths and a few marks."""
+    return _known_features(word) if len(word) <= KEPT else _features(word)
+
+
+def _features(word: str) -> tuple[str, ...]:
     core = word.strip(",.;:!?\"'")
     spelled = core.lower() in ("at", "dot", "(at)", "(dot)")
     core = core.lower() if spelled else core
@@ -221,6 +228,9 @@ def features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_known_features = lru_cache(maxsize=1 << 13)(_features)
+
+
 def labelled_words(marked: str) -> tuple[list[str], list[str]]:
     """Words of one row of the labelled table and the label of each: O, or B- and I- of a kind."""
     text, spans = "", []
@@ -337,7 +347,7 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "email":
         return _SPELLED.fullmatch(text) is not None
     if kind == "ip":
-        return text.count(".") == 3 and n >= 4 and all(p.isdigit() and int(p) <= 255 for p in text.split("."))
+        return text.count(".") == 3 and n >= 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in text.split("."))
     if kind == "card":
         return 13 <= n <= 19 and luhn(_digits(text)) and not re.search(r"[A-Za-z]", text)
     return 7 <= n <= 15 and not re.search(r"[A-Za-z]", text) and re.search(r"[-() +]", text) is not None
@@ -347,26 +357,24 @@ def add_spans(crf: Crf, texts: list[str | None], base: list[list[Span]]) -> list
     """Spans that the field finds outside the base spans, for each text."""
     windows, where = [], []
     for d, text in enumerate(texts):
-        if not text or not _TRIGGER.search(text):
+        if not text or not _LINE.search(text):
             continue
         at = 0
         for line in text.split("\n"):
-            if _TRIGGER.search(line):
+            if _LINE.search(line):
                 words = [(m.group(), at + m.start(), at + m.end()) for m in _WORD.finditer(line)]
-                near = np.zeros(len(words) + 1, np.int64)
-                starts = [w[1] for w in words]
-                for i in {bisect_right(starts, at + m.start()) - 1 for m in _TRIGGER.finditer(line)}:
-                    near[max(0, i - WINDOW)] += 1
-                    near[min(len(words), i + WINDOW + 1)] -= 1
-                inside = np.cumsum(near)[:-1] > 0
-                start = None
-                for i in range(len(words) + 1):
-                    if i < len(words) and inside[i]:
-                        start = i if start is None else start
-                    elif start is not None:
-                        windows.append([w[0] for w in words[start:i]])
-                        where.append((d, words[start:i]))
-                        start = None
+                start, end = 0, -1
+                for i, word in enumerate(words):
+                    if _TRIGGER.search(word[0]):
+                        if i - WINDOW > end:
+                            if end > start:
+                                windows.append([w[0] for w in words[start:end]])
+                                where.append((d, words[start:end]))
+                            start = max(0, i - WINDOW)
+                        end = min(len(words), i + WINDOW + 1)
+                if end > start:
+                    windows.append([w[0] for w in words[start:end]])
+                    where.append((d, words[start:end]))
             at += len(line) + 1
     added: list[list[Span]] = [[] for _ in texts]
     for (d, words), labels in zip(where, crf.decode(windows)):
