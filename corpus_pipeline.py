@@ -54,19 +54,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are compared whole, and other columns are kept, whatever their names.
     """
     _bounded(spark)
-    known = docs.where("doc_id is not null")
+    known, columns = docs.where("doc_id is not null"), [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     with Scope() as scope:
         if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             found = jaccard_components(docs)
             gone = scope.keep(cut(found.where("doc_id <> component_id").select("doc_id"), "pipeline-gone"))
-            return docs.join(gone if (held := small_side(gone)) is None else held, "doc_id", "left_anti").select(docs.columns)
-        rows = scope.keep(cut(known.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows"))
-        found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+            return docs.join(gone if (held := small_side(gone)) is None else held, "doc_id", "left_anti").select(columns)
+        # a row travels as one struct, so that its columns may have any names
+        rows = scope.keep(cut(known.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("id")), "pipeline-rows"))
+        found = jaccard_components(rows.select(F.col("id").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("id"), "n_shingles", "component_id")
         empty = F.col("n_shingles") == 0
-        own = rows.select("__row", F.struct(F.col("doc_id").cast("long"), F.xxhash64(*docs.columns), "__row").alias("first"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
-        group = own.join(found, "__row").groupBy(F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("digest")))
-        stay = scope.keep(cut(group.agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row")), "pipeline-stay"))
-    return rows.join(stay, "__row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+        own = rows.select("id", F.struct(F.col("row.doc_id").cast("long"), F.xxhash64("row.*"), "id").alias("first"), F.col("row.doc_id").alias("doc_id"), F.coalesce(F.sha2("row.text", 256), F.lit("")).alias("digest"))
+        group = own.join(found, "id").groupBy(F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("digest")))
+        stay = scope.keep(cut(group.agg(F.min("first").alias("first")).select(F.col("first.id").alias("id")), "pipeline-stay"))
+    return rows.join(stay, "id", "left_semi").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
