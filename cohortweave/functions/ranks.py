@@ -91,10 +91,10 @@ def equal_width_bin(rank: Column, n: Column, bins: int) -> Column:
 
 
 def rank_bins(df: DataFrame, value: str, key: str, bins: int = 10, name: str = "bin") -> DataFrame:
-    """Add the bin of the rank of (value, key): every row has a rank of its own. One row has bin 1."""
+    """Add the rank of (value, key), of which every row has one of its own, and the rank's bin. One row has bin 1."""
     ranks = counted_values(df, [value, key])
     bin_ = F.coalesce(equal_width_bin(F.col("n_before") + 1, F.col("n_total"), bins), F.lit(1))
-    return df.join(ranks.select(value, key, bin_.alias(name)), [value, key], "left")
+    return df.join(ranks.select(value, key, (F.col("n_before") + 1).alias("rank"), bin_.alias(name)), [value, key], "left")
 
 
 def bh_adjust(df: DataFrame, p: str = "p", name: str = "padj", by: list[str] | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cohortweave.functions.draws import permuted_nodes
 from cohortweave.functions.ranks import average_rank, quantiles, rank_bins
-from cohortweave.functions.scalars import sign, uniform
+from cohortweave.functions.scalars import sign
 from cohortweave.scratch import Scope, cut
 
 
@@ -28,8 +29,8 @@ def induced(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def normalised(matrix: DataFrame) -> DataFrame:
     """Entries over the sum of absolute entries into their target."""
-    total = F.sum(F.abs("w")).over(Window.partitionBy("target"))
-    return matrix.select("source", "target", (F.col("w") / total).alias("w"))
+    total = matrix.groupBy("target").agg(F.sum(F.abs("w")).alias("total"))
+    return matrix.join(total, "target").select("source", "target", (F.col("w") / F.col("total")).alias("w"))
 
 
 def propagate(matrix: DataFrame, seeds: DataFrame, nodeset: DataFrame | None = None, damping: float = 0.5, hops: int = 4, normalise: bool = True) -> DataFrame:
@@ -50,44 +51,49 @@ def propagate(matrix: DataFrame, seeds: DataFrame, nodeset: DataFrame | None = N
     return total.groupBy("run", "node").agg(F.sum("state").alias("state"))
 
 
-def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFrame | None = None, min_abs: float = 1e-9, conf_quantile: float = 0.75, least: int = 10) -> DataFrame:
+def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFrame | None = None, min_abs: float = 1e-9, conf_quantile: float = 0.75, least: int = 10, runs: DataFrame | None = None) -> DataFrame:
     """Per run: rho_global, rho_local, rho_conf, sign_acc, sign_acc_conf, n_reached, n_sign_scored, n_conf.
 
     observed: node, value and optionally sig, which gates sign grading and the confident tail. Excluded nodes are not
-    evaluated; an unreached node is predicted 0. Every statistic but rho_global needs `least` rows, else it is NULL.
+    evaluated; an unreached node is predicted 0. Every statistic but rho_global needs `least` rows, else it is NULL. A row comes
+    for each run in runs (run), also for one that reaches nothing; without runs, for those that have a prediction.
     """
-    runs = predicted.select("run").distinct()
+    runs = (predicted if runs is None else runs).select("run").distinct()
     rows = observed if exclude is None else observed.join(exclude.select("node").distinct(), "node", "left_anti")
     rows = rows.select("node", F.col("value").cast("double").alias("v"), (F.coalesce("sig", F.lit(False)) if "sig" in observed.columns else F.lit(True)).alias("sig"))
-    rows = rows.crossJoin(F.broadcast(runs)).join(predicted, ["run", "node"], "left")
-    rows = rows.select("run", F.coalesce("state", F.lit(0.0)).alias("p"), "v", "sig")
-    rows = rows.withColumn("reached", F.abs("p") > min_abs).withColumn("hit", F.col("reached") & F.col("sig"))
-    rows = cut(rows, "scored")
-    hit = rows.where("hit").select("run", F.abs("p").alias("size"))
-    limit = quantiles(hit, "size", {"limit": conf_quantile}, ["run"]).join(hit.groupBy("run").agg(F.count(F.lit(1)).alias("hits")), "run")
-    rows = rows.join(limit, "run", "left").withColumn("conf", F.coalesce(F.col("hit") & (F.abs("p") >= F.col("limit")) & (F.col("hits") >= least), F.lit(False)))
-    rows = cut(rows, "scored")
-    for group, flag in (("g", F.lit(True)), ("l", F.col("reached")), ("c", F.col("conf"))):
-        rows = rows.withColumn(f"{group}_", flag)
-        for c in ("p", "v"):
-            x = F.when(F.col(f"{group}_"), F.col(c))
-            rows = average_rank(rows.withColumn(f"__{c}", x), f"__{c}", ["run"], name=f"{c}{group}").drop(f"__{c}")
-    same = (sign("p") == sign("v")).cast("double")
-
-    def rho(group: str, flag: str):
-        x, y = F.when(F.col(flag), F.col(f"p{group}")), F.when(F.col(flag), F.col(f"v{group}"))
-        n = F.count(x)
-        cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-        vx, vy = n * F.sum(x * x) - F.sum(x) * F.sum(x), n * F.sum(y * y) - F.sum(y) * F.sum(y)
-        return F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
-
-    agg = rows.groupBy("run").agg(
-        rho("g", "g_").alias("rho_global"), rho("l", "l_").alias("rho_local"), rho("c", "c_").alias("rho_conf"),
-        F.avg(F.when(F.col("hit"), same)).alias("sign_acc"), F.avg(F.when(F.col("conf"), same)).alias("sign_acc_conf"),
-        F.count_if("reached").alias("n_reached"), F.count_if("hit").alias("n_sign_scored"), F.count_if("conf").alias("n_conf"),
-    )
-    enough = lambda c, n: F.when(F.col(n) >= least, F.col(c)).alias(c)
-    return agg.select("run", "rho_global", enough("rho_local", "n_reached"), enough("rho_conf", "n_conf"), enough("sign_acc", "n_sign_scored"), enough("sign_acc_conf", "n_conf"), "n_reached", "n_sign_scored", "n_conf")
+    with Scope() as scope:
+        rows = rows.crossJoin(F.broadcast(runs)).join(predicted, ["run", "node"], "left")
+        rows = rows.select("run", F.monotonically_increasing_id().alias("row"), F.coalesce("state", F.lit(0.0)).alias("p"), "v", "sig")
+        rows = rows.withColumn("reached", F.abs("p") > min_abs).withColumn("hit", F.col("reached") & F.col("sig"))
+        rows = cut(rows, "scored")
+        hit = rows.where("hit").select("run", F.abs("p").alias("size"))
+        limit = quantiles(hit, "size", {"limit": conf_quantile}, ["run"]).join(hit.groupBy("run").agg(F.count(F.lit(1)).alias("hits")), "run")
+        rows = rows.join(limit, "run", "left").withColumn("conf", F.coalesce(F.col("hit") & (F.abs("p") >= F.col("limit")) & (F.col("hits") >= least), F.lit(False)))
+        # the six ranks of a row, of p and v among all, reached and confident rows, come from one sorted table
+        sides = {"g": F.lit(True), "l": F.col("reached"), "c": F.col("conf")}
+        each = F.array(*[F.struct(F.lit(f"{c}{k}").alias("of"), F.when(on, F.col(c)).alias("x")) for k, on in sides.items() for c in ("p", "v")])
+        stacked = rows.select("*", F.explode(each).alias("e")).select(*rows.columns, "e.of", "e.x")
+        ranked = average_rank(stacked, "x", ["run", "of"])
+        rank = {f"{c}{k}": F.max(F.when(F.col("of") == f"{c}{k}", F.col("rank"))).alias(f"{c}{k}") for k in sides for c in ("p", "v")}
+        same = ["p", "v", "reached", "hit", "conf"]
+        rows = ranked.groupBy("run", "row").agg(*[F.first(c).alias(c) for c in same], *rank.values())
+        agree = (sign("p") == sign("v")).cast("double")
+
+        def rho(k: str):
+            x, y = F.col(f"p{k}"), F.when(F.col(f"p{k}").isNotNull(), F.col(f"v{k}"))
+            n = F.count(x)
+            cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
+            vx, vy = n * F.sum(x * x) - F.sum(x) * F.sum(x), n * F.sum(y * y) - F.sum(y) * F.sum(y)
+            return F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+
+        agg = rows.groupBy("run").agg(
+            rho("g").alias("rho_global"), rho("l").alias("rho_local"), rho("c").alias("rho_conf"),
+            F.avg(F.when(F.col("hit"), agree)).alias("sign_acc"), F.avg(F.when(F.col("conf"), agree)).alias("sign_acc_conf"),
+            F.count_if("reached").alias("n_reached"), F.count_if("hit").alias("n_sign_scored"), F.count_if("conf").alias("n_conf"),
+        )
+        enough = lambda c, n: F.when(F.col(n) >= least, F.col(c)).alias(c)
+        out = agg.select("run", "rho_global", enough("rho_local", "n_reached"), enough("rho_conf", "n_conf"), enough("sign_acc", "n_sign_scored"), enough("sign_acc_conf", "n_conf"), "n_reached", "n_sign_scored", "n_conf")
+        return scope.keep(cut(out, "scores"))
 
 
 def degree_bins(matrix: DataFrame, bins: int = 10) -> DataFrame:
@@ -99,16 +105,10 @@ def degree_bins(matrix: DataFrame, bins: int = 10) -> DataFrame:
 def shuffle_seeds(seeds: DataFrame, bins: DataFrame, runs: int, seed: int = 1) -> DataFrame:
     """(run, node, state) for runs 1..runs: each seed's state moves to a node of its degree bin, without replacement.
 
-    Seeds outside the network are dropped. Draws are hashes of (run, node), so they do not depend on partitioning.
+    bins: degree_bins. Seeds outside the network are dropped. A run permutes the places in a bin by arithmetic, so draws do not
+    depend on partitioning, and only rows of seeds are made.
     """
-    spark = seeds.sparkSession
-    run = spark.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
-    placed = seeds.join(bins.select("node", "bin"), "node")
-    want = placed.withColumn("nth", F.row_number().over(Window.partitionBy("bin").orderBy("node"))).select("bin", "nth", "state")
-    used = want.select("bin").distinct()
-    draw = bins.select("node", "bin").join(used, "bin", "left_semi").crossJoin(F.broadcast(run))
-    draw = draw.withColumn("nth", F.row_number().over(Window.partitionBy("run", "bin").orderBy(uniform(seed, "run", "node"), "node")))
-    return draw.join(want, ["bin", "nth"]).select("run", "node", "state")
+    return permuted_nodes(bins, seeds.select("node", "state"), runs, seed)
 
 
 def empirical_p(observed: DataFrame, null: DataFrame, value: str, lower: bool = False) -> DataFrame:
@@ -119,14 +119,19 @@ def empirical_p(observed: DataFrame, null: DataFrame, value: str, lower: bool =
     return rows.agg(((F.count_if(extreme) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.avg(value).alias("null_mean"), F.count(F.lit(1)).alias("n"))
 
 
-def null_scores(matrix: DataFrame, seeds: DataFrame, observed: DataFrame, runs: int, seed: int = 1, bins: int = 10, **options) -> DataFrame:
-    """Scores of `runs` degree-matched shuffles of the seeds, all of them at once.
+def null_scores(matrix: DataFrame, seeds: DataFrame, observed: DataFrame, runs: int, seed: int = 1, bins: int = 10, digits: int = 12, **options) -> DataFrame:
+    """Scores of `runs` degree-matched shuffles of the seeds, all of them at once, a row for each run.
+
+    States are rounded to so many digits before they are ranked, so that nodes that tie do so in whatever order their sums are made.
 
     The inputs, the shuffles and the predictions are cut: the driver holds small plans instead of one with each of them many times.
     """
-    matrix, seeds, observed = cut(matrix, "null-matrix"), cut(seeds, "null-seeds"), cut(observed, "null-observed")
-    moved = cut(shuffle_seeds(seeds, degree_bins(matrix, bins), runs, seed), "null-shuffles")
-    return score_prediction(cut(propagate(matrix, moved, **options), "null-predicted"), observed, seeds.select("node"))
+    with Scope() as scope:
+        matrix, seeds, observed = cut(matrix, "null-matrix"), cut(seeds, "null-seeds"), cut(observed, "null-observed")
+        moved = cut(shuffle_seeds(seeds, cut(degree_bins(matrix, bins), "null-bins"), runs, seed), "null-shuffles")
+        every = matrix.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
+        predicted = propagate(matrix, moved, **options).withColumn("state", F.round("state", digits))
+        return scope.keep(score_prediction(cut(predicted, "null-predicted"), observed, seeds.select("node"), runs=every))
 
 
 def star(matrix: DataFrame, seeds: DataFrame, observed: DataFrame, least: int = 5, top: int = 14) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from cohortweave.functions import ranks, scalars
+from cohortweave.functions.draws import draw_key_sql, permuted_sql
 from cohortweave.operators import diff, evidence, network, propagation, regulon, solver, summaries
 from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
@@ -326,7 +327,7 @@ def score_prediction(spark, sf_dir):
 @query(sql("interactions", "matrix", """d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM m UNION ALL SELECT target FROM m) GROUP BY 1)""",
     select="SELECT node, degree, greatest(1, ceil(10*(row_number() OVER (ORDER BY degree, node)-1)::DOUBLE/(count(*) OVER ()-1)))::INTEGER AS bin FROM d"))
 def degree_bins(spark, sf_dir):
-    return propagation.degree_bins(_matrix(spark, sf_dir))
+    return propagation.degree_bins(_matrix(spark, sf_dir)).select("node", "degree", "bin")
 
 
 @query(sql("interactions", "users", "seeds", "matrix", """hit AS (SELECT s.node AS source, m.target, m.w*s.state AS push, u.value FROM seeds s JOIN m ON m.source=s.node JOIN users u ON u.node=m.target AND u.errors>0)""",
@@ -346,7 +347,51 @@ def empirical_p(spark, sf_dir):
     return out.withColumn("null_mean", F.round("null_mean", 4))
 
 
-@query()
+def _placed(ends: str) -> str:
+    """Nodes with their degree bin, their place in it and its size; ends: a table of node."""
+    return f"""d AS (SELECT node, count(*) AS degree FROM ({ends}) GROUP BY 1), k AS (SELECT node, row_number() OVER (ORDER BY degree, node) AS r, count(*) OVER () AS n FROM d),
+b AS (SELECT *, greatest(1, ceil(10*(r-1)::DOUBLE/(n-1)))::INTEGER AS bin FROM k), placed AS (SELECT node, bin, row_number() OVER (PARTITION BY bin ORDER BY r)-1 AS place, count(*) OVER (PARTITION BY bin) AS size FROM b)"""
+
+
+def _drawn(rows: str, value: str, runs: int, seed: int = 1) -> str:
+    """A value of rows (node, ...) moved within bins in each run."""
+    return f"""keyed AS (SELECT run, bin, place, size, {value}, {draw_key_sql(seed, "run", "bin")} AS draw FROM {rows} JOIN placed USING (node), range(1,{runs + 1}) AS runs(run)),
+drawn AS (SELECT run, bin, {permuted_sql("place", "size", "draw")} AS place, {value} FROM keyed),
+moved AS (SELECT run::INTEGER AS run, placed.node, {value} FROM drawn JOIN placed USING (bin, place))"""
+
+
+_MATRIX_ENDS = "SELECT source AS node FROM m UNION ALL SELECT target FROM m"
+
+
+@query(sql("interactions", "users", "seeds", "matrix", _placed(_MATRIX_ENDS), _drawn("seeds", "state", 300), select="SELECT run, node, state FROM moved"))
+def seed_shuffles(spark, sf_dir):
+    return propagation.shuffle_seeds(roles.seeds(spark, sf_dir), propagation.degree_bins(_matrix(spark, sf_dir)), runs=300)
+
+
+@query(sql("interactions", "costs", "users", "prizes", _placed("SELECT source AS node FROM edges UNION ALL SELECT target FROM edges"), _drawn("prizes", "prize", 200), select="SELECT run, node, prize FROM moved WHERE prize<>0"))
+def prize_shuffles(spark, sf_dir):
+    return solver.shuffled_prizes(_edges(spark, sf_dir), roles.prizes(spark, sf_dir), runs=200)
+
+
+_hop = lambda k: f"h{k} AS (SELECT run, target AS node, 0.5::DOUBLE*sum(w.w*x.state) AS state FROM {'moved' if k == 1 else f'h{k - 1}'} x JOIN w ON x.node=w.source GROUP BY 1,2)"
+_ranked = lambda name, where: f"""{name} AS (SELECT run, corr(p_,v_) AS rho FROM (SELECT run, rank() OVER (PARTITION BY run ORDER BY p)+(count(*) OVER (PARTITION BY run,p)-1)/2.0::DOUBLE AS p_, rank() OVER (PARTITION BY run ORDER BY v)+(count(*) OVER (PARTITION BY run,v)-1)/2.0::DOUBLE AS v_ FROM g WHERE {where}) GROUP BY run)"""
+_real = lambda x: f"CASE WHEN isfinite({x}) THEN round({x},6)+0.0::DOUBLE END"
+#: Scores of predictions `pred` (run, node, state) for every row of `runs` (run), with the seeds left out.
+_SCORED = [
+    "o AS (SELECT runs.run, u.node, coalesce(p.state,0) AS p, u.value AS v, u.errors>0 AS sig FROM users u CROSS JOIN runs LEFT JOIN pred p ON p.node=u.node AND p.run=runs.run WHERE u.node NOT IN (SELECT node FROM seeds))",
+    "f AS (SELECT *, abs(p)>1e-9 AS l, abs(p)>1e-9 AND sig AS h FROM o)",
+    "t AS (SELECT run, quantile_cont(abs(p),0.75) AS lim, count(*) AS hits FROM f WHERE h GROUP BY run)",
+    "g AS (SELECT f.*, coalesce(h AND abs(p)>=lim AND hits>=10, false) AS c FROM f LEFT JOIN t USING (run))",
+    _ranked("rg", "true"), _ranked("rl", "l"), _ranked("rc", "c"),
+    "s AS (SELECT run, count(*) FILTER (l) AS n_reached, count(*) FILTER (h) AS n_sign_scored, count(*) FILTER (c) AS n_conf, avg(CASE WHEN h THEN (sign(p)=sign(v))::INTEGER END) AS a, avg(CASE WHEN c THEN (sign(p)=sign(v))::INTEGER END) AS ac FROM g GROUP BY run)",
+]
+_SCORES = f"""SELECT s.run, {_real("rg.rho")} AS rho_global, CASE WHEN n_reached>=10 THEN {_real("rl.rho")} END AS rho_local, CASE WHEN n_conf>=10 THEN {_real("rc.rho")} END AS rho_conf, CASE WHEN n_sign_scored>=10 THEN {_real("a")} END AS sign_acc,
+CASE WHEN n_conf>=10 THEN {_real("ac")} END AS sign_acc_conf, n_reached, n_sign_scored, n_conf FROM s LEFT JOIN rg USING (run) LEFT JOIN rl USING (run) LEFT JOIN rc USING (run)"""
+_HOPS4 = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(1, 5))
+
+
+@query(sql("interactions", "users", "seeds", "matrix", _placed(_MATRIX_ENDS), _drawn("seeds", "state", 300), *map(_hop, range(1, 5)), f"pred AS (SELECT run, node, round(sum(state),12) AS state FROM ({_HOPS4}) GROUP BY 1,2)",
+    "runs AS (SELECT range::INTEGER AS run FROM range(1,301))", *_SCORED, select=_SCORES))
 def null_scores(spark, sf_dir):
     return propagation.null_scores(_matrix(spark, sf_dir), roles.seeds(spark, sf_dir), roles.observed(spark, sf_dir), runs=300)
 
@@ -735,6 +780,15 @@ def nearest_terminals(spark, sf_dir):
     return solver.nearest_terminal(ends, prizes.where("prize > 0.12").select("node")).select("node", "dist")
 
 
+@query("WITH RECURSIVE " + sql("interactions", "costs", "users", "prizes", """arcs AS (SELECT source AS a, target AS b, cost FROM edges UNION ALL SELECT target, source, cost FROM edges)""",
+    """far(src, node, dist) USING KEY (src, node) AS (SELECT node, node, 0.0::DOUBLE FROM prizes WHERE prize>0.12 UNION (SELECT far.src, b, min(far.dist+arcs.cost) FROM far JOIN arcs ON arcs.a=far.node LEFT JOIN recurring.far AS known ON known.src=far.src AND known.node=arcs.b WHERE far.dist+arcs.cost<=0.5 AND (known.dist IS NULL OR far.dist+arcs.cost<known.dist-1e-12) GROUP BY far.src, b))""",
+    select="SELECT src, node, round(dist,6)+0.0::DOUBLE AS dist FROM far").removeprefix("WITH "))
+def terminal_distances(spark, sf_dir):
+    edges, prizes = _forest_inputs(spark, sf_dir)
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "cost")
+    return solver.distance_table(ends, prizes.where("prize > 0.12").select("node"), radius=0.5).select("src", "node", "dist")
+
+
 @query("SELECT DISTINCT p_partkey, nullif(p_brand,'Brand#11') AS symbol FROM part")
 def first_symbol(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_brand") != "Brand#11", F.col("p_brand")).alias("external_gene_name"), "p_name").distinct()
