@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.functions.ranks import quantiles, rank_normalise
@@ -19,8 +21,9 @@ def clean_endpoints(raw: DataFrame, source: str = "source", target: str = "targe
 
 
 def edge_costs(raw: DataFrame, confidence: str = "confidence", min_cost: float = 0.05, max_cost: float = 1.0) -> DataFrame:
-    """Add confidence rank `conf` over all rows and `cost`; without a confidence column every conf is 0.5."""
+    """Add confidence rank `conf` over all rows and `cost`; without a confidence column every conf is 0.5, with a warning."""
     if not has_column(raw, confidence):
+        warnings.warn(f"no column {confidence!r}: all edges cost the same", stacklevel=2)
         ranked = raw.withColumn("conf", F.lit(0.5))
     else:
         ranked = rank_normalise(raw.withColumn("__c", F.coalesce(F.col(confidence).cast("double"), F.lit(0.0))), "__c", name="conf").drop("__c")

@@ -1,7 +1,7 @@
 """The cohort run: tables of an expression and a methylation assay to a scored, tested subnetwork.
 
 python -m cohortweave.plans.cohort --input DIR --output DIR runs it over Parquet tables counts, expression_samples, symbols,
-beta, methylation_samples, annotation and a tab-separated network.
+beta, methylation_samples, annotation and a tab-separated network; symbols and biotype, annotation_fallback and bad_probes may be there.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortweave.operators import diff, evidence, network, solver
 from cohortweave.scratch import cut
 from cohortweave.sources import interactions
-from cohortweave.sources.tables import write_bundle, write_tsv
+from cohortweave.sources.tables import exists, write_bundle, write_tsv
+
+NEEDED = ("counts", "expression_samples", "beta", "methylation_samples", "annotation")
+OPTIONAL = ("symbols", "biotype", "annotation_fallback", "bad_probes")
 
 
 @dataclass(frozen=True)
@@ -110,12 +113,19 @@ def main() -> None:
     args.add_argument("--input", required=True)
     args.add_argument("--output", required=True)
     args.add_argument("--network", help="tab-separated interaction records; INPUT/network.tsv by default")
+    args.add_argument("--annotation-fallback", help="annotation of probes that the first one lacks; INPUT/annotation_fallback by default, if it is there")
+    args.add_argument("--bad-probes", help="probes to leave out; INPUT/bad_probes by default, if it is there")
     args.add_argument("--tsv", action="store_true", help="write every result table as tab-separated text too")
     a = args.parse_args()
     spark = SparkSession.builder.getOrCreate()
-    tables = {n: spark.read.parquet(f"{a.input}/{n}") for n in ("counts", "expression_samples", "symbols", "beta", "methylation_samples", "annotation", "biotype")}
+    tables = {n: spark.read.parquet(f"{a.input}/{n}") for n in NEEDED}
+    given = {"annotation_fallback": a.annotation_fallback, "bad_probes": a.bad_probes}
+    for name in OPTIONAL:
+        at = given.get(name) or f"{a.input}/{name}"
+        if given.get(name) or exists(spark, at):
+            tables[name] = spark.read.parquet(at)
     out = run(spark, tables, interactions.load(spark, a.network or f"{a.input}/network.tsv"))
-    write_bundle(spark, a.output, out, asdict(CohortConfig()))
+    write_bundle(spark, a.output, out, asdict(CohortConfig()) | {"optional_tables": sorted(set(tables) - set(NEEDED))})
     if a.tsv:
         for name, df in out.items():
             write_tsv(df, f"{a.output}/tsv/{name}", "overwrite")

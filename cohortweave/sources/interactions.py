@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import urllib.parse
 import urllib.request
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.functions.scalars import distinct_fields, has_column
 from cohortweave.operators.network import cost_graph
-from cohortweave.sources.tables import read_tsv, write_tsv
+from cohortweave.scratch import cut
+from cohortweave.sources.tables import cached, read_tsv, write_tsv
 
 # What the service accepts.
 FIELDS = (
@@ -60,38 +60,41 @@ def with_counts(df: DataFrame) -> DataFrame:
     return df
 
 
-class InteractionService(DataSource):
-    """spark.read.format("interactions").option("url", ...): the service's answer as strings, fetched in one task as it has no pages."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "interactions"
-
-    def schema(self) -> StructType:
-        with urllib.request.urlopen(self.options["url"]) as f:
-            names = f.readline().decode().rstrip("\r\n").split("\t")
-        return StructType([StructField(n, StringType()) for n in names])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["url"], len(schema))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, url: str, width: int):
-        self.url, self.width = url, width
-
-    def read(self, partition):
-        with urllib.request.urlopen(self.url) as f:
-            f.readline()
-            for line in f:
-                parts = line.decode().rstrip("\r\n").split("\t")
-                yield tuple((parts + [None] * self.width)[: self.width])
-
-
-def fetch(spark: SparkSession, url: str, save_to: str | None = None) -> DataFrame:
-    """Records of a query URL with derived counts; optionally also saved as a tab-separated table."""
-    spark.dataSource.register(InteractionService)
-    df = with_counts(checked(spark.read.format("interactions").option("url", url).load()))
+def _answer(spark: SparkSession, url: str) -> DataFrame:
+    """(line, fields) of the service's answer, asked for in one task as it has no pages, and handed on some lines at a time."""
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                held, line = [], 0
+                with urllib.request.urlopen(at) as f:
+                    for raw in f:
+                        held.append((line, raw.decode().rstrip("\r\n").split("\t")))
+                        line += 1
+                        if len(held) == 10_000:
+                            yield pa.RecordBatch.from_pydict({"line": [x for x, _ in held], "fields": [y for _, y in held]})
+                            held = []
+                yield pa.RecordBatch.from_pydict({"line": pa.array([x for x, _ in held], pa.int64()), "fields": pa.array([y for _, y in held], pa.list_(pa.string()))})
+
+    return spark.createDataFrame([(url,)], "url string").coalesce(1).mapInArrow(ask, "line long, fields array<string>")
+
+
+def fetch(spark: SparkSession, url: str, save_to: str | None = None, landing: str | None = None) -> DataFrame:
+    """Records of a query URL with derived counts; optionally also saved as a tab-separated table.
+
+    The service is asked once: its answer lands in a table that every later action reads. With a landing folder the
+    table is named after the URL's digest, and later calls for the same URL read it too; delete it to ask again.
+    """
+    if landing:
+        lines = cached(spark, f"{landing.rstrip('/')}/{hashlib.sha256(url.encode()).hexdigest()}", lambda: _answer(spark, url))
+    else:
+        lines = cut(_answer(spark, url), "service-answer")
+    head = lines.where("line = 0").first()
+    names = [] if head is None else head["fields"]
+    rows = lines.where("line > 0").select(*[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    df = with_counts(checked(rows))
     if save_to:
         write_tsv(df, save_to)
     return df
