@@ -1,20 +1,18 @@
 """Differential tests over long matrices (feature, sample, value), in closed form per feature.
 
 Two-group and pair-blocked linear models need only sums per feature, so each is one grouped pass. The driver handles
-a handful of scalars: the prior of the moderated variances, and the mean-variance trend over a bounded number of bins.
+a handful of scalars: the prior of the moderated variances, and about a hundred knots of the mean-variance trend, which all genes shape.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.functions.ranks import bh_adjust, quantiles
 from cohortweave.functions.scalars import m_value, patient_of, sample_group
+from cohortweave.functions.smooth import between, local_regression
 from cohortweave.functions.special import digamma, inverse_trigamma, t_p_value, trigamma
 from cohortweave.operators.evidence import complete_probes, patients_with_both, strongest
 from cohortweave.scratch import cut
@@ -140,37 +138,11 @@ def tmm_factors(counts: DataFrame) -> DataFrame:
     return f.crossJoin(F.broadcast(mean)).select("sample", "lib", F.pow(F.lit(2.0), F.col("lf") - F.col("mean")).alias("factor"))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: float = 0.5, rounds: int = 3) -> np.ndarray:
-    """Locally weighted lines at the points x (sorted) with robustness rounds."""
-    k = max(2, int(math.ceil(span * len(x))))
-    robust = np.ones(len(x))
-    fit = np.zeros(len(x))
-    for _ in range(rounds + 1):
-        for i in range(len(x)):
-            far = np.abs(x - x[i])
-            h = max(np.partition(far, k - 1)[k - 1], 1e-12)
-            g = np.clip(1 - (far / h) ** 3, 0, None) ** 3 * robust * w
-            sw, sx, sy = g.sum(), (g * x).sum(), (g * y).sum()
-            sxx, sxy = (g * x * x).sum(), (g * x * y).sum()
-            det = sw * sxx - sx * sx
-            slope = (sw * sxy - sx * sy) / det if det > 1e-12 * max(1.0, sw * sxx) else 0.0
-            fit[i] = (sy - slope * sx) / sw + slope * x[i] if sw > 0 else y[i]
-        res = np.abs(y - fit)
-        s = 6 * np.median(res)
-        robust = np.clip(1 - (res / s) ** 2, 0, None) ** 2 if s > 0 else np.ones(len(x))
-    return fit
-
-
-def mean_variance_trend(fits: DataFrame, shift: float, bins: int = 400) -> tuple[list[float], list[float]]:
-    """Knots of the trend of sqrt(sd) on mean log count, from the means of at most `bins` groups of genes."""
+def mean_variance_trend(fits: DataFrame, shift: float) -> tuple[list[float], list[float]]:
+    """Knots of the trend of sqrt(sd) on mean log count, a robust local line through all genes."""
     rows = fits.where("s2 > 0").select((F.col("mean") + shift).alias("x"), F.pow(F.col("s2"), F.lit(0.25)).alias("y"))
-    low, high = rows.agg(F.min("x"), F.max("x")).first()
-    if low is None:
-        return [0.0], [1.0]
-    at = F.floor((F.col("x") - low) * bins / max(high - low, 1e-9))
-    g = rows.groupBy(at.alias("bin")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("x")
-    x = g["x"].to_numpy()
-    return x.tolist(), np.maximum(lowess(x, g["y"].to_numpy(), g["n"].to_numpy(float)), 1e-6).tolist()
+    knots, levels = local_regression(rows)
+    return knots, [max(v, 1e-6) for v in levels]
 
 
 def diff_expression(counts: DataFrame, samples: DataFrame, symbols: DataFrame | None = None, paired: bool = False, min_count: int = 10, barcode: str = "barcode") -> DataFrame:
@@ -187,9 +159,8 @@ def diff_expression(counts: DataFrame, samples: DataFrame, symbols: DataFrame |
     shift = scale.agg(F.avg(F.log2(F.col("size") + 1))).first()[0] - math.log2(1e6)
     knots, levels = mean_variance_trend(first, shift)
 
-    @F.pandas_udf(DoubleType())
-    def weight(x: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(x.to_numpy(float), knots, levels) ** -4.0)
+    def weight(x: Column) -> Column:
+        return F.pow(between(x, knots, levels), F.lit(-4.0))
 
     means = logs.groupBy("gene_id", *(["patient"] if paired else []), *([] if paired else ["grp"])).agg(F.avg("y").alias("__m"))
     if paired:

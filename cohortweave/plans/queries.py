@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from cohortweave.functions import ranks, scalars
 from cohortweave.functions.draws import draw_key_sql, permuted_sql
+from cohortweave.functions.smooth import local_regression, local_regression_sql
 from cohortweave.operators import diff, evidence, network, propagation, regulon, solver, summaries
 from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
@@ -658,6 +659,14 @@ def size_factors(spark, sf_dir):
     return out.select(scalars.patient_of("sample").alias("patient"), scalars.sample_group("sample").alias("grp"), "lib", F.round("factor", 5).alias("factor"))
 
 
+@query("WITH pts AS (SELECT avg(l_quantity)::DOUBLE AS x, round(stddev_samp(l_extendedprice),2) AS y FROM lineitem GROUP BY l_partkey),\n" + local_regression_sql("pts") + "\nSELECT round(at,6) AS at, round(level,2)+0.0::DOUBLE AS level FROM smooth")
+def local_trend(spark, sf_dir):
+    """The spread of a part's prices on its mean quantity, as the variance trend of genes is made."""
+    points = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").cast("double").alias("x"), F.round(F.stddev_samp("l_extendedprice"), 2).alias("y"))
+    knots, levels = local_regression(points)
+    return spark.createDataFrame(list(zip(knots, levels)), "at double, level double").withColumn("level", F.round("level", 2))
+
+
 @query()
 def diff_expression(spark, sf_dir):
     assay = _assay(spark, sf_dir)
