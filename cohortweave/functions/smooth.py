@@ -81,20 +81,20 @@ def _at_zero(r) -> float | None:
 
 
 def local_regression_sql(points: str, span: float = 0.5, rounds: int = 3, step: float = 0.01) -> str:
-    """The same for DuckDB: CTEs from a table of (x, y) to `smooth` (at, level)."""
+    """The same for DuckDB: CTEs from a table of (x, y) to `smooth` (pos, level)."""
     parts = [
         f"sp AS MATERIALIZED (SELECT x, y FROM {points} WHERE x IS NOT NULL AND y IS NOT NULL), sn AS (SELECT count(*) AS n, min(x) AS low, max(x) AS high FROM sp)",
-        f"sa AS MATERIALIZED (SELECT at, row_number() OVER (ORDER BY at) AS i FROM (SELECT low AS at FROM sn UNION SELECT max(x) FROM sp, sn GROUP BY floor((x-low)/((high-low)*{step}::DOUBLE))))",
-        f"sh AS MATERIALIZED (SELECT i, at, greatest(d, 1e-12) AS h FROM (SELECT i, at, abs(x-at) AS d, row_number() OVER (PARTITION BY i ORDER BY abs(x-at)) AS k FROM sp, sa), sn WHERE k=least(n, greatest(2, floor({span}::DOUBLE*n+1e-7))))",
+        f"sa AS MATERIALIZED (SELECT pos, row_number() OVER (ORDER BY pos) AS i FROM (SELECT low AS pos FROM sn UNION SELECT max(x) FROM sp, sn GROUP BY floor((x-low)/((high-low)*{step}::DOUBLE))))",
+        f"sh AS MATERIALIZED (SELECT i, pos, greatest(d, 1e-12) AS h FROM (SELECT i, pos, abs(x-pos) AS d, row_number() OVER (PARTITION BY i ORDER BY abs(x-pos)) AS k FROM sp, sa), sn WHERE k=least(n, greatest(2, floor({span}::DOUBLE*n+1e-7))))",
         "w0 AS MATERIALIZED (SELECT x, y, 1.0::DOUBLE AS robust FROM sp)",
     ]
     for r in range(rounds + 1):
         parts.append(
-            f"f{r} AS MATERIALIZED (SELECT i, at, CASE WHEN s*sxx-sx*sx>1e-12*(s*h)*(s*h) THEN (sy-(s*sxy-sx*sy)/(s*sxx-sx*sx)*sx)/s ELSE sy/s END AS level FROM (SELECT i, at, h, sum(g) AS s, sum(g*d) AS sx, sum(g*y) AS sy, sum(g*d*d) AS sxx, sum(g*d*y) AS sxy"
-            f" FROM (SELECT i, at, h, y, x-at AS d, pow(1-pow(abs(x-at)/h,3),3)*robust AS g FROM w{r}, sh WHERE abs(x-at)<h) GROUP BY 1,2,3))"
+            f"f{r} AS MATERIALIZED (SELECT i, pos, CASE WHEN s*sxx-sx*sx>1e-12*(s*h)*(s*h) THEN (sy-(s*sxy-sx*sy)/(s*sxx-sx*sx)*sx)/s ELSE sy/s END AS level FROM (SELECT i, pos, h, sum(g) AS s, sum(g*d) AS sx, sum(g*y) AS sy, sum(g*d*d) AS sxx, sum(g*d*y) AS sxy"
+            f" FROM (SELECT i, pos, h, y, x-pos AS d, pow(1-pow(abs(x-pos)/h,3),3)*robust AS g FROM w{r}, sh WHERE abs(x-pos)<h) GROUP BY 1,2,3))"
         )
         if r < rounds:
-            parts.append(f"l{r} AS MATERIALIZED (SELECT i, at, level, lead(at) OVER (ORDER BY i) AS up, lead(level) OVER (ORDER BY i) AS above, count(*) OVER () AS c FROM f{r})")
-            parts.append(f"g{r} AS MATERIALIZED (SELECT x, y, abs(y-(level+(above-level)*greatest(0,least(1,(x-at)/(up-at))))) AS e FROM sp JOIN l{r} ON at<=x AND up IS NOT NULL AND (x<up OR i=c-1))")
+            parts.append(f"l{r} AS MATERIALIZED (SELECT i, pos, level, lead(pos) OVER (ORDER BY i) AS up, lead(level) OVER (ORDER BY i) AS above, count(*) OVER () AS c FROM f{r})")
+            parts.append(f"g{r} AS MATERIALIZED (SELECT x, y, abs(y-(level+(above-level)*greatest(0,least(1,(x-pos)/(up-pos))))) AS e FROM sp JOIN l{r} ON pos<=x AND up IS NOT NULL AND (x<up OR i=c-1))")
             parts.append(f"w{r + 1} AS MATERIALIZED (SELECT x, y, pow(greatest(0, 1-pow(e/(6*m),2)),2) AS robust FROM g{r}, (SELECT quantile_cont(e,0.5) AS m FROM g{r}))")
-    return ",\n".join(parts) + f",\nsmooth AS (SELECT at, level FROM f{rounds})"
+    return ",\n".join(parts) + f",\nsmooth AS (SELECT pos, level FROM f{rounds})"

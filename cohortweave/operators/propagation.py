@@ -13,6 +13,25 @@ from cohortweave.functions.scalars import sign
 from cohortweave.scratch import Scope, cut
 
 
+#: Entries of a row of a matrix, or of a column, that are joined in one place; a hub's are dealt over blocks of as many.
+HEAVY = 10_000
+
+
+def dealt_by(matrix: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """matrix with the block of each entry among those with equal keys, by the hash of `by`, and the hubs (keys, blocks) with more than one."""
+    hubs = matrix.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("blocks")).where("blocks > 1")
+    hubs = cut(hubs, "matrix-hubs")
+    block = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).otherwise(0)
+    # hubs are few, at most an entry in HEAVY: Spark broadcasts them or splits the join, by their size
+    return matrix.join(hubs, keys, "left").withColumn("block", block).drop("blocks"), hubs
+
+
+def for_blocks(rows: DataFrame, hubs: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with a block of their keys each: those of a hub once for every block."""
+    blocks = F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)
+    return rows.join(hubs, keys, "left").withColumn("block", F.explode(blocks)).drop("blocks")
+
+
 def signed_matrix(edges: DataFrame, source: str = "source", target: str = "target", sign_: str = "sign", weight: str | None = None) -> DataFrame:
     """(source, target, w): sums of sign * weight over directed pairs; no self-loops, unsigned edges or zero sums."""
     s, t = F.col(source), F.col(target)
@@ -27,25 +46,30 @@ def induced(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return matrix.join(keep.withColumnRenamed("node", "source"), "source", "left_semi").join(keep.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target", "w")
 
 
-def normalised(matrix: DataFrame) -> DataFrame:
-    """Entries over the sum of absolute entries into their target."""
-    total = matrix.groupBy("target").agg(F.sum(F.abs("w")).alias("total"))
-    return matrix.join(total, "target").select("source", "target", (F.col("w") / F.col("total")).alias("w"))
+def normalised(matrix: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Entries over the sum of absolute entries into their target (in their group). The entries of a hub are not joined in one place."""
+    keys = [*(groups or []), "target"]
+    total = matrix.groupBy(*keys).agg(F.sum(F.abs("w")).alias("total"))
+    dealt, hubs = dealt_by(matrix, keys, "source")
+    met = dealt.join(for_blocks(total, hubs, keys), [*keys, "block"])
+    return met.select(*(groups or []), "source", "target", (F.col("w") / F.col("total")).alias("w"))
 
 
 def propagate(matrix: DataFrame, seeds: DataFrame, nodeset: DataFrame | None = None, damping: float = 0.5, hops: int = 4, normalise: bool = True) -> DataFrame:
     """(run, node, state) summed over hops 1..hops; a node that no signal reaches has no row, and the seed itself is not counted.
 
     seeds: node, state and optionally run. A hop is a join on source and a sum by (run, target), so partial sums are
-    combined before they are shuffled. The matrix and every hop are cut, so that a hop is planned and run once.
+    combined before they are shuffled, and the entries of a hub's row are joined block by block. The matrix and every hop are cut, so that a
+    hop is planned and run once.
     """
     w = matrix if nodeset is None else induced(matrix, nodeset)
     state = (seeds if "run" in seeds.columns else seeds.withColumn("run", F.lit(0))).select("run", "node", F.col("state").cast("double").alias("state"))
     with Scope() as scope:
-        w = cut(normalised(w) if normalise else w, "hop-matrix")
-        total = None
+        w, hubs = dealt_by(cut(normalised(w) if normalise else w, "hop-entries"), ["source"], "target")
+        w, total = cut(w, "hop-matrix"), None
         for _ in range(hops):
-            state = state.join(w, state["node"] == w["source"]).groupBy("run", F.col("target").alias("node")).agg((damping * F.sum(F.col("w") * F.col("state"))).alias("state"))
+            state = for_blocks(state.withColumnRenamed("node", "source"), hubs, ["source"])
+            state = state.join(w, ["source", "block"]).groupBy("run", F.col("target").alias("node")).agg((damping * F.sum(F.col("w") * F.col("state"))).alias("state"))
             state = scope.keep(cut(state, "hop"))
             total = state if total is None else total.unionByName(state)
     return total.groupBy("run", "node").agg(F.sum("state").alias("state"))
@@ -55,14 +79,18 @@ def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFra
     """Per run: rho_global, rho_local, rho_conf, sign_acc, sign_acc_conf, n_reached, n_sign_scored, n_conf.
 
     observed: node, value and optionally sig, which gates sign grading and the confident tail. Excluded nodes are not
-    evaluated; an unreached node is predicted 0. Every statistic but rho_global needs `least` rows, else it is NULL. A row comes
+    evaluated; an unreached node is predicted 0. Both may have a run of their own (run). Every statistic but rho_global needs `least` rows, else it is NULL. A row comes
     for each run in runs (run), also for one that reaches nothing; without runs, for those that have a prediction.
     """
     runs = (predicted if runs is None else runs).select("run").distinct()
-    rows = observed if exclude is None else observed.join(exclude.select("node").distinct(), "node", "left_anti")
-    rows = rows.select("node", F.col("value").cast("double").alias("v"), (F.coalesce("sig", F.lit(False)) if "sig" in observed.columns else F.lit(True)).alias("sig"))
+    own = "run" in observed.columns
+    rows = observed.select(*(["run"] if own else []), "node", F.col("value").cast("double").alias("v"), (F.coalesce("sig", F.lit(False)) if "sig" in observed.columns else F.lit(True)).alias("sig"))
     with Scope() as scope:
-        rows = rows.crossJoin(F.broadcast(runs)).join(predicted, ["run", "node"], "left")
+        rows = rows.join(F.broadcast(runs), "run") if own else rows.crossJoin(F.broadcast(runs))
+        if exclude is not None:
+            keys = [c for c in ("run", "node") if c in exclude.columns]
+            rows = rows.join(exclude.select(*keys).distinct(), keys, "left_anti")
+        rows = rows.join(predicted, ["run", "node"], "left")
         rows = rows.select("run", F.monotonically_increasing_id().alias("row"), F.coalesce("state", F.lit(0.0)).alias("p"), "v", "sig")
         rows = rows.withColumn("reached", F.abs("p") > min_abs).withColumn("hit", F.col("reached") & F.col("sig"))
         rows = cut(rows, "scored")
@@ -96,6 +124,50 @@ def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFra
         return scope.keep(cut(out, "scores"))
 
 
+def propagate_grid(matrices: DataFrame, seeds: DataFrame, depths: list[int], damping: float = 0.5, normalise: bool = True) -> DataFrame:
+    """(network, seeds, k_hops, node, state) of every network, seed set and depth, as propagate gives them for one.
+
+    matrices: network, source, target, w; seeds: seeds, node, state. Settings that differ in depth alone share their hops.
+    """
+    with Scope() as scope:
+        w = matrices.select("network", "source", "target", "w")
+        row = ["network", "source"]
+        w, hubs = dealt_by(cut(normalised(w, ["network"]) if normalise else w, "grid-entries"), row, "target")
+        w = cut(w, "grid-matrix")
+        networks = w.select("network").distinct()
+        state = seeds.select("seeds", "node", F.col("state").cast("double").alias("state")).crossJoin(F.broadcast(networks))
+        every = None
+        for k in range(1, max(depths) + 1):
+            moved = for_blocks(state.withColumnRenamed("node", "source"), hubs, row).join(w, [*row, "block"]).groupBy("network", "seeds", F.col("target").alias("node"))
+            state = scope.keep(cut(moved.agg((damping * F.sum(F.col("w") * F.col("state"))).alias("state")), "grid-hop"))
+            # a hop counts in every depth that reaches it
+            reach = F.array(*[F.lit(d) for d in depths if d >= k])
+            hop = state.select("network", "seeds", F.explode(reach).alias("k_hops"), "node", "state")
+            every = hop if every is None else every.unionByName(hop)
+    return every.groupBy("network", "seeds", "k_hops", "node").agg(F.sum("state").alias("state"))
+
+
+def evaluate_grid(matrices: DataFrame, seeds: DataFrame, observed: DataFrame, depths: list[int], digits: int = 12, **options) -> DataFrame:
+    """The scores of every setting of a grid: a row for each network, seed set, depth and observation, in one plan.
+
+    matrices and seeds as in propagate_grid; observed: observation, node, value and optionally sig, such as one signal under several
+    noises. A set's seeds are not evaluated. Settings are the caller's own names, so their table is small; a setting that reaches nothing has
+    its row too. States are rounded to so many digits before they are ranked; options are those of score_prediction.
+    """
+    with Scope() as scope:
+        matrices, seeds, observed = cut(matrices, "grid-matrices"), cut(seeds, "grid-seeds"), cut(observed, "grid-observed")
+        spark = matrices.sparkSession
+        names = lambda df, c: df.select(c).distinct()
+        grid = names(matrices, "network").crossJoin(names(seeds, "seeds")).crossJoin(names(observed, "observation")).crossJoin(spark.createDataFrame([(d,) for d in depths], "k_hops int"))
+        grid = cut(grid.withColumn("run", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("network", "seeds", "observation", "k_hops"))), "grid-settings")
+        predicted = propagate_grid(matrices, seeds, depths).withColumn("state", F.round("state", digits))
+        predicted = cut(predicted.join(F.broadcast(grid), ["network", "seeds", "k_hops"]).select("run", "node", "state"), "grid-predicted")
+        seen = observed.join(F.broadcast(grid.select("run", "observation")), "observation").drop("observation")
+        out = seeds.join(F.broadcast(grid.select("run", "seeds")), "seeds").select("run", "node")
+        scores = score_prediction(predicted, seen, out, runs=grid, **options)
+        return scope.keep(cut(grid.join(scores, "run").drop("run"), "grid-scores"))
+
+
 def degree_bins(matrix: DataFrame, bins: int = 10) -> DataFrame:
     """(node, degree, bin): bins of equal width over ranks of in- plus out-degree, ties ranked by node."""
     ends = matrix.select(F.col("source").alias("node")).unionByName(matrix.select(F.col("target").alias("node")))

@@ -397,6 +397,31 @@ def null_scores(spark, sf_dir):
     return propagation.null_scores(_matrix(spark, sf_dir), roles.seeds(spark, sf_dir), roles.observed(spark, sf_dir), runs=300)
 
 
+_GRID_HOP = lambda k: f"h{k} AS (SELECT network, seeds, target AS node, 0.5::DOUBLE*sum(wn.w*x.state) AS state FROM {'s0' if k == 1 else f'h{k - 1}'} x JOIN wn USING (network) WHERE x.node=wn.source GROUP BY 1,2,3)"
+
+
+@query(sql("interactions", "users", "seeds", "matrix",
+    "mm AS (SELECT 'weighted' AS network, source, target, w FROM m UNION ALL SELECT 'plain', source, target, sum(sign)::DOUBLE FROM signed WHERE sign<>0 GROUP BY 2,3 HAVING sum(sign)<>0)",
+    "wn AS (SELECT network, source, target, w/sum(abs(w)) OVER (PARTITION BY network, target) AS w FROM mm)",
+    "sets AS (SELECT 'all' AS seeds, node, state FROM seeds UNION ALL SELECT 'strong', node, state FROM seeds WHERE state<=-0.3 UNION ALL SELECT 'weak', node, state FROM seeds WHERE state>-0.3)",
+    "s0 AS (SELECT network, sets.seeds, node, state FROM sets, (SELECT DISTINCT network FROM mm))", *map(_GRID_HOP, range(1, 5)),
+    "hops AS (" + " UNION ALL ".join(f"SELECT network, seeds, {k} AS hop, node, state FROM h{k}" for k in range(1, 5)) + ")",
+    "grid AS (SELECT *, row_number() OVER (ORDER BY network, seeds, observation, k_hops) AS run FROM (SELECT DISTINCT network, seeds FROM s0), (SELECT unnest(['value','errors']) AS observation), (SELECT range::INTEGER AS k_hops FROM range(1,5)))",
+    "pred AS (SELECT run, node, round(sum(state),12) AS state FROM hops JOIN grid ON grid.network=hops.network AND grid.seeds=hops.seeds AND hop<=k_hops GROUP BY 1,2)",
+    "o AS (SELECT grid.run, u.node, coalesce(p.state,0) AS p, CASE observation WHEN 'value' THEN u.value ELSE u.errors::DOUBLE END AS v, u.errors>0 AS sig FROM users u CROSS JOIN grid LEFT JOIN pred p ON p.node=u.node AND p.run=grid.run LEFT JOIN sets x ON x.seeds=grid.seeds AND x.node=u.node WHERE x.node IS NULL)",
+    *_SCORED[1:], select="SELECT network, seeds, observation, k_hops, sc.* EXCLUDE (run) FROM (" + _SCORES + ") sc JOIN grid USING (run)"))
+def propagation_grid(spark, sf_dir):
+    """3 seed sets, 2 networks, 2 observations and 4 depths."""
+    signed = network.signed_edges(roles.interactions(spark, sf_dir))
+    matrices = propagation.signed_matrix(signed, weight="confidence").withColumn("network", F.lit("weighted")).unionByName(propagation.signed_matrix(signed).withColumn("network", F.lit("plain")))
+    seeds = roles.seeds(spark, sf_dir)
+    named = lambda name, rows: rows.select(F.lit(name).alias("seeds"), "node", "state")
+    sets = named("all", seeds).unionByName(named("strong", seeds.where("state <= -0.3"))).unionByName(named("weak", seeds.where("state > -0.3")))
+    u = roles.users(spark, sf_dir)
+    seen = lambda c: u.select(F.lit(c).alias("observation"), "node", F.col(c).cast("double").alias("value"), (F.col("errors") > 0).alias("sig"))
+    return propagation.evaluate_grid(matrices, sets, seen("value").unionByName(seen("errors")), [1, 2, 3, 4])
+
+
 # activities and associations
 
 
@@ -659,12 +684,12 @@ def size_factors(spark, sf_dir):
     return out.select(scalars.patient_of("sample").alias("patient"), scalars.sample_group("sample").alias("grp"), "lib", F.round("factor", 5).alias("factor"))
 
 
-@query("WITH pts AS (SELECT avg(l_quantity)::DOUBLE AS x, round(stddev_samp(l_extendedprice),2) AS y FROM lineitem GROUP BY l_partkey),\n" + local_regression_sql("pts") + "\nSELECT round(at,6) AS at, round(level,2)+0.0::DOUBLE AS level FROM smooth")
+@query("WITH pts AS (SELECT avg(l_quantity)::DOUBLE AS x, round(stddev_samp(l_extendedprice),2) AS y FROM lineitem GROUP BY l_partkey),\n" + local_regression_sql("pts") + "\nSELECT round(pos,6) AS knot, round(level,2)+0.0::DOUBLE AS level FROM smooth")
 def local_trend(spark, sf_dir):
     """The spread of a part's prices on its mean quantity, as the variance trend of genes is made."""
     points = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").cast("double").alias("x"), F.round(F.stddev_samp("l_extendedprice"), 2).alias("y"))
     knots, levels = local_regression(points)
-    return spark.createDataFrame(list(zip(knots, levels)), "at double, level double").withColumn("level", F.round("level", 2))
+    return spark.createDataFrame(list(zip(knots, levels)), "knot double, level double").withColumn("level", F.round("level", 2))
 
 
 @query()
