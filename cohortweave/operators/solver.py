@@ -25,6 +25,8 @@ from cohortweave.scratch import Scope, cut, cut_counted
 
 #: Chains of the network are contracted where one node in so many is inside of one.
 CHAINED = 10
+#: Rows of a contracted table that are settled in one task instead of further rounds, with the same result.
+FEW = 50_000
 _NEAR = ("dist", "seed", "hops", "via")
 
 
@@ -142,12 +144,40 @@ def known_from(distances: DataFrame, terminals: DataFrame) -> DataFrame:
     return rows.groupBy("run", "node").agg(F.min(F.struct("dist", F.col("src").alias("seed"), "hops", "via")).alias("k")).select("run", "node", "k.*")
 
 
+def _joined_few(rows: DataFrame) -> DataFrame:
+    """What is left of a contraction, at most FEW rows (run, pa, pb, e): its taken edges (run, e), and (run, part, tree) with a null e."""
+    made = rows.sparkSession.createDataFrame([], rows.select("run", "e", F.col("pa").alias("part"), F.col("pa").alias("tree")).schema).schema
+    order = [f"e.{f.name}" for f in rows.schema["e"].dataType]
+
+    def join(frames):
+        import pandas as pd
+
+        up: dict = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        taken = []
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                a, b = find((row.run, row.pa)), find((row.run, row.pb))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    taken.append((row.run, row.e, None, None))
+        out = [*taken, *((run, None, part, find((run, part))[1]) for run, part in list(up))]
+        yield pd.DataFrame(out, columns=["run", "e", "part", "tree"])
+
+    return rows.repartition(1).sortWithinPartitions("run", *order).mapInPandas(join, made)
+
+
 def _contracted(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Borůvka rounds over rows (run, pa, pb, e), e a struct in whose order edges are taken: the taken (run, e), and (run, part, tree).
 
     Every part takes its smallest outgoing edge; a part goes to the part at the other end, and so on for eight steps, where the two parts
     that took the same edge stop at the smaller. Parts that are not yet together then still lie in one tree. Of parallel edges the
-    smallest stays.
+    smallest stays. The last FEW rows are joined in one task.
     """
     taken, homes = None, None
     while True:
@@ -166,11 +196,18 @@ def _contracted(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         hook = cut(hook, "forest-parts")
         a, b = hook.select("run", F.col("part").alias("pa"), F.col("up").alias("na")), hook.select("run", F.col("part").alias("pb"), F.col("up").alias("nb"))
         moved = rows.join(a, ["run", "pa"]).join(b, ["run", "pb"]).where("na <> nb").groupBy("run", F.least("na", "nb").alias("pa"), F.greatest("na", "nb").alias("pb")).agg(F.min("e").alias("e"))
-        rows = cut(moved, "forest")
+        rows, left, _ = cut_counted(moved, "forest")
+        few = cut(_joined_few(rows), "forest-few") if 0 < left <= FEW else None
+        if few is not None:
+            taken = taken.unionByName(few.where("e is not null").select("run", "e"))
+            last = few.where("e is null").select("run", F.col("part").alias("up"), "tree")
+            hook = hook.join(last, ["run", "up"], "left").select("run", "part", F.coalesce("tree", "up").alias("up"))
         if homes is None:
             homes = hook.select("run", "part", F.col("up").alias("tree"))
         else:
             homes = cut(homes.join(hook.select("run", F.col("part").alias("tree"), "up"), ["run", "tree"], "left").select("run", "part", F.coalesce("up", "tree").alias("tree")), "forest-homes")
+        if few is not None or not left:
+            return taken, homes
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -223,12 +260,43 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame, known: DataFrame | Non
     return tree, cut(home, "steiner-home"), alone
 
 
+def _settled_few(arcs: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rest of settled_leaves where at most FEW arcs are left: leaf by leaf in one task."""
+    rows = arcs.join(own, ["run", "a"], "left").join(roots.select("run", F.col("node").alias("a"), F.lit(True).alias("root")), ["run", "a"], "left")
+    rows = rows.select("run", "a", "b", "cost", F.coalesce("net", F.lit(0.0)).alias("net"), F.coalesce("root", F.lit(False)).alias("root"))
+
+    def settle(frames):
+        import pandas as pd
+
+        around, net, root = {}, {}, set()
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                at = (r.run, r.a)
+                around.setdefault(at, {})[r.run, r.b] = r.cost
+                net[at] = r.net
+                if r.root:
+                    root.add(at)
+        leaves, out = sorted(x for x, near in around.items() if len(near) == 1 and x not in root), []
+        while leaves:
+            x = leaves.pop()
+            (up, cost), *_ = around[x].items()
+            gain = max(0.0, net[x] - cost)
+            out.append((x[0], x[1], up[1], cost, gain))
+            net[up] += gain
+            del around[up][x]
+            if len(around[up]) == 1 and up not in root:
+                leaves.append(up)
+        yield pd.DataFrame(out, columns=["run", "node", "parent", "cost", "gain"])
+
+    return rows.repartition(1).sortWithinPartitions("run", "a", "b").mapInPandas(settle, "run int, node string, parent string, cost double, gain double")
+
+
 def settled_leaves(tree: DataFrame, worth: DataFrame, roots: DataFrame) -> DataFrame:
     """(run, node, parent, cost, gain) of every node but the roots of trees (run, a, b, cost): what its subtree is worth to its parent, at least 0.
 
     worth: run, node, net, the node's own; roots: run, node, one of each tree. A subtree is worth its root's own, what its
     children are worth to it, less the cost of the edge above it. All chains that end in a leaf settle in one phase, by composing the maps
-    x -> max(least, x + less) along them, twice as far in each round; a phase leaves at most half of the leaves.
+    x -> max(least, x + less) along them, twice as far in each round; a phase leaves at most half of the leaves. The last FEW arcs settle in a task.
     """
     arcs, n, _ = cut_counted(_both_ways(tree, "run"), "settle-arcs")
     done = None
@@ -237,6 +305,9 @@ def settled_leaves(tree: DataFrame, worth: DataFrame, roots: DataFrame) -> DataF
         if done is not None:
             own = own.unionByName(done.select("run", F.col("parent").alias("a"), F.col("gain").alias("net")))
         own = own.groupBy("run", "a").agg(F.sum("net").alias("net"))
+        if n <= FEW:
+            found = cut(_settled_few(arcs, own, roots), "settle-few")
+            return found if done is None else done.unionByName(found)
         around = arcs.groupBy("run", "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("n < 3")
         around = around.join(roots.select("run", F.col("node").alias("a")), ["run", "a"], "left_anti").join(own, ["run", "a"])
         x = arcs.join(around, ["run", "a"]).withColumn("over", F.col("net") - F.col("cost"))

@@ -44,8 +44,9 @@ def plain_gains(edges, net, root):
     return out
 
 
-@pytest.mark.parametrize("shape, n", [("path", 90), ("star", 40), ("random", 120)])
-def test_settled_leaves_and_pruned_trees(spark, shape, n):
+@pytest.mark.parametrize("shape, n, few", [("path", 90, 0), ("star", 40, 0), ("random", 120, 0), ("random", 120, 150), ("random", 120, 50_000)])
+def test_settled_leaves_and_pruned_trees(spark, monkeypatch, shape, n, few):
+    monkeypatch.setattr(solver, "FEW", few)
     rng = random.Random(n)
     edges, worth, roots, want, best = [], [], [], {}, {}
     for run in range(3):
@@ -105,6 +106,7 @@ def counting(monkeypatch, *names):
 
 def test_a_path_of_2000_nodes_takes_few_rounds(spark, monkeypatch):
     path = [(f"n{i:04d}", f"n{i + 1:04d}", 0.1) for i in range(1999)]
+    monkeypatch.setattr(solver, "FEW", 0)
     seen = counting(monkeypatch, "cut", "cut_counted")
     tree = spark.createDataFrame(path, "a string, b string, cost double")
     edges, nodes = solver.prune_trees(tree.withColumn("run", F.lit(0)), spark.createDataFrame([("n0000", 500.0), ("n1999", 400.0)], "node string, p double"), spark.createDataFrame([(0, f"n{i:04d}", "t") for i in range(2000)], "run int, node string, tree string"))
@@ -167,7 +169,9 @@ def test_nearest_terminals_distances_and_known_ways(spark, seed, chains):
                 assert at in ts and walked == pytest.approx(want[node], abs=1e-9)
 
 
-def test_spanning_forest_with_ties(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_spanning_forest_with_ties(spark, monkeypatch, few):
+    monkeypatch.setattr(solver, "FEW", few)
     rng = random.Random(4)
     edges = sorted({(*sorted(rng.sample(range(60), 2)), rng.choice([0.1, 0.2])) for _ in range(150)})
     cheapest = {}
@@ -196,8 +200,10 @@ def forest_inputs(spark, rng, n=40, e=90):
 
 def test_reruns_share_one_table_of_distances_and_give_the_same(spark, monkeypatch):
     edges, prizes = forest_inputs(spark, random.Random(8))
-    seen = counting(monkeypatch, "distance_table")
-    some = [[sorted(map(tuple, df.collect())) for df in solver.robust_forest(edges, prizes, omega=0.6, mu=0.0, runs=6, radius=r)] for r in (None, 0.0, math.inf)]
+    seen, some = counting(monkeypatch, "distance_table"), []
+    for radius, few in ((None, 50_000), (0.0, 0), (math.inf, 50_000)):
+        monkeypatch.setattr(solver, "FEW", few)
+        some.append([sorted(map(tuple, df.collect())) for df in solver.robust_forest(edges, prizes, omega=0.6, mu=0.0, runs=6, radius=radius)])
     assert some[0] == some[1] == some[2] and some[0][0] and seen["distance_table"] == 2
 
 
