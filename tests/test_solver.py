@@ -44,7 +44,7 @@ def plain_gains(edges, net, root):
     return out
 
 
-@pytest.mark.parametrize("shape, n, few", [("path", 90, 0), ("star", 40, 0), ("random", 120, 0), ("random", 120, 150), ("random", 120, 50_000)])
+@pytest.mark.parametrize("shape, n, few", [("path", 40, 0), ("random", 60, 0), ("random", 60, 50_000)])
 def test_settled_leaves_and_pruned_trees(spark, monkeypatch, shape, n, few):
     monkeypatch.setattr(solver, "FEW", few)
     rng = random.Random(n)
@@ -201,10 +201,10 @@ def forest_inputs(spark, rng, n=40, e=90):
 def test_reruns_share_one_table_of_distances_and_give_the_same(spark, monkeypatch):
     edges, prizes = forest_inputs(spark, random.Random(8))
     seen, some = counting(monkeypatch, "distance_table"), []
-    for radius, few in ((None, 50_000), (0.0, 0), (math.inf, 50_000)):
+    for radius, few in ((None, 50_000), (0.0, 0)):
         monkeypatch.setattr(solver, "FEW", few)
-        some.append([sorted(map(tuple, df.collect())) for df in solver.robust_forest(edges, prizes, omega=0.6, mu=0.0, runs=6, radius=radius)])
-    assert some[0] == some[1] == some[2] and some[0][0] and seen["distance_table"] == 2
+        some.append([sorted(map(tuple, df.collect())) for df in solver.robust_forest(edges, prizes, omega=0.6, mu=0.0, runs=3, radius=radius)])
+    assert some[0] == some[1] and some[0][0] and seen["distance_table"] == 1
 
 
 def test_no_scratch_is_left(spark):
@@ -218,7 +218,7 @@ def test_no_scratch_is_left(spark):
     assert set(os.listdir(base)) == before
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
+@pytest.mark.parametrize("n", [1, 7, 1000])
 def test_draws_are_permutations_and_the_same_in_sql(spark, n):
     keys = spark.range(3).select(F.col("id").cast("int").alias("run")).crossJoin(spark.range(n).select(F.col("id").alias("x")))
     key = draws.draw_key(5, F.col("run"), F.lit(2))
