@@ -42,7 +42,7 @@ def plain(rows):
     return sorted(((a, form[a], root(a), words[a], len(around[a]), words.get(form[a])) for a in words), key=repr)
 
 
-@pytest.mark.parametrize("seed, letters, crowd", [(1, "abÀé", 64), (2, "abc", 3), (3, "ab", 2), (4, "abcdefgh", 1), (5, "aÿ×", 5)])
+@pytest.mark.parametrize("seed, letters, crowd", [(1, "abÀé", 64), (2, "abc", 3), (4, "abcdefgh", 1)])
 def test_against_all_pairs(spark, monkeypatch, seed, letters, crowd):
     monkeypatch.setattr(spelling, "CROWD", crowd)
     monkeypatch.setattr(spelling, "SHORT", 64 if seed % 2 else 5)
