@@ -5,7 +5,8 @@ cells. A vector is stored in the cell of its two nearest centroids. As a query i
 its two half distances (multi-sequence traversal) for as long as that sum exceeds the one of its own cell by no more than a
 reach. The reach is set so that the target share of pairs meets: of pairs just at the threshold in random directions, and of the
 table's own links of a few hundred vectors, which are found by comparing those with all rows. What meets is verified
-by cosine in double precision. Every vector is stored and every vector asks.
+by cosine in double precision. Every vector is stored and every vector asks. Labels of like size share a pair of codebooks, as
+fine as the largest of them needs, so one label with most of the vectors has cells as small as any other.
 
 Ids and cells are worked out once, as a narrow table; vectors travel to the cells where they meet, as the floats they came as.
 """
@@ -25,6 +26,10 @@ from cohortweave.llm.storage import Scope, cut, join_salted
 from cohortweave.operators.components import connected_components
 
 
+#: Distances that are held at once, of some vectors to all centroids of a codebook.
+CELLS = 4 << 20
+
+
 @dataclass(frozen=True)
 class IndexConfig:
     cosine: float = 0.93
@@ -34,7 +39,7 @@ class IndexConfig:
     sample: int = 6000
     #: Vectors per cell that the size of the codebooks aims at.
     per_cell: int = 40
-    #: Centroids of a codebook, at most; its square times per_cell vectors of a label is where cells begin to grow.
+    #: Centroids of a codebook, at most; its square times per_cell vectors of a label is where cells begin to grow. Labels of like size share codebooks.
     most_centroids: int = 8192
     #: Vectors whose links in the whole table are looked up to set the reach.
     measured: int = 200
@@ -84,12 +89,15 @@ def unit_rows(raw, dim: int) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -> np.ndarray:
+    """Centroids of x; distances are taken for some rows at a time, never for all rows against all centroids at once."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    step = max(1, CELLS // len(c))
     for _ in range(rounds):
-        own = ((c**2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
-        for j in range(len(c)):
-            if (own == j).any():
-                c[j] = x[own == j].mean(axis=0)
+        half = (c**2).sum(axis=1)
+        own = np.concatenate([(half - 2 * x[at : at + step] @ c.T).argmin(axis=1) for at in range(0, len(x), step)])
+        order = np.argsort(own, kind="stable")
+        held, first = np.unique(own[order], return_index=True)
+        c[held] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
     return c
 
 
@@ -149,68 +157,111 @@ class MultiIndex:
 STEP = 1e-3
 
 
-def fit_index(vectors: DataFrame, n: int, labels: int, dim: int, config: IndexConfig) -> MultiIndex:
-    """Codebooks from a bounded sample, and the reach."""
-    k = int(np.clip(round(math.sqrt(n / max(1, labels) / config.per_cell)), 4, config.most_centroids))
-    most = max(config.sample, 20 * k)
-    place = F.pmod(F.xxhash64("vec_id", F.lit(config.seed)), F.lit(1 << 32))
-    share = min(1 << 32, int(most / max(n, 1) * (1 << 32)) + 1)
-    sample = vectors.where(place < share).select("vec_id", "x", "label", place.alias("place")).toPandas().sort_values("vec_id")
-    rng = np.random.default_rng(config.seed)
-    if not len(sample):
-        return MultiIndex(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), math.inf)
-    x, h = unit_rows(sample["x"], dim), dim // 2
-    index = MultiIndex(kmeans(x[:, :h], k, rng), kmeans(x[:, h:], k, rng))
-    index.calibrate(x, config.cosine, config.recall, rng)
-    few = sample.sort_values("place").head(config.measured)
-    counts = measured_reaches(vectors, index, few["vec_id"].to_numpy(), few["label"].to_numpy(), unit_rows(few["x"], dim), dim, config.cosine)
-    total, seen = sum(counts.values()), 0
-    for at in sorted(counts):
-        seen += counts[at]
-        if seen >= config.recall * total:
-            index.reach = max(index.reach, (at + 1) * STEP)
-            break
-    return index
-
-
-def measured_reaches(vectors: DataFrame, index: MultiIndex, ids: np.ndarray, labels: np.ndarray, few: np.ndarray, dim: int, cosine: float) -> dict[int, int]:
-    """All links of a few vectors in the whole table, counted by the reach that each needs, in steps of STEP."""
+def _fit(seed: int):
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """Both codebooks of one book from its sampled vectors."""
+        dim, tier = key
+        x, h = unit_rows(group.sort_values("vec_id")["x"], dim), dim // 2
+        rng = np.random.default_rng([seed, dim, tier])
+        k = int(group["k"].iloc[0])
+        left, right = kmeans(x[:, :h], k, rng), kmeans(x[:, h:], k, rng)
+        return pd.DataFrame({"dim": [dim], "tier": [tier], "n_left": [len(left)], "n_right": [len(right)], "lefts": [left.tobytes()], "rights": [right.tobytes()]})
+
+    return run
 
-    def run(batches):
-        counts: dict[int, int] = {}
-        for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.iloc[at : at + 4000]
-                y = unit_rows(part["x"], dim)
-                same = (part["label"].to_numpy()[:, None] == labels[None]) & (part["vec_id"].to_numpy()[:, None] != ids[None])
-                row, col = np.nonzero((y @ few.T >= cosine) & same)
-                if len(row):
-                    for b, c in zip(*np.unique(np.floor(np.maximum(index.needed(few[col], y[row]), 0) / STEP).astype(int), return_counts=True)):
-                        counts[int(b)] = counts.get(int(b), 0) + int(c)
-        yield pd.DataFrame({"at": list(counts), "n": list(counts.values())}, dtype="int64")
 
-    found = vectors.select("vec_id", "label", "x").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    return {r["at"]: r["n"] for r in found}
+def fit_books(vectors: DataFrame, config: IndexConfig) -> dict[tuple[int, int], MultiIndex]:
+    """A multi-index for each length of vectors and each tier of label sizes.
 
+    A book's k is set by the largest of its labels, which is at most four times the smallest above the first tier, so no label has cells that
+    are much too coarse or too fine. Codebooks are fitted in tasks, each on a bounded sample; the driver gets the centroids, and at
+    most about `sample` vectors of a book for its reach.
+    """
+    sizes = vectors.groupBy("dim", "tier", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim", "tier").agg(F.max("n").alias("top"), F.sum("n").alias("n")).collect()
+    if not sizes:
+        return {}
+    part = lambda want, n: min(1 << 32, int(want / n * (1 << 32)) + 1)
+    plan = []
+    for r in sizes:
+        k = int(np.clip(round(math.sqrt(r["top"] / config.per_cell)), 4, config.most_centroids))
+        plan.append((r["dim"], r["tier"], k, part(max(config.sample, 20 * k), r["n"]), part(config.sample, r["n"])))
+    plans = F.broadcast(vectors.sparkSession.createDataFrame(plan, "dim int, tier int, k int, share long, few long"))
+    place = F.pmod(F.xxhash64("vec_id", F.lit(config.seed)), F.lit(1 << 32))
+    placed = vectors.withColumn("place", place).join(plans, ["dim", "tier"])
+    fitted = placed.where("place < share").select("dim", "tier", "k", "vec_id", "x").groupBy("dim", "tier")
+    books = {}
+    for r in fitted.applyInPandas(_fit(config.seed), "dim int, tier int, n_left int, n_right int, lefts binary, rights binary").collect():
+        left, right = (np.frombuffer(bytes(raw)).reshape(n, -1) if n else np.zeros((1, 0)) for raw, n in ((r["lefts"], r["n_left"]), (r["rights"], r["n_right"])))
+        books[r["dim"], r["tier"]] = MultiIndex(left, right)
+    for dim, tier, *_ in plan:
+        # a sample may turn out empty by chance; then all of the book's vectors share one cell
+        books.setdefault((dim, tier), MultiIndex(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), math.inf))
+    sample = placed.where("place < few").select("dim", "tier", "vec_id", "x", "label", "place").toPandas().sort_values("vec_id")
+    few = {}
+    for book, some in sample.groupby(["dim", "tier"]):
+        x = unit_rows(some["x"], book[0])
+        books[book].calibrate(x, config.cosine, config.recall, np.random.default_rng([config.seed, *book]))
+        asked = some.sort_values("place").head(config.measured)
+        few[book] = asked["vec_id"].to_numpy(), asked["label"].to_numpy(), unit_rows(asked["x"], book[0])
+    for book, counts in measured_reaches(vectors, books, few, config.cosine).items():
+        total, seen = sum(counts.values()), 0
+        for at in sorted(counts):
+            seen += counts[at]
+            if seen >= config.recall * total:
+                books[book].reach = max(books[book].reach, (at + 1) * STEP)
+                break
+    return books
+
+
+def measured_reaches(vectors: DataFrame, books: dict, few: dict, cosine: float) -> dict[tuple[int, int], dict[int, int]]:
+    """All links of a few vectors of each book in the whole table, counted by the reach that each needs, in steps of STEP."""
 
-def _postings(index: MultiIndex, dim: int):
     def run(batches):
+        counts: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                d1, d2 = index.halves(unit_rows(part["x"], dim))
-                own = index.cell(d1.argmin(axis=1), d2.argmin(axis=1)).tolist()
-                rows = []
-                for label, vec_id, a, b, cell in zip(part["label"], part["vec_id"], d1, d2, own):
-                    visits = {cell, *index.visit(a, b)}
-                    probes = np.array(sorted(visits), "<i4").tobytes()
-                    rows += [(label, c, c == cell, vec_id, cell, probes) for c in visits]
-                yield pd.DataFrame(rows, columns=["label", "cell", "stored", "vec_id", "own", "probes"])
+            for book, of_book in batch.groupby(["dim", "tier"]):
+                if book not in few:
+                    continue
+                ids, labels, x = few[book]
+                for at in range(0, len(of_book), 4000):
+                    part = of_book.iloc[at : at + 4000]
+                    y = unit_rows(part["x"], book[0])
+                    same = (part["label"].to_numpy()[:, None] == labels[None]) & (part["vec_id"].to_numpy()[:, None] != ids[None])
+                    row, col = np.nonzero((y @ x.T >= cosine) & same)
+                    if len(row):
+                        steps = np.floor(np.maximum(books[book].needed(x[col], y[row]), 0) / STEP).astype(int)
+                        for b, c in zip(*np.unique(steps, return_counts=True)):
+                            counts[*book, int(b)] = counts.get((*book, int(b)), 0) + int(c)
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["dim", "tier", "at", "n"], dtype="int64")
+
+    found: dict[tuple[int, int], dict[int, int]] = {}
+    made = vectors.select("vec_id", "label", "dim", "tier", "x").mapInPandas(run, "dim int, tier int, at long, n long")
+    for r in made.groupBy("dim", "tier", "at").agg(F.sum("n").alias("n")).collect():
+        found.setdefault((r["dim"], r["tier"]), {})[r["at"]] = r["n"]
+    return found
+
+
+def _postings(books: dict):
+    def run(batches):
+        for batch in batches:
+            for book, of_book in batch.groupby(["dim", "tier"]):
+                index = books[book]
+                step = max(1, min(2000, CELLS // max(len(index.left), len(index.right))))
+                for at in range(0, len(of_book), step):
+                    part = of_book.iloc[at : at + step]
+                    d1, d2 = index.halves(unit_rows(part["x"], book[0]))
+                    own = index.cell(d1.argmin(axis=1), d2.argmin(axis=1)).tolist()
+                    rows = []
+                    for label, vec_id, a, b, cell in zip(part["label"], part["vec_id"], d1, d2, own):
+                        visits = {cell, *index.visit(a, b)}
+                        probes = np.array(sorted(visits), "<i4").tobytes()
+                        rows += [(label, book[0], c, c == cell, vec_id, cell, probes) for c in visits]
+                    yield pd.DataFrame(rows, columns=["label", "dim", "cell", "stored", "vec_id", "own", "probes"])
 
     return run
 
 
-def _meet(cosine: float, dim: int):
+def _meet(cosine: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links between a block of stored vectors and a block of queries of one cell: counts per vector, and a spanning forest."""
         kept = group[group["stored"] & group["as_stored"]]
@@ -218,6 +269,7 @@ def _meet(cosine: float, dim: int):
         empty = pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
         if not len(kept) or not len(asks):
             return empty
+        dim = int(group["dim"].iloc[0])
         xs, ys = unit_rows(asks["x"], dim), unit_rows(kept["x"], dim)
         xi, yi = asks["vec_id"].to_numpy(), kept["vec_id"].to_numpy()
         xc, yc = asks["copies"].to_numpy(), kept["copies"].to_numpy()
@@ -264,18 +316,32 @@ def _meet(cosine: float, dim: int):
     return run
 
 
-def _found(reps: DataFrame, dim: int, config: IndexConfig) -> DataFrame:
-    """Of vectors of one length: link counts (a, n) and a spanning forest of the links (a, b)."""
-    n, labels = reps.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    index = fit_index(reps, n, labels, dim, config)
-    posted = cut(reps.select("label", "vec_id", "x").mapInPandas(_postings(index, dim), "label string, cell int, stored boolean, vec_id long, own int, probes binary"), "index-postings")
-    sizes = posted.groupBy("label", "cell").agg(F.count_if("stored").alias("kept"), F.count(F.lit(1)).alias("asks")).where("kept > 0 and asks > 1")
-    sizes = cut(sizes.select("label", "cell", F.ceil(F.col("kept") / config.block).cast("int").alias("kb"), F.ceil(F.col("asks") / config.queries).cast("int").alias("ab")), "index-cells")
-    dealt = join_salted(posted, sizes, ["label", "cell"], "vec_id", "inner").join(reps.select("vec_id", "copies", "x"), "vec_id")
+def _found(reps: DataFrame, config: IndexConfig) -> DataFrame | None:
+    """Link counts (a, n) and a spanning forest of the links (a, b) of vectors of any lengths; None of an empty table."""
+    books = fit_books(reps, config)
+    if not books:
+        return None
+    kinds = "label string, dim int, cell int, stored boolean, vec_id long, own int, probes binary"
+    posted = cut(reps.select("label", "dim", "tier", "vec_id", "x").mapInPandas(_postings(books), kinds), "index-postings")
+    place = ["label", "dim", "cell"]
+    sizes = posted.groupBy(*place).agg(F.count_if("stored").alias("kept"), F.count(F.lit(1)).alias("asks")).where("kept > 0 and asks > 1")
+    sizes = cut(sizes.select(*place, F.ceil(F.col("kept") / config.block).cast("int").alias("kb"), F.ceil(F.col("asks") / config.queries).cast("int").alias("ab")), "index-cells")
+    dealt = join_salted(posted, sizes, place, "vec_id", "inner").join(reps.select("vec_id", "copies", "x"), "vec_id")
     spread = F.xxhash64("vec_id")
     stored = dealt.where("stored").select("*", F.pmod(spread, F.col("kb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), F.lit(True).alias("as_stored"))
     asking = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("i"), F.pmod(spread, F.col("ab")).cast("int").alias("j"), F.lit(False).alias("as_stored"))
-    return cut(stored.unionByName(asking).drop("kb", "ab").groupBy("label", "cell", "i", "j").applyInPandas(_meet(config.cosine, dim), "a long, b long, n long"), "index-links")
+    return cut(stored.unionByName(asking).drop("kb", "ab").groupBy(*place, "i", "j").applyInPandas(_meet(config.cosine), "a long, b long, n long"), "index-links")
+
+
+def label_tiers(classes: DataFrame, config: IndexConfig) -> DataFrame:
+    """(label, dim, tier) of the labels above the first tier: a tier ends at four times as many vectors as the one before.
+
+    The first holds labels of up to 16 cells of per_cell vectors, which the smallest codebooks serve; the last, those of most_centroids.
+    """
+    n = F.count(F.lit(1)).cast("double")
+    last = max(0, math.ceil(math.log(config.most_centroids**2 / 16, 4)))
+    tier = F.least(F.ceil(F.log(n / (16 * config.per_cell)) / math.log(4)), F.lit(last)).cast("int")
+    return classes.groupBy("label", "dim").agg(tier.alias("tier")).where("tier > 0")
 
 
 def embedding_links(vectors: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
@@ -301,12 +367,11 @@ def _links(vectors: DataFrame, config: IndexConfig) -> DataFrame:
     member = cut(join_salted(units.select("vec_id", "label", "key"), repeated, ["label", "key"], "vec_id", "inner").select("vec_id", "rep", "copies").distinct(), "index-members")
     reps = units.join(member.where("vec_id <> rep"), "vec_id", "left_anti").dropDuplicates(["vec_id"])
     reps = reps.join(member.where("vec_id = rep").select("vec_id", "copies"), "vec_id", "left").select("vec_id", "label", "dim", "x", F.coalesce("copies", F.lit(1)).alias("copies"))
+    tiers = cut(label_tiers(classes, config), "index-tiers")
+    reps = join_salted(reps, tiers, ["label", "dim"], "vec_id").withColumn("tier", F.coalesce("tier", F.lit(0)))
     reps = cut(reps, "index-reps")
 
-    found = None
-    for dim in sorted(r["dim"] for r in reps.select("dim").distinct().toLocalIterator()):
-        some = _found(reps.where(F.col("dim") == dim), dim, config)
-        found = some if found is None else found.unionByName(some)
+    found = _found(reps, config)
     if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
 

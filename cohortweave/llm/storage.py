@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.scratch import Scope, cut, remove, shared_dir
 
-__all__ = ["Scope", "cut", "join_salted", "open_fs", "remove", "shared_dir", "small_side"]
+__all__ = ["Scope", "cut", "join_salted", "open_fs", "ranges", "remove", "shared_dir", "small_side"]
 SALTS = 32
 #: Rows of a few numbers each that a broadcast may have.
 SMALL = 300_000
@@ -19,6 +19,18 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def ranges(spark: SparkSession, files: list[tuple], fields: str, step: int) -> DataFrame:
+    """A row for every `step` units of each file, with start and end, dealt over tasks; files need a column size.
+
+    The driver lists files alone, one row each; their ranges are made in tasks, at most 64 to a task beyond 4096 tasks.
+    """
+    rows = spark.createDataFrame(files, fields).where("size > 0")
+    out = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long")))).withColumn("end", F.least(F.col("start") + step, F.col("size")))
+    at = [x.split()[0] for x in fields.split(",")].index("size")
+    n = sum(-(-f[at] // step) for f in files)
+    return out.repartition(max(1, min(n, max(4096, -(-n // 64)))))
+
+
 def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame | None:
     """df marked for broadcast if it has at most so many rows, else None; count a cut table, since this counts it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None

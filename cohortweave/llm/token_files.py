@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.llm.rows import slices
-from cohortweave.llm.storage import open_fs, shared_dir
+from cohortweave.llm.storage import open_fs, ranges, shared_dir
 from cohortweave.llm.tokens import library_encoder
 
 MAGIC = b"CWTOKEF1"
@@ -197,10 +197,8 @@ def _reader(folder: str):
 
 def read_token_files(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and the shard's file name."""
-    blocks = [(s["file"], a, min(a + BLOCK_DOCS, s["n_docs"]), s["start"]) for s in shards for a in range(0, s["n_docs"], BLOCK_DOCS)]
-    plan = spark.createDataFrame(blocks, "file string, a long, b long, start long")
-    if blocks:
-        plan = plan.repartition(min(len(blocks), 4096))
+    plan = ranges(spark, [(s["file"], s["start"], s["n_docs"]) for s in shards], "file string, first long, size long", BLOCK_DOCS)
+    plan = plan.select("file", F.col("start").alias("a"), F.col("end").alias("b"), F.col("first").alias("start"))
     return plan.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 

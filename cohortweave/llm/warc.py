@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortweave.llm.storage import cut, join_salted, open_fs, shared_dir
+from cohortweave.llm.storage import cut, join_salted, open_fs, ranges, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 4 << 20
@@ -183,11 +183,8 @@ def _reader(folder: str):
 
 def read_warc(spark: SparkSession, folder: str, files: list[dict], split: int = SPLIT) -> DataFrame:
     """All records of the archives, read by ranges of `split` bytes, with digests checked against the payloads."""
-    plan = [(f["file"], f["bytes"], a, min(a + split, f["bytes"])) for f in files for a in range(0, f["bytes"], split)]
-    splits = spark.createDataFrame(plan, "file string, bytes long, start long, end long")
-    if plan:
-        splits = splits.repartition(min(len(plan), 4096))
-    return splits.mapInArrow(_reader(folder), ", ".join(f"{name} {kind}" for name, kind in _FIELDS))
+    splits = ranges(spark, [(f["file"], f["bytes"], f["bytes"]) for f in files], "file string, bytes long, size long", split)
+    return splits.select("file", "bytes", "start", "end").mapInArrow(_reader(folder), ", ".join(f"{name} {kind}" for name, kind in _FIELDS))
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

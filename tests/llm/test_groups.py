@@ -173,3 +173,40 @@ def test_empty_texts_of_a_linked_doc_id(spark):
     _, docs = repeated_ids(spark)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()]
     assert len(got) == 11 and {(i, c) for i, _, c in got} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+
+
+def test_one_label_holds_nearly_all_vectors(spark):
+    """Many labels of one vector beside a large one: its cells are as fine as its own size asks for, and links are found."""
+    from cohortweave.llm.embedding_dedup import _units, fit_books, label_tiers
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(2200, 24))
+    near = base[:900] + 0.2 * rng.normal(size=(900, 24))
+    x = np.vstack([base, near]).astype(np.float32)
+    rows = [(i, [float(c) for c in v], "all") for i, v in enumerate(x)] + [(10_000 + i, [float(c) for c in x[i]], f"own{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    config = IndexConfig(per_cell=10)
+    units = df.select("vec_id", "label", "embedding").mapInArrow(_units(False), "vec_id long, label string, dim int, x binary, key binary")
+    tiers = label_tiers(units, config)
+    assert [(r["label"], r["tier"]) for r in tiers.collect()] == [("all", 3)]
+    books = fit_books(units.join(tiers, ["label", "dim"], "left").withColumn("tier", F.coalesce("tier", F.lit(0))), config)
+    assert {book: len(index.left) for book, index in books.items()} == {(24, 0): 4, (24, 3): round((3100 / 10) ** 0.5)}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_links(df, config).collect()}
+    assert len(got) == len(rows) and all(got[i] == 0 for i in got if i >= 10_000)
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    found = sum(got[i] for i in range(len(x)))
+    assert want.sum() > 1000 and found >= 0.95 * want.sum(), (found, want.sum())
+
+
+def test_kmeans_in_blocks_is_plain_kmeans(monkeypatch):
+    from cohortweave.llm import embedding_dedup
+
+    x = np.random.default_rng(3).normal(size=(500, 6))
+    whole = embedding_dedup.kmeans(x, 9, np.random.default_rng(1))
+    monkeypatch.setattr(embedding_dedup, "CELLS", 50)
+    assert np.allclose(embedding_dedup.kmeans(x, 9, np.random.default_rng(1)), whole)
+    own = ((x[:, None] - whole[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert len(set(own.tolist())) == 9
