@@ -509,6 +509,16 @@ def paired_signed_rank(spark, sf_dir):
     return regulon.signed_rank(rows, "x", "y")
 
 
+@query(sql(_PAIR, "z AS (SELECT n, (v-n*(n+1)/4.0::DOUBLE-0.5::DOUBLE*sign(v-n*(n+1)/4.0::DOUBLE))/sqrt(n::DOUBLE*(n+1)*(2*n+1)/24-ties/48) AS z FROM o, ti)",
+    "s AS (SELECT n, z, abs(z)/40000 AS h FROM z)",
+    select="SELECT n, round(z,6)+0.0::DOUBLE AS z, round(1-2*h/3/sqrt(2*pi())*list_sum([(CASE WHEN i=0 OR i=40000 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*exp(-(i*h)*(i*h)/2) for i in range(40001)]),6)+0.0::DOUBLE AS p FROM s"))
+def paired_signed_rank_p(spark, sf_dir):
+    """The same test with its two-sided p; the SQL integrates the normal density."""
+    side = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(side("O") - side("F"), 2).alias("x")).withColumn("y", F.lit(0.0))
+    return regulon.signed_rank(rows, "x", "y", with_p=True).select("n", "z", "p")
+
+
 _FIVE = "SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, " + ", ".join(f"round(quantile_cont(l_quantity,{q}),6)+0.0::DOUBLE AS {c}" for q, c in ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high"))) + " FROM lineitem GROUP BY 1,2"
 
 
@@ -672,12 +682,14 @@ def paired_fits(spark, sf_dir):
     return diff.group_fits(assay.select(F.col("feature").alias("probe"), "sample", "beta"), _samples(assay), paired=True).select("probe", "effect", "s2", "df")
 
 
-@query(sql(_ASSAY, """c AS (SELECT feature, patient||grp AS sample, count FROM sampled)""", """lib AS (SELECT sample, sum(count)::DOUBLE AS lib FROM c GROUP BY 1)""", """sh AS (SELECT c.*, lib, count/lib AS q FROM c JOIN lib USING (sample))""",
-    """up AS (SELECT sample, quantile_cont(q,0.75) AS u FROM sh GROUP BY 1)""", """ref AS (SELECT sample FROM up ORDER BY abs(u-(SELECT avg(u) FROM up)), sample LIMIT 1)""", """base AS (SELECT feature, q AS rq, count AS rc, lib AS rl FROM sh WHERE sample=(SELECT sample FROM ref))""",
-    """r AS (SELECT sh.*, rq, rc, rl, log2(q/rq) AS m, log2(q*rq)/2 AS a, (lib-count)/lib/count+(rl-rc)/rl/rc AS v FROM sh JOIN base USING (feature) WHERE count>0 AND rc>0)""",
-    """k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) AS rm, rank() OVER (PARTITION BY sample ORDER BY a) AS ra FROM r)""",
-    """f AS (SELECT sample, sum(m/v)/sum(1/v) AS lf FROM k WHERE rm>=floor(n*0.3::DOUBLE)+1 AND rm<=n-floor(n*0.3::DOUBLE) AND ra>=floor(n*0.05::DOUBLE)+1 AND ra<=n-floor(n*0.05::DOUBLE) GROUP BY 1)""", """g AS (SELECT lib.*, coalesce(lf,0) AS lf FROM lib LEFT JOIN f USING (sample))""",
-    select="SELECT substr(sample,1,12) AS patient, substr(sample,13) AS grp, lib, round(pow(2,lf-(SELECT avg(lf) FROM g)),5)+0.0::DOUBLE AS factor FROM g"))
+_TMM = """lib AS (SELECT sample, sum(count)::DOUBLE AS lib FROM c GROUP BY 1), shares AS (SELECT c.*, lib, count/lib AS q FROM c JOIN lib USING (sample)),
+up AS (SELECT sample, quantile_cont(q,0.75) AS u FROM shares GROUP BY 1), ref AS (SELECT sample FROM up ORDER BY abs(u-(SELECT avg(u) FROM up)), sample LIMIT 1), base AS (SELECT feature, q AS rq, count AS rc, lib AS rl FROM shares WHERE sample=(SELECT sample FROM ref)),
+r AS (SELECT shares.*, rq, rc, rl, log2(q/rq) AS m, log2(q*rq)/2 AS a, (lib-count)/lib/count+(rl-rc)/rl/rc AS v FROM shares JOIN base USING (feature) WHERE count>0 AND rc>0),
+k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) AS rm, rank() OVER (PARTITION BY sample ORDER BY a) AS ra FROM r),
+f AS (SELECT sample, sum(m/v)/sum(1/v) AS lf FROM k WHERE rm>=floor(n*0.3::DOUBLE)+1 AND rm<=n-floor(n*0.3::DOUBLE) AND ra>=floor(n*0.05::DOUBLE)+1 AND ra<=n-floor(n*0.05::DOUBLE) GROUP BY 1), g AS (SELECT lib.*, coalesce(lf,0) AS lf FROM lib LEFT JOIN f USING (sample))"""
+
+
+@query(sql(_ASSAY, "c AS (SELECT feature, patient||grp AS sample, count FROM sampled)", _TMM, select="SELECT substr(sample,1,12) AS patient, substr(sample,13) AS grp, lib, round(pow(2,lf-(SELECT avg(lf) FROM g)),5)+0.0::DOUBLE AS factor FROM g"))
 def size_factors(spark, sf_dir):
     counts = _assay(spark, sf_dir).select(F.col("feature").alias("gene_id"), "sample", "count")
     out = diff.tmm_factors(counts)
@@ -692,10 +704,60 @@ def local_trend(spark, sf_dir):
     return spark.createDataFrame(list(zip(knots, levels)), "knot double, level double").withColumn("level", F.round("level", 2))
 
 
-@query()
+#: From the samples used (`c0`) to log counts: genes with enough counts, sizes of the samples, `sz` and `logs`.
+_LOGS = """lib0 AS (SELECT sample, any_value(grp) AS grp, sum(count)::DOUBLE AS lib FROM c0 GROUP BY 1),
+need AS (SELECT CASE WHEN min(n)<=10 THEN min(n) ELSE 10+0.7::DOUBLE*(min(n)-10) END AS least FROM (SELECT count(*) AS n FROM lib0 GROUP BY grp)),
+typical AS (SELECT median(lib) AS med FROM lib0),
+passed AS (SELECT feature FROM c0 JOIN lib0 USING (sample), typical, need GROUP BY feature, least HAVING count(*) FILTER (count/lib*1e6>=10*1e6/med)>=least-1e-14 AND sum(count)>=15),
+c AS (SELECT * FROM c0 WHERE feature IN (SELECT feature FROM passed)), """ + _TMM + """,
+sz AS MATERIALIZED (SELECT sample, lib*pow(2,lf-(SELECT avg(lf) FROM g)) AS size FROM g), shift AS (SELECT avg(log2(size+1))-log2(1e6) AS shift FROM sz),
+logs AS MATERIALIZED (SELECT feature, patient, grp, size, log2((count+0.5::DOUBLE)/(size+1)*1e6) AS y FROM c JOIN sz USING (sample))"""
+#: From a first fit (`one`: feature, mean, s2) and fitted values (`hat`: feature, patient, grp, y, x) to precision weights.
+_TREND = "pts AS MATERIALIZED (SELECT mean+shift AS x, pow(s2,0.25) AS y FROM one, shift WHERE s2>0),\n" + local_regression_sql("pts") + """,
+seg AS (SELECT pos, greatest(level,1e-6) AS level, lead(pos) OVER (ORDER BY pos) AS next, lead(greatest(level,1e-6)) OVER (ORDER BY pos) AS above, row_number() OVER (ORDER BY pos) AS nth, count(*) OVER () AS knots FROM smooth),
+weighted AS MATERIALIZED (SELECT feature, patient, grp, y, pow(level+(above-level)*greatest(0,least(1,(x-pos)/(next-pos))),-4) AS w FROM hat JOIN seg ON next IS NOT NULL AND (x>=pos OR nth=1) AND (x<next OR nth=knots-1))"""
+_GENES = "SELECT feature::VARCHAR AS gene, round(effect,4)+0.0::DOUBLE AS \"log2FC\", round(padj,4)+0.0::DOUBLE AS padj, round(mean,4)+0.0::DOUBLE AS \"AveExpr\", round(t,4)+0.0::DOUBLE AS t FROM adj"
+
+
+def _genes(spark, sf_dir, paired):
+    assay = _assay(spark, sf_dir)
+    return rounded(diff.diff_expression(assay.select(F.col("feature").cast("string").alias("gene_id"), "sample", "count"), _samples(assay), paired=paired), 4)
+
+
+@query("WITH RECURSIVE " + sql(_ASSAY, "c0 AS (SELECT feature, patient||grp AS sample, patient, grp, count FROM sampled)", _LOGS,
+    """one AS (SELECT feature, avg(y) AS mean, (var_pop(y) FILTER (grp='tumour')*count(*) FILTER (grp='tumour')+var_pop(y) FILTER (grp='normal')*count(*) FILTER (grp='normal'))/(count(*)-2) AS s2 FROM logs GROUP BY 1 HAVING count(DISTINCT grp)=2 AND count(*)>2)""",
+    """hat AS (SELECT logs.*, m+log2(size+1)-log2(1e6) AS x FROM logs JOIN (SELECT feature, grp, avg(y) AS m FROM logs GROUP BY 1,2) USING (feature, grp))""", _TREND,
+    """side AS (SELECT feature, grp, count(*) AS n, sum(w) AS w, sum(w*y)/sum(w) AS mu, sum(y) AS sy FROM weighted GROUP BY 1,2), spread AS (SELECT feature, grp, sum(weighted.w*(y-mu)*(y-mu)) AS ss FROM weighted JOIN side USING (feature, grp) GROUP BY 1,2)""",
+    """fits AS (SELECT t.feature, t.mu-o.mu AS effect, (t.n+o.n-2)::DOUBLE AS df, (st.ss+so.ss)/(t.n+o.n-2) AS s2, 1/t.w+1/o.w AS scale, (t.sy+o.sy)/(t.n+o.n) AS mean FROM side t JOIN side o ON t.feature=o.feature AND t.grp='tumour' AND o.grp='normal' JOIN spread st ON st.feature=t.feature AND st.grp='tumour' JOIN spread so ON so.feature=t.feature AND so.grp='normal' WHERE t.n+o.n>2)""",
+    _PRIOR, _BH, select=_GENES).removeprefix("WITH "))
 def diff_expression(spark, sf_dir):
+    return _genes(spark, sf_dir, False)
+
+
+_BOTH = "both_ AS (SELECT patient FROM sampled GROUP BY 1 HAVING count(DISTINCT grp)=2)"
+
+
+@query("WITH RECURSIVE " + sql(_ASSAY, _BOTH, "c0 AS (SELECT feature, patient||grp AS sample, patient, grp, count FROM sampled WHERE patient IN (SELECT patient FROM both_))", _LOGS,
+    """pairs AS (SELECT feature, patient, max(y) FILTER (grp='tumour') AS y1, max(y) FILTER (grp='normal') AS y0 FROM logs GROUP BY 1,2 HAVING count(DISTINCT grp)=2)""",
+    """one AS (SELECT feature, avg(y1-y0) AS effect, var_samp(y1-y0)/2 AS s2, avg((y1+y0)/2) AS mean FROM pairs GROUP BY 1 HAVING count(*)>1)""",
+    """hat AS (SELECT feature, patient, grp, y, (y1+y0)/2+CASE WHEN grp='tumour' THEN effect/2 ELSE -effect/2 END+log2(size+1)-log2(1e6) AS x FROM logs JOIN pairs USING (feature, patient) JOIN one USING (feature))""", _TREND,
+    """duo AS (SELECT feature, patient, max(w) FILTER (grp='tumour') AS w1, max(w) FILTER (grp='normal') AS w0, max(y) FILTER (grp='tumour') AS y1, max(y) FILTER (grp='normal') AS y0 FROM weighted GROUP BY 1,2)""",
+    """eff AS (SELECT feature, sum(w1*w0/(w1+w0)*(y1-y0))/sum(w1*w0/(w1+w0)) AS effect, 1/sum(w1*w0/(w1+w0)) AS scale, (count(*)-1)::DOUBLE AS df, avg((y1+y0)/2) AS mean FROM duo GROUP BY 1)""",
+    """fits AS (SELECT feature, effect, df, scale, mean, sum(w1*w0/(w1+w0)*pow(y1-y0-effect,2))/df AS s2 FROM duo JOIN eff USING (feature) WHERE df>0 GROUP BY feature, effect, df, scale, mean)""",
+    _PRIOR, _BH, select=_GENES).removeprefix("WITH "))
+def diff_expression_paired(spark, sf_dir):
+    return _genes(spark, sf_dir, True)
+
+
+@query("WITH RECURSIVE " + sql(_ASSAY, _BOTH, f"""mine AS (SELECT feature, patient, grp, beta, {_M} AS y FROM sampled WHERE patient IN (SELECT patient FROM both_))""",
+    """d AS (SELECT feature, patient, max(y) FILTER (grp='tumour')-max(y) FILTER (grp='normal') AS d FROM mine GROUP BY 1,2)""",
+    """fits AS (SELECT feature, avg(d) AS effect, var_samp(d)/2 AS s2, (count(d)-1)::DOUBLE AS df, 2.0::DOUBLE/count(d) AS scale FROM d GROUP BY 1 HAVING count(d)>1)""", _PRIOR, _BH,
+    """delta AS (SELECT feature, avg(beta) FILTER (grp='tumour')-avg(beta) FILTER (grp='normal') AS delta_beta FROM mine GROUP BY 1)""",
+    select="SELECT feature AS probe, round(delta_beta,4)+0.0::DOUBLE AS delta_beta, round(padj,4)+0.0::DOUBLE AS padj, round(t,4)+0.0::DOUBLE AS t FROM adj JOIN delta USING (feature)").removeprefix("WITH "))
+def diff_methylation_paired(spark, sf_dir):
     assay = _assay(spark, sf_dir)
-    return diff.diff_expression(assay.select(F.col("feature").cast("string").alias("gene_id"), "sample", "count"), _samples(assay))
+    return rounded(diff.diff_methylation(assay.select(F.col("feature").alias("probe"), "sample", "beta"), _samples(assay), paired=True), 4)
+
 
 
 # annotation
