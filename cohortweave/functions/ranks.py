@@ -98,22 +98,31 @@ def rank_bins(df: DataFrame, value: str, key: str, bins: int = 10, name: str = "
 
 
 def bh_adjust(df: DataFrame, p: str = "p", name: str = "padj", by: list[str] | None = None) -> DataFrame:
-    """Add Benjamini-Hochberg adjusted p-values: the smallest of p_j n / j over ranks j at or above, at most 1."""
-    ranks = counted_values(df, [p], by)
+    """Add Benjamini-Hochberg adjusted p-values: the smallest of p_j n / j over ranks j at or above, at most 1.
+
+    A group may hold any share of the table: its p-values lie in ranges, and each takes the least of the ranges after it. Rows with a
+    NULL p have none.
+    """
+    by = by or []
     raw = (F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n_equal"))).alias("__raw")
+    ranks = counted_values(df, [p], by).select(*by, p, raw)
+    dealt = cut(ranks.repartitionByRange(*by, p).withColumn("__range", F.spark_partition_id()), "bh")
+    lows = dealt.groupBy(*by, "__range").agg(F.min("__raw").alias("__low"))
     if by:
-        above = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        adjusted = ranks.select(*by, p, raw).select(*by, p, F.least(F.lit(1.0), F.min("__raw").over(above)).alias(name))
-        return df.join(adjusted, [*by, p], "left")
-    dealt = cut(ranks.select(p, raw).repartitionByRange(p).withColumn("__range", F.spark_partition_id()), "bh")
-    lows, after, low = dealt.groupBy("__range").agg(F.min("__raw").alias("m")).collect(), [], 1.0
-    for r in sorted(lows, key=lambda r: -r["__range"]):
-        after.append((r["__range"], low))
-        low = min(low, r["m"])
-    rest = df.sparkSession.createDataFrame(after, "__range int, __after double")
-    above = Window.partitionBy("__range").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = dealt.join(F.broadcast(rest), "__range").select(p, F.least("__after", F.min("__raw").over(above)).alias(name))
-    return df.join(adjusted, p, "left")
+        later = Window.partitionBy(*by).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        rest = lows.select(*by, "__range", F.least(F.lit(1.0), F.min("__low").over(later)).alias("__after"))
+        ranged = dealt.join(rest, (dealt["__range"] == rest["__range"]) & _same(dealt, rest, by)).select(dealt["*"], "__after")
+    else:
+        after, low = [], 1.0
+        for r in sorted(lows.collect(), key=lambda r: -r["__range"]):
+            after.append((r["__range"], low))
+            low = min(low, r["__low"])
+        ranged = dealt.join(F.broadcast(df.sparkSession.createDataFrame(after, "__range int, __after double")), "__range")
+    above = Window.partitionBy(*by, "__range").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusted = ranged.select(*by, p, F.least("__after", F.min("__raw").over(above)).alias(name))
+    if not by:
+        return df.join(adjusted, p, "left")
+    return df.join(adjusted, (df[p] == adjusted[p]) & _same(df, adjusted, by), "left").select(df["*"], adjusted[name])
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -125,12 +134,29 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, name: str = "rho") -> DataFrame:
-    """Spearman correlation per group (or of the table): rho and n, from rows where both are finite numbers."""
+    """Spearman correlation per group (or of the table): rho and n, from rows where both are finite numbers.
+
+    Equal pairs are counted first. The values of both sides are ranked in one table, by ranges, so a group may hold any share of the rows.
+    """
     from cohortweave.functions.scalars import is_finite
 
-    rows = df.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double")))
-    if by:
-        ranked = rows.select(*by, windowed_rank(x, by).alias("rx"), windowed_rank(y, by).alias("ry"))
-        return ranked.groupBy(*by).agg(pearson(F.col("rx"), F.col("ry")).alias(name), F.count(F.lit(1)).alias("n"))
-    ranked = average_rank(average_rank(rows.select(F.col(x).alias("__x"), F.col(y).alias("__y")), "__x", name="rx"), "__y", name="ry")
-    return ranked.agg(pearson(F.col("rx"), F.col("ry")).alias(name), F.count(F.lit(1)).alias("n"))
+    by = by or []
+    fields = [F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]
+    keys = [f"__by{i}" for i in range(len(by))]
+    known = df.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double")))
+    rows = known.select(*fields, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("v")) for c in ("__x", "__y")]))
+    values = counted_values(rows.select(*keys, sides.alias("s")).select(*keys, F.col("s.of").alias("__of"), F.col("s.v").alias("__v")), ["__v"], [*keys, "__of"])
+    ranked = cut(values.select(*keys, "__of", "__v", (F.col("n_before") + (F.col("n_equal") + 1).cast("double") / 2.0).alias("__rank")), "spearman-ranks")
+    pairs = rows.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    for c in ("__x", "__y"):
+        side = ranked.where(F.col("__of") == c).select(*[F.col(k).alias(f"{k}_r") for k in keys], F.col("__v"), F.col("__rank").alias(f"__r{c}"))
+        on = F.col(c) == F.col("__v")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        pairs = pairs.join(side, on).drop("__v", *[f"{k}_r" for k in keys])
+    n, u, v, w = F.sum("__n"), F.col("__r__x"), F.col("__r__y"), F.col("__n")
+    su, sv = F.sum(w * u), F.sum(w * v)
+    cov, vu, vv = n * F.sum(w * u * v) - su * sv, n * F.sum(w * u * u) - su * su, n * F.sum(w * v * v) - sv * sv
+    rho = F.when((vu > 1e-9) & (vv > 1e-9), F.try_divide(cov, F.sqrt(vu) * F.sqrt(vv)))
+    return pairs.groupBy(*keys).agg(rho.alias(name), F.coalesce(n, F.lit(0.0)).cast("long").alias("n")).select(*[F.col(k).alias(c) for k, c in zip(keys, by)], name, "n")

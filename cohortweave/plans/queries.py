@@ -80,14 +80,18 @@ def bh_adjust(spark, sf_dir):
     return ranks.bh_adjust(parts, "p").select("p_partkey", "padj")
 
 
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_size/51.0::DOUBLE AS p FROM part),
+k AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n, count(*) OVER (PARTITION BY p_brand ORDER BY p) AS upto FROM p)
+SELECT p_partkey, p_brand, round(least(1.0::DOUBLE, min(p*n/upto) OVER (PARTITION BY p_brand ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),6)+0.0::DOUBLE AS padj FROM k""")
+def bh_adjust_by_group(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") / F.lit(51.0)).alias("p"))
+    return ranks.bh_adjust(parts, "p", by=["p_brand"]).select("p_partkey", "p_brand", "padj")
+
+
 @query("""WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag,l_quantity)-1)/2.0::DOUBLE AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag,l_extendedprice)-1)/2.0::DOUBLE AS y FROM lineitem)
 SELECT l_returnflag, round(corr(x,y),6)+0.0::DOUBLE AS rho, count(*) AS n FROM r GROUP BY 1""")
 def spearman_by_group(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    by = ["l_returnflag"]
-    for c in ("l_quantity", "l_extendedprice"):
-        rows = ranks.average_rank(rows, c, by, name=f"r_{c}")
-    return rows.groupBy(*by).agg(ranks.pearson(F.col("r_l_quantity"), F.col("r_l_extendedprice")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranks.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice)-1)/2.0::DOUBLE AS x, rank() OVER (ORDER BY o_custkey::DOUBLE) + (count(*) OVER (PARTITION BY o_custkey)-1)/2.0::DOUBLE AS y FROM orders)

@@ -45,6 +45,27 @@ def test_spearman_and_constant_side(spark):
     assert ranks.spearman(df, "a", "c").first()["rho"] is None
 
 
+def test_groups_of_any_share(spark):
+    """One group with most rows, one of a single row, a NULL group, NULL and repeated values, against pandas."""
+    rng = np.random.default_rng(5)
+    rows = [("big" if i < 400 else "one" if i == 400 else None, int(rng.integers(0, 30)) / 30, float(rng.integers(0, 9))) for i in range(430)] + [("big", None, 1.0)] * 3 + [("none", None, 2.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, g string, p double, y double").repartition(5)
+    got = {r["id"]: r["padj"] for r in ranks.bh_adjust(df, "p", by=["g"]).collect()}
+    assert len(got) == len(rows) and all(got[i] is None for i, r in enumerate(rows) if r[1] is None)
+    for g in ("big", "one", None):
+        p = {i: r[1] for i, r in enumerate(rows) if r[0] == g and r[1] is not None}
+        want = {i: min(1.0, *(q * len(p) / sum(z <= q for z in p.values()) for q in p.values() if q >= x), 1.0) for i, x in p.items()}
+        assert all(got[i] == pytest.approx(want[i]) for i in p)
+    rho = {r["g"]: (r["rho"], r["n"]) for r in ranks.spearman(df, "p", "y", by=["g"]).collect()}
+    assert rho.keys() == {"big", "one", None} and rho["one"] == (None, 1)
+    for g in ("big", None):
+        some = pd.DataFrame([r[1:] for r in rows if r[0] == g and r[1] is not None], columns=["p", "y"]).rank()
+        assert rho[g][1] == len(some) and rho[g][0] == pytest.approx(some["p"].corr(some["y"]))
+    assert ranks.bh_adjust(df.limit(0), "p", by=["g"]).count() == 0 and ranks.spearman(df.limit(0), "p", "y", by=["g"]).count() == 0
+    empty = ranks.spearman(df.limit(0), "p", "y").first()
+    assert (empty["rho"], empty["n"]) == (None, 0)
+
+
 def test_special_functions():
     assert special.t_two_sided(2.0, 10)[()] == pytest.approx(0.07338803477074039, rel=1e-9)
     assert special.t_two_sided(12.0, 3)[()] == pytest.approx(0.0012460, rel=1e-3)
