@@ -106,9 +106,14 @@ def change_class(delta: Column | str, fdr: Column | str, cutoff: float = 0.05, l
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """A uniform number in (0, 1) that depends on the keys and the seed alone, not on partitioning."""
-    h = F.xxhash64(*[_col(k) for k in keys], F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A uniform number in (0, 1) that depends on the keys as text and the seed alone, not on partitioning or engine. NULL keys are left out."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[_col(k).cast("string") for k in keys]))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """The same for DuckDB, of whole numbers and strings."""
+    return f"((('0x'||substr(md5(concat_ws(':','{seed}',{','.join(keys)})),1,13))::BIGINT+0.5::DOUBLE)/{1 << 52})"
 
 
 def normal(seed: int, *keys: Column | str) -> Column:
@@ -117,6 +122,11 @@ def normal(seed: int, *keys: Column | str) -> Column:
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
 
 
+def normal_sql(seed: int, *keys: str) -> str:
+    u, v = uniform_sql(2 * seed + 1, *keys), uniform_sql(2 * seed + 2, *keys)
+    return f"(sqrt(-2*ln({u}))*cos(2*pi()*{v}))"
+
+
 def gamma(seed: int, shape: int, *keys: Column | str) -> Column:
     """A gamma number of whole shape and scale 1: a sum of exponential ones."""
     return sum((-F.log(uniform(seed, *keys, F.lit(i))) for i in range(shape)), F.lit(0.0))

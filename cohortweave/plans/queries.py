@@ -9,10 +9,12 @@ from pyspark.sql.types import DoubleType
 
 from cohortweave.functions import ranks, scalars
 from cohortweave.functions.draws import draw_key_sql, permuted_sql
+from cohortweave.functions.scalars import normal_sql
 from cohortweave.functions.smooth import local_regression, local_regression_sql
 from cohortweave.operators import diff, evidence, network, propagation, regulon, solver, summaries
 from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
+from cohortweave.plans.forest_sql import forest_sql
 from cohortweave.plans.roles import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,22 +608,89 @@ def _forest_inputs(spark, sf_dir):
     return _edges(spark, sf_dir).select("source", "target", "cost"), roles.prizes(spark, sf_dir).where("prize > 0")
 
 
-@query()
+#: Every way through this network has a length of its own, and so the solver's steps have one result: costs with a small number of the pair's own.
+_OWN = """fe AS MATERIALIZED (SELECT source AS a, target AS b, cost+((substr(source,2)::BIGINT*1000003+substr(target,2)::BIGINT*15485863)%2147483647)*4e-12::DOUBLE AS cost FROM edges),
+fprizes AS MATERIALIZED (SELECT node, round(6*(prize-0.1::DOUBLE),9) AS prize FROM prizes WHERE prize>0.1)"""
+_OMEGA, _MU = 0.3, 0.002
+
+
+def _tree_inputs(spark, sf_dir):
+    own = (F.expr("substring(source, 2)").cast("long") * 1000003 + F.expr("substring(target, 2)").cast("long") * 15485863) % 2147483647
+    edges = _edges(spark, sf_dir).select("source", "target", (F.col("cost") + own * F.lit(4e-12)).alias("cost"))
+    return edges, roles.prizes(spark, sf_dir).where("prize > 0.1").select("node", F.round(6 * (F.col("prize") - 0.1), 9).alias("prize"))
+
+
+def _forest_oracle(select: str, fp: str = "fp AS (SELECT 0 AS run, node, prize FROM fprizes)") -> str:
+    return "WITH RECURSIVE " + sql("interactions", "costs", "users", "prizes", _OWN, fp, *forest_sql(_OMEGA, _MU), select=select).removeprefix("WITH ")
+
+
+@query(_forest_oracle(f"SELECT nodes, n_trees, terminals, steiner, {r6('objective')} FROM finfo"))
 def solve_forest(spark, sf_dir):
-    edges, prizes = _forest_inputs(spark, sf_dir)
-    return solver.summarise_forest(*solver.solve_forest(edges, prizes, omega=0.05, mu=0.0005), omega=0.05).drop("run")
+    return solver.summarise_forest(*solver.solve_forest(*_tree_inputs(spark, sf_dir), _OMEGA, _MU), _OMEGA).drop("run")
+
+
+@query(_forest_oracle(f"SELECT a, b, {r6('cost')} FROM fedges"))
+def forest_edges(spark, sf_dir):
+    edges, _ = solver.solve_forest(*_tree_inputs(spark, sf_dir), _OMEGA, _MU)
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cost")
+
+
+@query(_forest_oracle(f"SELECT node, {r6('prize', 'p')}, terminal FROM fnodes"))
+def forest_nodes(spark, sf_dir):
+    return solver.solve_forest(*_tree_inputs(spark, sf_dir), _OMEGA, _MU)[1].select("node", "prize", "p", "terminal")
+
+
+def _steiner(spark, sf_dir):
+    """The trees over the terminals, before they are pruned, and what their nodes are worth."""
+    edges, prizes = _tree_inputs(spark, sf_dir)
+    worth = prizes.join(network.degrees(edges), "node").select(F.lit(0).alias("run"), "node", (F.col("prize") - _MU * F.col("degree")).alias("p")).where("p > 0")
+    net = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "cost")
+    return *solver.steiner_trees(net, worth.select("run", "node")), worth
+
 
+@query(_forest_oracle(f"SELECT least(a,b) AS a, greatest(a,b) AS b, {r6('cost')} FROM tree"))
+def steiner_edges(spark, sf_dir):
+    return _steiner(spark, sf_dir)[0].select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cost")
 
-@query()
+
+@query(_forest_oracle(f"SELECT steps.node, parent, {r6('cost', 'gain')} FROM steps JOIN gains USING (run, node) WHERE parent IS NOT NULL"))
+def leaf_gains(spark, sf_dir):
+    """What each subtree is worth to its parent, and so the parent of every node under the root of its tree."""
+    tree, home, _, worth = _steiner(spark, sf_dir)
+    net = home.join(worth, ["run", "node"], "left").select("run", "node", "tree", F.coalesce("p", F.lit(0.0)).alias("net"))
+    roots = net.groupBy("run", "tree").agg(F.min(F.struct((-F.col("net")).alias("x"), "node")).alias("r")).select("run", "r.node")
+    return solver.settled_leaves(tree, net.select("run", "node", "net"), roots).select("node", "parent", "cost", "gain")
+
+
+@query(_forest_oracle(f"SELECT least(node,parent) AS a, greatest(node,parent) AS b, {r6('cost')} FROM kept WHERE parent IS NOT NULL"))
+def pruned_edges(spark, sf_dir):
+    tree, home, _, worth = _steiner(spark, sf_dir)
+    return solver.prune_trees(tree, worth, home)[0].select("a", "b", "cost")
+
+
+_NOISY = f"fp AS MATERIALIZED (SELECT run::INTEGER AS run, node, greatest(0.0::DOUBLE, prize*(1+0.1::DOUBLE*{normal_sql(1, 'run', 'node')})) AS prize FROM fprizes, range(1,101) AS runs(run))"
+
+
+@query(_forest_oracle("SELECT a AS source, b AS target, round(count(*)/100.0::DOUBLE,6)+0.0::DOUBLE AS frequency FROM fedges GROUP BY 1,2", _NOISY))
 def robust_frequency(spark, sf_dir):
-    edges, prizes = _forest_inputs(spark, sf_dir)
-    return solver.robust_forest(edges, prizes, omega=0.05, mu=0.0005)[0]
+    return solver.robust_forest(*_tree_inputs(spark, sf_dir), _OMEGA, _MU)[0]
+
+
+@query(_forest_oracle("SELECT node, round(count(*)/100.0::DOUBLE,6)+0.0::DOUBLE AS frequency FROM fnodes GROUP BY 1", _NOISY))
+def robust_nodes(spark, sf_dir):
+    return solver.robust_forest(*_tree_inputs(spark, sf_dir), _OMEGA, _MU)[1]
 
 
-@query()
+_PERMUTED = _placed("SELECT source AS node FROM edges UNION ALL SELECT target FROM edges") + ",\n" + _drawn("fprizes", "prize", 200) + ",\nfp AS MATERIALIZED (SELECT 0 AS run, node, prize FROM fprizes UNION ALL SELECT run, node, prize FROM moved WHERE prize<>0)"
+_COUNTS = ("nodes", "steiner", "objective")
+_null_p = lambda cond, name: f"round((count(*) FILTER ({cond})+1)/201.0::DOUBLE,6)+0.0::DOUBLE AS {name}"
+
+
+@query(_forest_oracle(
+    f"SELECT {', '.join(f'round(any_value(o.{c}),6)+0.0::DOUBLE AS observed_{c}, round(avg(i.{c}),6)+0.0::DOUBLE AS null_{c}_mean' for c in _COUNTS)}, {_null_p('i.nodes<=o.nodes', 'p_compactness')}, {_null_p('i.steiner>=o.steiner', 'p_steiner')}, {_null_p('i.objective>=o.objective', 'p_objective')}"
+    f" FROM (SELECT run, {', '.join(f'coalesce({c},0)::DOUBLE AS {c}' for c in _COUNTS)} FROM range(201) AS runs(run) LEFT JOIN finfo USING (run)) i, (SELECT * FROM finfo WHERE run=0) o WHERE i.run>0", _PERMUTED))
 def permutation_test(spark, sf_dir):
-    edges, prizes = _forest_inputs(spark, sf_dir)
-    return solver.permutation_test(edges, prizes, omega=0.05, mu=0.0005)
+    return solver.permutation_test(*_tree_inputs(spark, sf_dir), _OMEGA, _MU)
 
 
 # differential tests over samples
