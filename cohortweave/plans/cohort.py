@@ -128,7 +128,7 @@ def main() -> None:
     write_bundle(spark, a.output, out, asdict(CohortConfig()) | {"optional_tables": sorted(set(tables) - set(NEEDED))})
     if a.tsv:
         for name, df in out.items():
-            write_tsv(df, f"{a.output}/tsv/{name}", "overwrite")
+            write_tsv(df, f"{a.output}/tsv/{name}", "overwrite", na="NA")
 
 
 if __name__ == "__main__":

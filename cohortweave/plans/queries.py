@@ -9,13 +9,14 @@ from pyspark.sql.types import DoubleType
 
 from cohortweave.functions import ranks, scalars
 from cohortweave.functions.draws import draw_key_sql, permuted_sql
-from cohortweave.functions.scalars import normal_sql
 from cohortweave.functions.smooth import local_regression, local_regression_sql
 from cohortweave.operators import diff, evidence, network, propagation, regulon, solver, summaries
 from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
 from cohortweave.plans.forest_sql import forest_sql
 from cohortweave.plans.roles import sql, table
+from cohortweave.scratch import shared_dir
+from cohortweave.sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,7 +669,7 @@ def pruned_edges(spark, sf_dir):
     return solver.prune_trees(tree, worth, home)[0].select("a", "b", "cost")
 
 
-_NOISY = f"fp AS MATERIALIZED (SELECT run::INTEGER AS run, node, greatest(0.0::DOUBLE, prize*(1+0.1::DOUBLE*{normal_sql(1, 'run', 'node')})) AS prize FROM fprizes, range(1,101) AS runs(run))"
+_NOISY = f"fp AS MATERIALIZED (SELECT run::INTEGER AS run, node, greatest(0.0::DOUBLE, prize*(1+0.1::DOUBLE*{scalars.normal_sql(1, 'run', 'node')})) AS prize FROM fprizes, range(1,101) AS runs(run))"
 
 
 @query(_forest_oracle("SELECT a AS source, b AS target, round(count(*)/100.0::DOUBLE,6)+0.0::DOUBLE AS frequency FROM fedges GROUP BY 1,2", _NOISY))
@@ -1060,3 +1061,106 @@ def paired_cis_correlation(spark, sf_dir):
     rows = rows.select(F.col("l_suppkey").alias("k"), (F.col("o_custkey") % 40).alias("patient"), F.when(F.col("o_orderstatus") == "O", "tumour").otherwise("normal").alias("grp"), "l_quantity", "l_discount")
     x, y = (regulon.paired_deltas(rows, "k", c).select("k", "patient", F.round("delta", 6).alias("value")) for c in ("l_quantity", "l_discount"))
     return rounded(regulon.with_spearman_p(regulon.cis_correlation(x, y, "k", "patient", least=10)).select("k", "rho", "n", "p"), 4)
+
+
+# tables that go to files and come back through the library's readers
+
+
+@query(sql("de", select=f"SELECT gene::VARCHAR AS gene, {r6('log2FC', 'padj')}, NULL::DOUBLE AS \"AveExpr\", NULL::DOUBLE AS t FROM de"))
+def result_table(spark, sf_dir):
+    """A result table as tab-separated text, with NA, read back typed; the columns that it lacks are NULL."""
+    path = shared_dir(spark, "result-table")
+    sources.write_tsv(roles.de(spark, sf_dir), path, na="NA")
+    return sources.read_result(spark, path, "de")
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, '"'||p_name||'" of "'||p_brand AS symbol FROM part""")
+def raw_quotes(spark, sf_dir):
+    """Names with quotes in them, written and read as they are."""
+    path = shared_dir(spark, "raw-quotes")
+    named = F.concat(F.lit('"'), "p_name", F.lit('" of "'), "p_brand").alias("symbol")
+    sources.write_tsv(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), named), path, quoting=False)
+    return sources.read_tsv(spark, path, quoting=False)
+
+
+@query(sql("de", select=f"SELECT gene, {r6('log2FC', 'padj')} FROM de"))
+def ingest_cache(spark, sf_dir):
+    """The second reading of a cache takes what the first has written."""
+    path = shared_dir(spark, "ingest-cache")
+    sources.cached(spark, path, lambda: roles.de(spark, sf_dir))
+    return sources.cached(spark, path, lambda: roles.de(spark, sf_dir).where("false"))
+
+
+@query(sql("de", "dmr", "expr", "meth", "prize_table", select=f"SELECT gene, {r6('prize', 'log2FC')} FROM prized JOIN de USING (gene)"))
+def result_bundle(spark, sf_dir):
+    """Two tables of the last version of a bundle, joined."""
+    path = shared_dir(spark, "bundle")
+    sources.write_bundle(spark, path, {"prizes": _prizes(spark, sf_dir).limit(0), "de": roles.de(spark, sf_dir).limit(0)}, {"version": 1})
+    sources.write_bundle(spark, path, {"prizes": _prizes(spark, sf_dir), "de": roles.de(spark, sf_dir)}, {"version": 2})
+    got, params = sources.read_bundle(spark, path, ["prizes", "de"])
+    return got["prizes"].join(got["de"], "gene").where(F.lit(params["version"]) == 2).select("gene", "prize", "log2FC")
+
+
+#: Priorities as samples: the first characters of their names.
+_SAMPLES = ("1", "2", "3", "4", "5")
+
+
+def _sample_files(spark, folder, rows, header):
+    """The rows of each sample as files of their own, and the manifest that lists them, written and read again."""
+    for s in _SAMPLES:
+        rows.where(F.col("sample") == s).drop("sample").write.option("sep", "\t").option("header", header).csv(f"{folder}/files/s{s}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/files")
+    part = lambda i: F.element_at(F.split("path", "/"), i)
+    listed = files.select(F.substring(part(-2), 2, 1).alias("id"), F.concat_ws("/", part(-2), part(-1)).alias("filename"), F.md5("content").alias("md5"), F.col("length").alias("size"), F.lit("validated").alias("state"))
+    sources.write_tsv(listed, f"{folder}/manifest")
+    return sources.read_manifest(spark, f"{folder}/manifest")
+
+
+@query("SELECT left(o_orderpriority,1) AS sample, o_custkey::VARCHAR AS probe, round(avg(o_totalprice)/1000000,6)+0.0::DOUBLE AS beta FROM orders GROUP BY 1,2")
+def sample_files(spark, sf_dir):
+    """A file without a header for each sample, verified against the manifest and read in long form."""
+    folder = shared_dir(spark, "sample-files")
+    keys = [F.substring("o_orderpriority", 1, 1).alias("sample"), F.col("o_custkey").alias("probe")]
+    rows = table(spark, sf_dir, "orders").groupBy(*keys).agg((F.avg("o_totalprice") / 1000000).alias("beta"))
+    manifest = _sample_files(spark, folder, rows, False)
+    return sources.ingest_samples(spark, f"{folder}/files", manifest).select("sample", "probe", "beta")
+
+
+@query("SELECT left(o_orderpriority,1) AS sample, 'ENSG'||o_custkey AS gene_id, count(*) AS count FROM orders GROUP BY 1,2")
+def sample_counts(spark, sf_dir):
+    """A count table with a header and summary rows for each sample, read in long form."""
+    folder = shared_dir(spark, "sample-counts")
+    sample = F.substring("o_orderpriority", 1, 1).alias("sample")
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.groupBy(sample, F.concat(F.lit("ENSG"), "o_custkey").alias("gene_id")).agg(F.count(F.lit(1)).alias("unstranded"))
+    rows = rows.unionByName(orders.groupBy(sample).agg(F.lit("N_unmapped").alias("gene_id"), F.count(F.lit(1)).alias("unstranded")))
+    manifest = _sample_files(spark, folder, rows, True)
+    return sources.ingest_sample_counts(spark, sources.verified(spark, f"{folder}/files", manifest), manifest)
+
+
+@query("""SELECT 's'||left(o_orderpriority,1) AS id, CASE left(o_orderpriority,1) WHEN '2' THEN 'short' WHEN '3' THEN 'altered' WHEN '4' THEN 'missing' END AS fault, count(DISTINCT o_custkey) AS listed FROM orders GROUP BY 1,2""")
+def manifest_faults(spark, sf_dir):
+    """What a manifest that was altered in three ways lists of each sample's files: the fault that they are found with, and their rows."""
+    folder = shared_dir(spark, "manifest-faults")
+    rows = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("sample"), "o_custkey").distinct()
+    manifest = _sample_files(spark, folder, rows, False)
+    wrong = lambda s, c, x: F.when(F.col("id") == s, x).otherwise(F.col(c)).alias(c)
+    manifest = manifest.select("id", wrong("4", "filename", F.concat(F.lit("gone-"), "filename")), wrong("3", "md5", F.md5("md5")), wrong("2", "size", F.col("size") + 1), "state")
+    faults = sources.verify_manifest(spark, f"{folder}/files", manifest).select(F.concat(F.lit("s"), "id").alias("id"), "fault").distinct()
+    return faults.join(rows.groupBy(F.concat(F.lit("s"), "sample").alias("id")).agg(F.count(F.lit(1)).alias("listed")), "id")
+
+
+_GAMMA = lambda seed, shape, *keys: "(" + "+".join(f"-ln({scalars.uniform_sql(seed, *keys, str(i))})" for i in range(shape)) + ")"
+_FAILS = "+".join(f"floor(ln({scalars.uniform_sql(5, 'p_partkey', str(i))})/ln(20.0::DOUBLE/25.0))" for i in range(5))
+
+
+@query(f"""SELECT p_partkey, round({scalars.uniform_sql(1, 'p_partkey')},6)+0.0::DOUBLE AS uniform, round({scalars.normal_sql(2, 'p_partkey', 'p_brand')},6)+0.0::DOUBLE AS normal, round({_GAMMA(3, 4, 'p_partkey')},6)+0.0::DOUBLE AS gamma,
+round({_GAMMA(9, 2, 'p_partkey')}/({_GAMMA(9, 2, 'p_partkey')}+{_GAMMA(10, 5, 'p_partkey')}),6)+0.0::DOUBLE AS beta, ({_FAILS})::BIGINT AS counts,
+CASE WHEN {scalars.uniform_sql(6, 'p_partkey')}<0.25 THEN 'a' WHEN {scalars.uniform_sql(6, 'p_partkey')}<0.75 THEN 'b' ELSE 'c' END AS choice FROM part""")
+def synthetic_measurements(spark, sf_dir):
+    """A draw of every kind for each part, from its key alone."""
+    drawn = {
+        "uniform": scalars.uniform(1, "p_partkey"), "normal": scalars.normal(2, "p_partkey", "p_brand"), "gamma": scalars.gamma(3, 4, "p_partkey"), "beta": scalars.beta(4, 2, 5, "p_partkey"),
+        "counts": scalars.negative_binomial(5, 5, 20.0, "p_partkey"), "choice": scalars.choice(6, ["a", "b", "c"], [1.0, 2.0, 1.0], "p_partkey"),
+    }
+    return table(spark, sf_dir, "part").select("p_partkey", *[v.alias(k) for k, v in drawn.items()])

@@ -49,8 +49,10 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None, quoting:
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", quoting: bool = True, na: str = "") -> None:
+    """A tab-separated table with a header, NULL written as `na`. Quoting off writes quotes as text."""
+    writer = df.write.mode(mode).option("sep", "\t").option("header", True).option("nullValue", na)
+    (writer if quoting else writer.option("quote", "")).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
