@@ -211,7 +211,7 @@ def test_resampling_queries_run_at_full_size(monkeypatch):
 
     for module, name in ((solver, "robust_forest"), (solver, "permutation_test"), (propagation, "null_scores")):
         spy(module, name)
-    for f in ("_forest_inputs", "_matrix"):
+    for f in ("_tree_inputs", "_matrix"):
         monkeypatch.setattr(queries, f, lambda *a: (None, None))
     for f in ("seeds", "observed"):
         monkeypatch.setattr(queries.roles, f, lambda *a: None)
