@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cohortweave.llm.quality_rules import POLICIES, RULES
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '{_WORDS}') AS ws FROM documents),
@@ -16,6 +18,11 @@ b AS (SELECT *, (CASE WHEN n_words<10 THEN 1 ELSE 0 END + CASE WHEN 100*n_repeat
 + CASE WHEN 100*bangs>30*n_words THEN 16 ELSE 0 END + CASE WHEN 100*n_dup_lines>50*n_lines THEN 32 ELSE 0 END + CASE WHEN 100*stutter>30*n_words THEN 64 ELSE 0 END + CASE WHEN word_chars<2*n_words OR word_chars>25*n_words THEN 128 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"""
 
+_MASKS = ", ".join(f"('{p}', {mask}, '{r.name}', {1 << k})" for p, mask in POLICIES.items() for k, r in enumerate(RULES) if mask >> k & 1)
+QUALITY_ABLATION = QUALITY_RULES.rsplit("\n", 1)[0] + f"""
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (fail_bits & mask = 0) AS n_kept, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only_this,
+count(*) FILTER (fail_bits & mask IN (0, bit)) AS n_kept_without FROM b, (VALUES {_MASKS}) v(policy, mask, rule, bit) GROUP BY policy, rule"""
+
 JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-3)) AS i FROM w) UNION ALL SELECT doc_id, array_to_string(ws,' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -82,4 +89,4 @@ def _merkle(levels: int = 20, top: int = 10) -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT d.doc_id, leaf, b0.x AS subroot, r.x AS root, sha256(s) AS proof_sha256, f AS folded_root, f=r.x AS verified FROM d JOIN pb{top} USING (id) JOIN b0 ON b0.lang IS NOT DISTINCT FROM d.lang CROSS JOIN b{top} r"
 
 
-SQL = {"op3_jaccard_join": JACCARD, "op4_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op10_embedding_dedup": EMBEDDINGS, "op11_spelling_variants": SPELLING, "op13_merkle_manifest": _merkle()}
+SQL = {"op3_jaccard_join": JACCARD, "op4_quality_rules": QUALITY_RULES, "quality_ablation": QUALITY_ABLATION, "op6_warc": WARC, "op10_embedding_dedup": EMBEDDINGS, "op11_spelling_variants": SPELLING, "op13_merkle_manifest": _merkle()}

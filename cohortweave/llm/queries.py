@@ -40,6 +40,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs: documents that it fails, that only it fails, and that the policy would keep without it."""
+    from cohortweave.llm.quality_rules import ablation, rule_ledger
+
+    return ablation(rule_ledger(_documents(spark, sf_dir)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm.language_id import language_id
 
@@ -100,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_classifier": op2_quality_classifier,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_quality_rules": op4_quality_rules,
+        "quality_ablation": quality_ablation,
         "op7_language_id": op7_language_id,
         "op6_warc": op6_warc,
         "op8_mixing": op8_mixing,
