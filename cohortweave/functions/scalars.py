@@ -80,6 +80,12 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
+def rounded_half(c: Column | str, digits: int) -> Column:
+    """Rounded half away from zero after a product with 10**digits in doubles, as SQL engines round them; F.round takes the shortest decimal text instead."""
+    scale = float(10**digits)
+    return F.round(_col(c) * scale) / scale
+
+
 def sign(c: Column | str) -> Column:
     """-1, 0 or 1 as a double, never -0."""
     return F.signum(_col(c)) + F.lit(0.0)

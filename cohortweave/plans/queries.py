@@ -512,7 +512,7 @@ ti AS (SELECT coalesce(sum(t*t*t-t),0)::DOUBLE AS ties FROM (SELECT count(*)::DO
 @query(sql(_PAIR, select="SELECT n, round(v,6)+0.0::DOUBLE AS v, round((v-n*(n+1)/4.0::DOUBLE-0.5::DOUBLE*sign(v-n*(n+1)/4.0::DOUBLE))/sqrt(n::DOUBLE*(n+1)*(2*n+1)/24-ties/48),6)+0.0::DOUBLE AS z FROM o, ti"))
 def paired_signed_rank(spark, sf_dir):
     side = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(side("O") - side("F"), 2).alias("x")).withColumn("y", F.lit(0.0))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(scalars.rounded_half(side("O") - side("F"), 2).alias("x")).withColumn("y", F.lit(0.0))
     return regulon.signed_rank(rows, "x", "y")
 
 
@@ -522,7 +522,7 @@ def paired_signed_rank(spark, sf_dir):
 def paired_signed_rank_p(spark, sf_dir):
     """The same test with its two-sided p; the SQL integrates the normal density."""
     side = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(side("O") - side("F"), 2).alias("x")).withColumn("y", F.lit(0.0))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(scalars.rounded_half(side("O") - side("F"), 2).alias("x")).withColumn("y", F.lit(0.0))
     return regulon.signed_rank(rows, "x", "y", with_p=True).select("n", "z", "p")
 
 

@@ -73,3 +73,15 @@ def test_special_functions():
     assert special.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-10)
     assert special.trigamma(1.0) == pytest.approx(math.pi**2 / 6, abs=1e-9)
     assert special.inverse_trigamma(special.trigamma(3.3)) == pytest.approx(3.3, rel=1e-6)
+
+
+def test_halves_are_rounded_as_duckdb_rounds_doubles(spark):
+    import duckdb
+
+    from cohortweave.functions.scalars import rounded_half
+
+    xs = [1.005, -1.005, 2.675, 1.115, 0.125, -0.125, 123.455, 8.345, 0.0, 1e6 + 0.005]
+    want = [duckdb.sql(f"SELECT round({x!r}::DOUBLE, 2)").fetchall()[0][0] for x in xs]
+    got = [r["r"] for r in table(spark, xs).select("id", rounded_half("x", 2).alias("r")).orderBy("id").collect()]
+    assert got == want
+    assert [r["r"] for r in table(spark, xs).select("id", F.round("x", 2).alias("r")).orderBy("id").collect()] != want
