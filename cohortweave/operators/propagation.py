@@ -5,16 +5,22 @@ A `run` column lets one plan carry any number of seed sets, so a null of hundred
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortweave.functions.draws import permuted_nodes
 from cohortweave.functions.ranks import average_rank, quantiles, rank_bins
 from cohortweave.functions.scalars import sign
-from cohortweave.scratch import Scope, cut
+from cohortweave.scratch import Scope, cut, cut_counted
 
 
 #: Entries of a row of a matrix, or of a column, that are joined in one place; a hub's are dealt over blocks of as many.
 HEAVY = 10_000
+#: States (nodes times runs), sources and entries of the matrix in a block of a product of many runs, and the fewest blocks.
+CELLS, SOURCES, ENTRIES, BLOCKS = 16_000_000, 400_000, 6_000_000, 24
+#: Entries that a task multiplies at a time.
+SLICE = 16_384
 
 
 def dealt_by(matrix: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
@@ -55,16 +61,80 @@ def normalised(matrix: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return met.select(*(groups or []), "source", "target", (F.col("w") / F.col("total")).alias("w"))
 
 
+def _block_sizes(nodes: int, entries: int, runs: int) -> tuple[int, int, int]:
+    """Into how many parts a product deals sources, targets and runs, so that a block stays within its bounds and all tasks have work."""
+    s = math.ceil(max(nodes, 1) / SOURCES)
+    c = math.ceil(runs / max(1, CELLS * s // max(nodes, 1)))
+    t = math.ceil(max(entries, 1) / (s * ENTRIES))
+    return s, t, min(runs, max(c, math.ceil(BLOCKS / (s * t))))
+
+
+def _block_product(key, entries, states):
+    """Sums of w * state by target of one block, for all of its runs: (node, chunk, runs, states) of what a signal reaches."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    states = states.take(pc.sort_indices(states["node"]))
+    at = pc.index_in(entries["source"].combine_chunks(), value_set=states["node"].combine_chunks())
+    entries, at = entries.filter(pc.is_valid(at)), at.drop_null().to_numpy(zero_copy_only=False)
+    named = entries["target"].combine_chunks().dictionary_encode()
+    code, w = named.indices.to_numpy(zero_copy_only=False), entries["w"].to_numpy()
+    order = np.lexsort((at, code))
+    at, code, w = at[order], code[order], w[order]
+    owner = np.repeat(np.arange(len(states)), pc.list_value_length(states["runs"]).to_numpy())
+    runs, column = np.unique(pc.list_flatten(states["runs"]).to_numpy(), return_inverse=True)
+    x, known = np.zeros((len(states), len(runs))), np.zeros((len(states), len(runs)), bool)
+    x[owner, column], known[owner, column] = pc.list_flatten(states["states"]).to_numpy(), True
+    out, reached = np.zeros((len(named.dictionary), len(runs))), np.zeros((len(named.dictionary), len(runs)), bool)
+    for i in range(0, len(at), SLICE):
+        c, a = code[i : i + SLICE], at[i : i + SLICE]
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        out[c[first]] += np.add.reduceat(w[i : i + SLICE, None] * x[a], first, axis=0)
+        reached[c[first]] |= np.logical_or.reduceat(known[a], first, axis=0)
+    ends = np.r_[0, np.cumsum(reached.sum(axis=1))].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (runs.astype(np.int32)[np.nonzero(reached)[1]], out[reached])]
+    return pa.table([named.dictionary, pa.array(np.full(len(out), key[2].as_py(), np.int32)), *lists], ["node", "chunk", "runs", "states"])
+
+
+def _propagate_runs(w: DataFrame, state: DataFrame, damping: float, hops: int, scope: Scope) -> DataFrame:
+    """The hops of propagate for many runs: blocks of sources, targets and runs are multiplied in tasks, and no product of an entry and a run is shuffled.
+
+    A state is sent once for each part of the targets, an entry once for each part of the runs; blocks do not grow with the input, their number does.
+    """
+    w, entries, _ = cut_counted(w, "run-matrix")
+    state = cut(state, "run-seeds")
+    nodes = w.select("source").distinct().count()
+    runs = state.select("run").distinct().count()
+    s, t, c = _block_sizes(nodes, entries, runs)
+    part = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = w.select("source", "target", "w", part("source", s).alias("s"), part("target", t).alias("t")).withColumn("c", every(c))
+    packed = lambda rows: rows.groupBy("node", F.pmod("run", F.lit(c)).alias("chunk")).agg(F.collect_list(F.struct("run", "state")).alias("x")).select("node", "chunk", F.col("x.run").alias("runs"), F.col("x.state").alias("states"))
+    spread = lambda rows: rows.select("node", F.col("chunk").alias("c"), F.explode(F.arrays_zip("runs", "states")).alias("x")).select(F.col("x.runs").alias("run"), "node", F.col("x.states").alias("state"))
+    now, total = packed(state.groupBy("run", "node").agg(F.sum("state").alias("state"))), None
+    for _ in range(hops):
+        sent = now.select("node", "runs", "states", part("node", s).alias("s"), F.col("chunk").alias("c")).withColumn("t", every(t))
+        met = dealt.groupBy("s", "t", "c").cogroup(sent.groupBy("s", "t", "c")).applyInArrow(_block_product, "node string, chunk int, runs array<int>, states array<double>")
+        now = scope.keep(cut(met.withColumn("states", F.transform("states", lambda x: damping * x)), "run-hop"))
+        if s > 1:
+            now = scope.keep(cut(packed(spread(now).groupBy("run", "node").agg(F.sum("state").alias("state"))), "run-hop"))
+        total = spread(now) if total is None else total.unionByName(spread(now))
+    return total.groupBy("run", "node").agg(F.sum("state").alias("state"))
+
+
 def propagate(matrix: DataFrame, seeds: DataFrame, nodeset: DataFrame | None = None, damping: float = 0.5, hops: int = 4, normalise: bool = True) -> DataFrame:
     """(run, node, state) summed over hops 1..hops; a node that no signal reaches has no row, and the seed itself is not counted.
 
     seeds: node, state and optionally run. A hop is a join on source and a sum by (run, target), so partial sums are
-    combined before they are shuffled, and the entries of a hub's row are joined block by block. The matrix and every hop are cut, so that a
-    hop is planned and run once.
+    combined before they are shuffled, and the entries of a hub's row are joined block by block. Seeds with runs of their own are multiplied in
+    blocks (_propagate_runs). The matrix and every hop are cut, so that a hop is planned and run once.
     """
     w = matrix if nodeset is None else induced(matrix, nodeset)
     state = (seeds if "run" in seeds.columns else seeds.withColumn("run", F.lit(0))).select("run", "node", F.col("state").cast("double").alias("state"))
     with Scope() as scope:
+        if "run" in seeds.columns:
+            return _propagate_runs(normalised(w) if normalise else w, state, damping, hops, scope)
         w, hubs = dealt_by(cut(normalised(w) if normalise else w, "hop-entries"), ["source"], "target")
         w, total = cut(w, "hop-matrix"), None
         for _ in range(hops):

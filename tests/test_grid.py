@@ -45,3 +45,33 @@ def test_a_hub_with_half_of_all_edges(spark, monkeypatch):
         assert hubs.count() == 1 and sizes.max() <= 80 and sizes.sum() == len(edges)
     split = {(r["run"], r["node"]): r["state"] for r in propagation.propagate(matrix, seeds, hops=3).collect()}
     assert split.keys() == plain.keys() and all(split[k] == pytest.approx(v) for k, v in plain.items())
+
+
+def test_runs_in_blocks_are_those_of_single_runs(spark, monkeypatch):
+    """Any number of blocks gives what each run gives alone, reached zeros too, and an entry times a run is no row."""
+    import random
+
+    from cohortweave.operators import propagation
+
+    r = random.Random(5)
+    pairs = {(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(150)}
+    matrix = spark.createDataFrame([(a, b, r.choice([-2.0, -1.0, 1.0, 3.0])) for a, b in sorted(pairs)] + [("z1", "z", 1.0), ("z2", "z", -1.0)], "source string, target string, w double")
+    rows = [(run, f"n{n}", r.choice([-1.0, 0.5])) for run in (3, 4, 9, 12) for n in r.sample(range(35), 4)] + [(4, "z1", 1.0), (4, "z2", 1.0)]
+    seeds = spark.createDataFrame(rows, "run int, node string, state double")
+    want = {}
+    for run in (3, 4, 9, 12):
+        want |= {(run, x["node"]): x["state"] for x in propagation.propagate(matrix, seeds.where(f"run = {run}").drop("run")).collect()}
+    assert (4, "z") in want and abs(want[4, "z"]) < 1e-12
+    for name, size in (("SOURCES", 8), ("CELLS", 20), ("ENTRIES", 12), ("SLICE", 5)):
+        assert getattr(propagation, name) > size
+        monkeypatch.setattr(propagation, name, size)
+        got = {(x["run"], x["node"]): x["state"] for x in propagation.propagate(matrix, seeds).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_blocks_stay_within_their_bounds_and_grow_in_number_only():
+    from cohortweave.operators.propagation import CELLS, ENTRIES, SOURCES, _block_sizes
+
+    for nodes, entries, runs in ((90_000, 6_000_000, 300), (540_000, 36_000_000, 300), (5_000_000, 400_000_000, 300), (10, 20, 3)):
+        s, t, c = _block_sizes(nodes, entries, runs)
+        assert nodes / s <= SOURCES and -(-runs // c) * nodes / s <= 1.1 * CELLS and entries / (s * t) <= ENTRIES and c <= runs
