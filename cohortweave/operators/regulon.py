@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortweave.functions.ranks import average_rank, pearson, quantiles, windowed_rank
 from cohortweave.functions.scalars import is_finite, sign
 from cohortweave.functions.special import t_p_value, z_p_value
+from cohortweave.scratch import cut, dealt
 
 
 def activity(regulon: DataFrame, response: DataFrame, min_targets: int = 5, with_p: bool = False) -> DataFrame:
@@ -36,6 +37,8 @@ def paired_deltas(samples: DataFrame, key: str, value: str, patient: str = "pati
 def cis_correlation(x: DataFrame, y: DataFrame, key: str, pair: str, least: int = 25, name: str = "rho") -> DataFrame:
     """Per key: Spearman correlation of x.value and y.value over shared pairs; NULL below `least` finite pairs."""
     rows = x.select(key, pair, F.col("value").alias("x")).join(y.select(key, pair, F.col("value").alias("y")), [key, pair]).where(is_finite("x") & is_finite("y"))
+    # keys are dealt into partitions that do not grow with the table, so a task sorts a bounded number of rows
+    rows = dealt(cut(rows, "cis-pairs"), key)
     ranked = rows.select(key, windowed_rank("x", [key]).alias("rx"), windowed_rank("y", [key]).alias("ry"))
     return ranked.groupBy(key).agg(pearson(F.col("rx"), F.col("ry")).alias("__rho"), F.count(F.lit(1)).alias("n")).select(key, F.when(F.col("n") >= least, F.col("__rho")).alias(name), "n")
 
