@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortweave.functions.ranks import rank_normalise
 from cohortweave.functions.scalars import concordance, has_column, patient_of, sample_group, sample_type_of, sign, split_fields
+from cohortweave.scratch import dealt
 
 #: Region labels and chromosome names as annotations spell them.
 PROMOTER = ("TSS1500", "TSS200", "5'UTR", "1stExon", "promoter")
@@ -93,9 +94,9 @@ def filter_probes(probes: DataFrame, annotation: DataFrame, probe: str = "probe"
 
 
 def complete_probes(beta_long: DataFrame, probe: str = "probe", value: str = "beta") -> DataFrame:
-    """Rows of probes that have no NULL in any sample."""
-    ok = beta_long.groupBy(probe).agg(F.count_if(F.col(value).isNull()).alias("n")).where("n = 0").select(probe)
-    return beta_long.join(ok, probe, "left_semi")
+    """Rows of probes that have no NULL in any sample. Rows are dealt once, into partitions that do not grow with the table."""
+    known = dealt(beta_long.where(F.col(probe).isNotNull()), probe).withColumn("__none", F.count_if(F.col(value).isNull()).over(Window.partitionBy(probe)))
+    return known.where("__none = 0").drop("__none")
 
 
 def unpack_annotation(annotation: DataFrame, probe: str = "probe", genes: str = "genes", regions: str = "regions") -> DataFrame:
@@ -105,7 +106,8 @@ def unpack_annotation(annotation: DataFrame, probe: str = "probe", genes: str =
     """
     g, r = split_fields(genes), split_fields(regions)
     rows = annotation.select(F.col(probe).alias("probe"), g.alias("gene"), r.alias("region")).where((F.size("gene") > 0) & (F.size("gene") == F.size("region")))
-    pairs = rows.select("probe", F.inline(F.arrays_zip("gene", "region")))
+    # a probe's rows lie in one small partition, where its pairs are told apart without another shuffle
+    pairs = dealt(rows, "probe", rows=100_000).select("probe", F.inline(F.arrays_zip("gene", "region")))
     return pairs.where("gene is not null and gene <> ''").dropDuplicates(["probe", "gene", "region"])
 
 

@@ -15,7 +15,7 @@ from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
 from cohortweave.plans.forest_sql import forest_sql
 from cohortweave.plans.roles import sql, table
-from cohortweave.scratch import shared_dir
+from cohortweave.scratch import dealt, shared_dir
 from cohortweave.sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,7 +196,7 @@ def filter_probes_anti(spark, sf_dir):
 
 @query("SELECT DISTINCT l_orderkey AS probe, l_partkey::VARCHAR AS gene, l_returnflag AS region FROM lineitem")
 def annotate_unpack(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("probe")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("g"), F.col("l_returnflag").alias("r")))).alias("x"))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("probe")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("g"), F.col("l_returnflag").alias("r")))).alias("x"))
     packed = rows.select("probe", F.array_join("x.g", ";").alias("genes"), F.array_join("x.r", ";").alias("regions"))
     return evidence.unpack_annotation(packed)
 
@@ -473,7 +473,7 @@ g AS (SELECT k, count(*) AS n, count(*)*sum(rx*ry)-sum(rx)*sum(ry) AS c, count(*
 
 @query(sql(_CIS, select="SELECT k, CASE WHEN n>=10 AND vx>1e-9 AND vy>1e-9 THEN round(c/(sqrt(vx)*sqrt(vy)),6)+0.0::DOUBLE END AS rho, n FROM g"))
 def cis_correlation(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("pair")).agg(F.round(F.avg("l_quantity"), 6).alias("x"), F.round(F.avg("l_discount"), 6).alias("y"))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey").groupBy(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("pair")).agg(F.round(F.avg("l_quantity"), 6).alias("x"), F.round(F.avg("l_discount"), 6).alias("y"))
     return regulon.cis_correlation(rows.select("k", "pair", F.col("x").alias("value")), rows.select("k", "pair", F.col("y").alias("value")), "k", "pair", least=10)
 
 
@@ -844,7 +844,7 @@ fields AS (SELECT probe, CASE WHEN genes='' THEN []::VARCHAR[] ELSE string_split
 def _packed(spark, sf_dir):
     """Orders as probes whose genes and regions are packed in two columns; some genes are empty, some lists uneven."""
     gene = F.when(F.col("l_tax") > 0.07, "").otherwise(F.col("l_partkey").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("probe")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", gene.alias("g"), F.col("l_returnflag").alias("r")))).alias("x"))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("probe")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", gene.alias("g"), F.col("l_returnflag").alias("r")))).alias("x"))
     return rows.select("probe", F.array_join("x.g", ";").alias("genes"), F.concat(F.array_join("x.r", ";"), F.when(F.col("probe") % 7 == 0, ";X").otherwise("")).alias("regions"))
 
 

@@ -107,3 +107,26 @@ def test_draws_have_their_means(spark):
     )
     r = df.agg(F.avg("g"), F.avg("b"), F.avg("n"), F.var_samp("n"), F.avg((F.col("c") == "y").cast("int")), F.avg((F.col("c") == "z").cast("int"))).first()
     assert list(r) == [pytest.approx(m, rel=0.06) for m in (3, 0.25, 30, 30 + 30**2 / 4, 0.5, 0.25)]
+
+
+def test_partitions_grow_in_number_and_not_in_rows(spark, monkeypatch):
+    """Complete probes, unpacked annotations and cis ranks read partitions of a bounded number of rows, with the results of a small table."""
+    from pyspark.sql import functions as F
+
+    from cohortweave import scratch
+    from cohortweave.operators import evidence, regulon
+
+    seen = []
+    plain = scratch.dealt
+    for module in (evidence, regulon):
+        monkeypatch.setattr(module, "dealt", lambda df, *keys, rows=0: seen.append(plain(df, *keys, rows=500)) or seen[-1])
+    beta = spark.range(4000).select((F.col("id") % 1000).alias("probe"), F.when(F.col("id") != 17, F.col("id") * 0.5).alias("beta"))
+    beta = beta.unionByName(spark.sql("select cast(null as long) as probe, 1.0D as beta"))
+    out = evidence.complete_probes(beta)
+    assert sorted(out.columns) == ["beta", "probe"] and out.count() == 3996 and out.where("probe = 17 or probe is null").count() == 0
+    packed = spark.range(2000).select((F.col("id") % 1500).alias("probe"), F.lit("a;b;a").alias("genes"), F.lit("x;y;x").alias("regions"))
+    assert evidence.unpack_annotation(packed).count() == 3000
+    rows = spark.range(6000).select((F.col("id") % 200).alias("k"), F.col("id").alias("pair"), F.col("id").cast("double").alias("value"))
+    got = regulon.cis_correlation(rows, rows.withColumn("value", -F.col("value")), "k", "pair").collect()
+    assert len(got) == 200 and all(abs(r["rho"] + 1) < 1e-9 and r["n"] == 30 for r in got)
+    assert [df.rdd.getNumPartitions() for df in seen] == [8, 4, 12]
