@@ -79,7 +79,7 @@ def moderated(fits: DataFrame) -> DataFrame:
 
 def group_fits(beta: DataFrame, samples: DataFrame, paired: bool = False, barcode: str = "barcode") -> DataFrame:
     """Per probe the fit on M-values before its variance is moderated: effect, s2, df, scale and mean."""
-    rows = complete_probes(beta.join(design(samples, paired, barcode), "sample"))
+    rows = complete_probes(cut(beta.join(design(samples, paired, barcode), "sample"), "diff-rows"))
     return _fit_means(rows.select("probe", "patient", "grp", m_value("beta").alias("y"), F.lit(1.0).alias("w")), "probe", paired)
 
 
@@ -94,8 +94,9 @@ def diff_methylation(beta: DataFrame, samples: DataFrame, paired: bool = False,
 
     beta: probe, sample, beta in long form. Probes with a NULL in a used sample are dropped; the effect is unpaired in any design.
     """
-    d = design(samples, paired, barcode)
-    rows = complete_probes(beta.join(d, "sample"))
+    d = cut(design(samples, paired, barcode), "diff-design")
+    # the measurements are worked out once, for the differences and for the fits
+    rows = complete_probes(cut(beta.select("probe", "sample", "beta").join(d, "sample"), "diff-rows"))
     delta = mean_difference(rows, "probe", "beta", "grp", "tumour", "normal").withColumnRenamed("delta", "delta_beta")
     fits = cut(_fit_means(rows.select("probe", "patient", "grp", m_value("beta").alias("y"), F.lit(1.0).alias("w")), "probe", paired), "diff-fits")
     return bh_adjust(moderated(fits), "p", "padj").join(delta, "probe").select("probe", "delta_beta", "padj", "t")
