@@ -250,3 +250,15 @@ def test_a_run_that_reaches_nothing_keeps_its_row(spark):
     sinks = spark.createDataFrame([("t0", 1.0), ("t1", -1.0)], "node string, state double")
     nodes = spark.createDataFrame([(f"s{i}", float(i)) for i in range(30)], "node string, value double")
     assert sorted(r["run"] for r in propagation.null_scores(propagation.signed_matrix(wide), sinks, nodes, runs=12).collect()) == list(range(1, 13))
+
+
+def test_draws_are_dealt_into_partitions_of_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(draws, "DRAWS", 50)
+    names = [f"n{i:03d}" for i in range(40)]
+    binned = spark.createDataFrame([(x, i // 20, i + 1) for i, x in enumerate(names)], "node string, bin int, rank int")
+    held = spark.createDataFrame([(x, float(i)) for i, x in enumerate(names)], "node string, prize double")
+    with Scope():
+        moved = draws.permuted_nodes(binned, held, 10, 1)
+        assert re.search(r"hashpartitioning\(node#\d+, 8\), REPARTITION_BY_NUM", moved._jdf.queryExecution().toString())
+        rows = moved.collect()
+    assert len({(r["run"], r["node"]) for r in rows}) == len(rows) == 400
