@@ -15,7 +15,7 @@ from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
 from cohortweave.plans.forest_sql import forest_sql
 from cohortweave.plans.roles import sql, table
-from cohortweave.scratch import dealt, shared_dir
+from cohortweave.scratch import cut, dealt, shared_dir
 from cohortweave.sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -644,7 +644,9 @@ def forest_nodes(spark, sf_dir):
 def _steiner(spark, sf_dir):
     """The trees over the terminals, before they are pruned, and what their nodes are worth."""
     edges, prizes = _tree_inputs(spark, sf_dir)
+    edges = cut(edges, "tree-network")
     worth = prizes.join(network.degrees(edges), "node").select(F.lit(0).alias("run"), "node", (F.col("prize") - _MU * F.col("degree")).alias("p")).where("p > 0")
+    worth = cut(worth, "tree-worth")
     net = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "cost")
     return *solver.steiner_trees(net, worth.select("run", "node")), worth
 

@@ -65,3 +65,14 @@ def test_blocks_of_runs_and_joins_give_the_same_forest(spark, monkeypatch, edges
     ask = lambda select: c.execute("WITH RECURSIVE " + ",\n".join(forest_sql(0.4, 0.01)) + "\n" + select).fetchall()
     assert got and got == sorted(ask("SELECT run, a, b, round(cost,9) FROM fedges"))
     assert nodes == sorted(ask("SELECT run, node FROM fnodes"))
+
+
+def test_the_steps_queries_work_their_network_out_once(spark, monkeypatch):
+    from cohortweave.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries.solver, "steiner_trees", lambda net, ends: seen.extend([net, ends]) or (None, None, None))
+    monkeypatch.setattr(queries.roles, "prizes", lambda *a: spark.createDataFrame([("u1", 0.5), ("u2", 0.6)], "node string, prize double"))
+    monkeypatch.setattr(queries, "_edges", lambda *a: spark.createDataFrame([("u1", "u2", 0.4)], "source string, target string, cost double"))
+    queries._steiner(spark, "")
+    assert all(df.inputFiles() for df in seen) and seen[0].count() == 1
