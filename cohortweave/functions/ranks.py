@@ -11,31 +11,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortweave.scratch import cut
 
 
-def counted_values(df: DataFrame, value: list[str], by: list[str] | None = None) -> DataFrame:
-    """Distinct values (per group) in ascending order with n_equal, n_before and n_total; NULL values are left out."""
+def counted_values(df: DataFrame, value: list[str], by: list[str] | None = None, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct values (per group) in ascending order with n_equal, n_before and n_total; NULL values are left out.
+
+    For each of the boolean columns `marks`, the same three of the rows where it is true (n_equal_<mark> and so on).
+    """
     by = by or []
     known = df
     for c in value:
         known = known.where(F.col(c).isNotNull())
-    counts = known.groupBy(*by, *value).agg(F.count(F.lit(1)).alias("n_equal"))
+    of = ["", *[f"_{m}" for m in marks]]
+    counts = known.groupBy(*by, *value).agg(F.count(F.lit(1)).alias("n_equal"), *[F.count_if(m).alias(f"n_equal_{m}") for m in marks])
     key = [*by, "__range"]
     dealt = cut(counts.repartitionByRange(*by, *value).withColumn("__range", F.spark_partition_id()), "ranks")
     # a group may span ranges: each adds what its group has in the ranges before it
-    sums = dealt.groupBy(*key).agg(F.sum("n_equal").alias("__n"))
+    sums = dealt.groupBy(*key).agg(*[F.sum(f"n_equal{m}").alias(f"__n{m}") for m in of])
     if by:
         group = Window.partitionBy(*by)
         earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offsets = sums.select(*key, (F.sum("__n").over(earlier) - F.col("__n")).alias("__offset"), F.sum("__n").over(group).alias("n_total"))
-        ranked = dealt.join(offsets, (dealt["__range"] == offsets["__range"]) & _same(dealt, offsets, by)).select(dealt["*"], "__offset", "n_total")
+        added = [c for m in of for c in ((F.sum(f"__n{m}").over(earlier) - F.col(f"__n{m}")).alias(f"__offset{m}"), F.sum(f"__n{m}").over(group).alias(f"n_total{m}"))]
+        offsets = sums.select(*key, *added)
+        ranked = dealt.join(offsets, (dealt["__range"] == offsets["__range"]) & _same(dealt, offsets, by)).select(dealt["*"], *[c for m in of for c in (f"__offset{m}", f"n_total{m}")])
     else:
-        before, total = [], 0
+        before, total = [], [0] * len(of)
         for r in sorted(sums.collect(), key=lambda r: r["__range"]):
-            before.append((r["__range"], total))
-            total += r["__n"]
-        offsets = df.sparkSession.createDataFrame(before, "__range int, __offset long")
-        ranked = dealt.join(F.broadcast(offsets), "__range").withColumn("n_total", F.lit(total).cast("long"))
+            before.append((r["__range"], *total))
+            total = [t + r[f"__n{m}"] for t, m in zip(total, of)]
+        offsets = df.sparkSession.createDataFrame(before, ", ".join(["__range int", *[f"__offset{m} long" for m in of]]))
+        ranked = dealt.join(F.broadcast(offsets), "__range").select("*", *[F.lit(t).cast("long").alias(f"n_total{m}") for t, m in zip(total, of)])
     upto = Window.partitionBy(*key).orderBy(*value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.select(*by, *value, "n_equal", (F.sum("n_equal").over(upto) - F.col("n_equal") + F.col("__offset")).alias("n_before"), "n_total")
+    ends = [(f"n_equal{m}", (F.sum(f"n_equal{m}").over(upto) - F.col(f"n_equal{m}") + F.col(f"__offset{m}")).alias(f"n_before{m}"), f"n_total{m}") for m in of]
+    return ranked.select(*by, *value, *[c for three in ends for c in three])
 
 
 def _same(x: DataFrame, y: DataFrame, columns: list[str]) -> Column:

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortweave.functions.draws import permuted_nodes
-from cohortweave.functions.ranks import average_rank, quantiles, rank_bins
+from cohortweave.functions.ranks import counted_values, quantiles, rank_bins
 from cohortweave.functions.scalars import sign
 from cohortweave.scratch import Scope, cut, cut_counted
 
@@ -21,6 +21,8 @@ HEAVY = 10_000
 CELLS, SOURCES, ENTRIES, BLOCKS = 16_000_000, 400_000, 6_000_000, 24
 #: Entries that a task multiplies at a time.
 SLICE = 16_384
+#: Networks of a grid whose entries stand in columns of one row, and seed sets whose states do.
+WIDE = 4
 
 
 def dealt_by(matrix: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
@@ -161,20 +163,19 @@ def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFra
             keys = [c for c in ("run", "node") if c in exclude.columns]
             rows = rows.join(exclude.select(*keys).distinct(), keys, "left_anti")
         rows = rows.join(predicted, ["run", "node"], "left")
-        rows = rows.select("run", F.monotonically_increasing_id().alias("row"), F.coalesce("state", F.lit(0.0)).alias("p"), "v", "sig")
+        rows = rows.select("run", F.coalesce("state", F.lit(0.0)).alias("p"), "v", "sig")
         rows = rows.withColumn("reached", F.abs("p") > min_abs).withColumn("hit", F.col("reached") & F.col("sig"))
         rows = cut(rows, "scored")
         hit = rows.where("hit").select("run", F.abs("p").alias("size"))
         limit = quantiles(hit, "size", {"limit": conf_quantile}, ["run"]).join(hit.groupBy("run").agg(F.count(F.lit(1)).alias("hits")), "run")
         rows = rows.join(limit, "run", "left").withColumn("conf", F.coalesce(F.col("hit") & (F.abs("p") >= F.col("limit")) & (F.col("hits") >= least), F.lit(False)))
-        # the six ranks of a row, of p and v among all, reached and confident rows, come from one sorted table
-        sides = {"g": F.lit(True), "l": F.col("reached"), "c": F.col("conf")}
-        each = F.array(*[F.struct(F.lit(f"{c}{k}").alias("of"), F.when(on, F.col(c)).alias("x")) for k, on in sides.items() for c in ("p", "v")])
-        stacked = rows.select("*", F.explode(each).alias("e")).select(*rows.columns, "e.of", "e.x")
-        ranked = average_rank(stacked, "x", ["run", "of"])
-        rank = {f"{c}{k}": F.max(F.when(F.col("of") == f"{c}{k}", F.col("rank"))).alias(f"{c}{k}") for k in sides for c in ("p", "v")}
-        same = ["p", "v", "reached", "hit", "conf"]
-        rows = ranked.groupBy("run", "row").agg(*[F.first(c).alias(c) for c in same], *rank.values())
+        # the six ranks of a row, of p and v among all, reached and confident rows: a value is counted once for all three
+        sides = {"g": "", "l": "_reached", "c": "_conf"}
+        for c in ("p", "v"):
+            ranks = [(F.col(f"n_before{m}") + (F.col(f"n_equal{m}") + 1).cast("double") / 2.0).alias(f"{c}{k}") for k, m in sides.items()]
+            rows = rows.join(counted_values(rows, [c], ["run"], ("reached", "conf")).select("run", c, *ranks), ["run", c], "left")
+        for k, on in (("l", "reached"), ("c", "conf")):
+            rows = rows.withColumns({f"{c}{k}": F.when(F.col(on), F.col(f"{c}{k}")) for c in ("p", "v")})
         agree = (sign("p") == sign("v")).cast("double")
 
         def rho(k: str):
@@ -194,27 +195,50 @@ def score_prediction(predicted: DataFrame, observed: DataFrame, exclude: DataFra
         return scope.keep(cut(out, "scores"))
 
 
+def _places(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(name, sheet, slot) of the distinct names, of which there are few, WIDE to a sheet; and the number of slots."""
+    names = sorted(r[0] for r in rows.select(name).distinct().collect() if r[0] is not None)
+    places = [(x, i // WIDE, i % WIDE) for i, x in enumerate(names)]
+    return rows.sparkSession.createDataFrame(places, f"{name} {rows.schema[name].dataType.simpleString()}, {name}_sheet int, {name}_slot int"), min(WIDE, len(names))
+
+
 def propagate_grid(matrices: DataFrame, seeds: DataFrame, depths: list[int], damping: float = 0.5, normalise: bool = True) -> DataFrame:
     """(network, seeds, k_hops, node, state) of every network, seed set and depth, as propagate gives them for one.
 
-    matrices: network, source, target, w; seeds: seeds, node, state. Settings that differ in depth alone share their hops.
+    matrices: network, source, target, w; seeds: seeds, node, state. Settings that differ in depth alone share their hops. A pair of nodes is
+    one row for WIDE networks and a node one row for as many seed sets too, so that a hop moves each once.
     """
     with Scope() as scope:
-        w = matrices.select("network", "source", "target", "w")
-        row = ["network", "source"]
-        w, hubs = dealt_by(cut(normalised(w, ["network"]) if normalise else w, "grid-entries"), row, "target")
+        (nets, n), (sets, m) = _places(matrices, "network"), _places(seeds, "seeds")
+        slot = lambda c, i, x: F.sum(F.when(F.col(f"{c}_slot") == i, x))
+        row, into = ["network_sheet", "source"], ["network_sheet", "target"]
+        placed = matrices.join(F.broadcast(nets), "network").groupBy("network_sheet", "source", "target")
+        w = cut(placed.agg(*[slot("network", i, F.col("w").cast("double")).alias(f"w{i}") for i in range(n)], *[slot("network", i, F.abs("w")).alias(f"a{i}") for i in range(n)]), "grid-entries")
+        sheets, total = nets.select("network_sheet").distinct(), w.groupBy(*into).agg(*[F.sum(f"a{i}").alias(f"t{i}") for i in range(n)])
+        w, hubs = dealt_by(w, row, "target")
+        if normalise:
+            dealt, ends = dealt_by(w.withColumnRenamed("block", "row_block"), into, "source")
+            met = dealt.join(for_blocks(total, ends, into), [*into, "block"])
+            w = met.select(*row, "target", F.col("row_block").alias("block"), *[(F.col(f"w{i}") / F.col(f"t{i}")).alias(f"w{i}") for i in range(n)])
         w = cut(w, "grid-matrix")
-        networks = w.select("network").distinct()
-        state = seeds.select("seeds", "node", F.col("state").cast("double").alias("state")).crossJoin(F.broadcast(networks))
+        state = seeds.join(F.broadcast(sets), "seeds").groupBy("seeds_sheet", "node").agg(*[slot("seeds", j, F.col("state").cast("double")).alias(f"x{j}") for j in range(m)])
+        cells = [(i, j, f"x{i}_{j}") for i in range(n) for j in range(m)]
+        state = state.crossJoin(F.broadcast(sheets)).select("network_sheet", "seeds_sheet", "node", *[F.col(f"x{j}").alias(c) for _, j, c in cells])
         every = None
         for k in range(1, max(depths) + 1):
-            moved = for_blocks(state.withColumnRenamed("node", "source"), hubs, row).join(w, [*row, "block"]).groupBy("network", "seeds", F.col("target").alias("node"))
-            state = scope.keep(cut(moved.agg((damping * F.sum(F.col("w") * F.col("state"))).alias("state")), "grid-hop"))
+            # few states meet many entries: the entries are not sorted
+            sent = for_blocks(state.withColumnRenamed("node", "source"), hubs, row).hint("shuffle_hash")
+            moved = w.join(sent, [*row, "block"]).groupBy("network_sheet", "seeds_sheet", F.col("target").alias("node"))
+            moved = moved.agg(*[(damping * F.sum(F.col(f"w{i}") * F.col(c))).alias(c) for i, _, c in cells])
+            state = scope.keep(cut(moved.where(F.coalesce(*[c for *_, c in cells]).isNotNull()), "grid-hop"))
             # a hop counts in every depth that reaches it
-            reach = F.array(*[F.lit(d) for d in depths if d >= k])
-            hop = state.select("network", "seeds", F.explode(reach).alias("k_hops"), "node", "state")
+            hop = state.withColumn("k_hops", F.explode(F.array(*[F.lit(d) for d in depths if d >= k])))
             every = hop if every is None else every.unionByName(hop)
-    return every.groupBy("network", "seeds", "k_hops", "node").agg(F.sum("state").alias("state"))
+    every = every.groupBy("network_sheet", "seeds_sheet", "k_hops", "node").agg(*[F.sum(c).alias(c) for *_, c in cells])
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("network_slot"), F.lit(j).alias("seeds_slot"), F.col(c).alias("state")) for i, j, c in cells]))
+    named = every.select("network_sheet", "seeds_sheet", "k_hops", "node", each).where("state is not null")
+    named = named.join(F.broadcast(nets), ["network_sheet", "network_slot"]).join(F.broadcast(sets), ["seeds_sheet", "seeds_slot"])
+    return named.select("network", "seeds", "k_hops", "node", "state")
 
 
 def evaluate_grid(matrices: DataFrame, seeds: DataFrame, observed: DataFrame, depths: list[int], digits: int = 12, **options) -> DataFrame:

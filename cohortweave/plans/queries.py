@@ -15,7 +15,7 @@ from cohortweave.operators.components import connected_components
 from cohortweave.plans import roles
 from cohortweave.plans.forest_sql import forest_sql
 from cohortweave.plans.roles import sql, table
-from cohortweave.scratch import cut, dealt, shared_dir
+from cohortweave.scratch import Scope, cut, dealt, shared_dir
 from cohortweave.sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -419,14 +419,14 @@ _GRID_HOP = lambda k: f"h{k} AS (SELECT network, seeds, target AS node, 0.5::DOU
     *_SCORED[1:], select="SELECT network, seeds, observation, k_hops, sc.* EXCLUDE (run) FROM (" + _SCORES + ") sc JOIN grid USING (run)"))
 def propagation_grid(spark, sf_dir):
     """3 seed sets, 2 networks, 2 observations and 4 depths."""
-    signed = network.signed_edges(roles.interactions(spark, sf_dir))
-    matrices = propagation.signed_matrix(signed, weight="confidence").withColumn("network", F.lit("weighted")).unionByName(propagation.signed_matrix(signed).withColumn("network", F.lit("plain")))
-    seeds = roles.seeds(spark, sf_dir)
-    named = lambda name, rows: rows.select(F.lit(name).alias("seeds"), "node", "state")
-    sets = named("all", seeds).unionByName(named("strong", seeds.where("state <= -0.3"))).unionByName(named("weak", seeds.where("state > -0.3")))
-    u = roles.users(spark, sf_dir)
-    seen = lambda c: u.select(F.lit(c).alias("observation"), "node", F.col(c).cast("double").alias("value"), (F.col("errors") > 0).alias("sig"))
-    return propagation.evaluate_grid(matrices, sets, seen("value").unionByName(seen("errors")), [1, 2, 3, 4])
+    with Scope() as scope:
+        signed = cut(network.signed_edges(roles.interactions(spark, sf_dir)), "grid-signed")
+        seeds, u = cut(roles.seeds(spark, sf_dir), "grid-roots"), cut(roles.users(spark, sf_dir), "grid-users")
+        matrices = propagation.signed_matrix(signed, weight="confidence").withColumn("network", F.lit("weighted")).unionByName(propagation.signed_matrix(signed).withColumn("network", F.lit("plain")))
+        named = lambda name, rows: rows.select(F.lit(name).alias("seeds"), "node", "state")
+        sets = named("all", seeds).unionByName(named("strong", seeds.where("state <= -0.3"))).unionByName(named("weak", seeds.where("state > -0.3")))
+        seen = lambda c: u.select(F.lit(c).alias("observation"), "node", F.col(c).cast("double").alias("value"), (F.col("errors") > 0).alias("sig"))
+        return scope.keep(propagation.evaluate_grid(matrices, sets, seen("value").unionByName(seen("errors")), [1, 2, 3, 4]))
 
 
 # activities and associations

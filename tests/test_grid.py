@@ -75,3 +75,33 @@ def test_blocks_stay_within_their_bounds_and_grow_in_number_only():
     for nodes, entries, runs in ((90_000, 6_000_000, 300), (540_000, 36_000_000, 300), (5_000_000, 400_000_000, 300), (10, 20, 3)):
         s, t, c = _block_sizes(nodes, entries, runs)
         assert nodes / s <= SOURCES and -(-runs // c) * nodes / s <= 1.1 * CELLS and entries / (s * t) <= ENTRIES and c <= runs
+
+
+def test_a_grid_moves_a_node_once_and_counts_a_value_once(spark, net, monkeypatch):
+    """A hop has a row for a node, and a rank a row for a value of a run, not one for each setting; more names than WIDE change no state."""
+    rows = {}
+
+    def counted(df, name):
+        out = cut(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    from cohortweave.functions import ranks
+    from cohortweave.scratch import cut
+
+    monkeypatch.setattr(propagation, "cut", counted)
+    monkeypatch.setattr(ranks, "cut", counted)
+    matrices = net[0].withColumn("network", F.lit("p")).unionByName(net[1].withColumn("network", F.lit("q"))).unionByName(net[1].withColumn("network", F.lit("r")))
+    sets = {"a": [("n1", 1.0), ("n2", -1.0)], "b": [("n7", 0.5), ("n7", 0.25)], "c": [("n9", 1.0)]}
+    seeds = spark.createDataFrame([(s, *r) for s, of in sets.items() for r in of], "seeds string, node string, state double")
+    seen = spark.createDataFrame([("x", f"n{i}", float(i % 7), i % 5 > 0) for i in range(40)], "observation string, node string, value double, sig boolean")
+    propagation.evaluate_grid(matrices, seeds, seen, [1, 3], least=5).collect()
+    assert len(rows["grid-hop"]) == 3 and max(rows["grid-hop"]) <= 40
+    assert max(rows["ranks"]) <= rows["scored"][0]
+    for wide in (4, 2):
+        monkeypatch.setattr(propagation, "WIDE", wide)
+        got = {(r["network"], r["seeds"], r["k_hops"], r["node"]): r["state"] for r in propagation.propagate_grid(matrices, seeds, [1, 3]).collect()}
+        for name, matrix, s, k in (("p", net[0], "a", 3), ("q", net[1], "b", 1), ("r", net[1], "c", 3)):
+            want = {r["node"]: r["state"] for r in propagation.propagate(matrix, spark.createDataFrame(sets[s], "node string, state double"), hops=k).collect()}
+            mine = {n: x for (w, o, d, n), x in got.items() if (w, o, d) == (name, s, k)}
+            assert mine.keys() == want.keys() and all(mine[n] == pytest.approx(want[n]) for n in want)
