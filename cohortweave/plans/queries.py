@@ -796,8 +796,9 @@ _GENES = "SELECT feature::VARCHAR AS gene, round(effect,4)+0.0::DOUBLE AS \"log2
 
 
 def _genes(spark, sf_dir, paired):
-    assay = _assay(spark, sf_dir)
-    return rounded(diff.diff_expression(assay.select(F.col("feature").cast("string").alias("gene_id"), "sample", "count"), _samples(assay), paired=paired), 4)
+    # the counts are summed up once, for the design too
+    counts = cut(_assay(spark, sf_dir).select(F.col("feature").cast("string").alias("gene_id"), "sample", "count"), "genes-counts")
+    return rounded(diff.diff_expression(counts, _samples(counts), paired=paired), 4)
 
 
 @query("WITH RECURSIVE " + sql(_ASSAY, "c0 AS (SELECT feature, patient||grp AS sample, patient, grp, count FROM sampled)", _LOGS,

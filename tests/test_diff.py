@@ -62,3 +62,32 @@ def test_cohort_run(spark, cohort_data):
     out = cohort.run(spark, tables, net, cohort.CohortConfig(noise_runs=3, permutations=3, omega_quantile=0.1))
     assert out["prizes"].count() >= 16 and out["permutation"].count() == 1
     assert {r["stage"] for r in out["timings"].collect()} >= {"expression", "solve", "permutation"}
+
+
+@pytest.mark.parametrize("paired", [False, True])
+def test_a_query_of_genes_reads_its_lines_once(spark, monkeypatch, paired):
+    import os
+
+    from cohortweave.plans import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    seen, plain = spark.sparkContext.accumulator(0), queries.table
+
+    def each(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    def table(spark, sf_dir, name):
+        df = plain(spark, sf_dir, name)
+        return df.mapInPandas(each, df.schema) if name == "lineitem" else df
+
+    def tested(counts, samples, paired):
+        assert diff.design(samples, paired).count() and counts.count()
+        return counts
+
+    monkeypatch.setattr(queries, "table", table)
+    monkeypatch.setattr(queries.diff, "diff_expression", tested)
+    assert queries._genes(spark, "/root/testdata/sf0.001", paired).count()
+    assert seen.value == plain(spark, "/root/testdata/sf0.001", "lineitem").count()
