@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortweave.scratch import cut_counted
+from cohortweave.scratch import cut, cut_counted
 
 PRIME = 2_147_483_647
 ROUNDS = 24
@@ -76,8 +76,10 @@ def permuted_nodes(binned: DataFrame, held: DataFrame, runs: int, seed: int) ->
     binned: node, bin, rank (rank_bins with its rank); nodes outside are dropped. Rows are those of held times the runs;
     a bin is neither sorted nor gathered. Rows are dealt out before they are drawn, a bounded number of draws in a partition.
     """
-    places = placed_in_bins(binned)
+    places = cut(placed_in_bins(binned), "draws-places")
     placed, n, _ = cut_counted(held.join(places, "node"), "draws-held")
     rows = placed.repartition(max(1, math.ceil(n * runs / DRAWS)), "node").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     moved = rows.withColumn("place", permuted(F.col("place"), F.col("size"), draw_key(seed, F.col("run"), F.col("bin")))).drop("node", "size")
-    return moved.join(places.select("node", "bin", "place"), ["bin", "place"]).select("run", *held.columns)
+    # Spark does not count the rows that explode makes, so it would broadcast all draws: the places are built into tables by partition instead
+    at = places.select("node", "bin", "place").hint("shuffle_hash")
+    return moved.join(at, ["bin", "place"]).select("run", *held.columns)

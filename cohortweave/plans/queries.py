@@ -373,12 +373,13 @@ _MATRIX_ENDS = "SELECT source AS node FROM m UNION ALL SELECT target FROM m"
 
 @query(sql("interactions", "users", "seeds", "matrix", _placed(_MATRIX_ENDS), _drawn("seeds", "state", 300), select="SELECT run, node, state FROM moved"))
 def seed_shuffles(spark, sf_dir):
-    return propagation.shuffle_seeds(roles.seeds(spark, sf_dir), propagation.degree_bins(_matrix(spark, sf_dir)), runs=300)
+    bins = cut(propagation.degree_bins(cut(_matrix(spark, sf_dir), "seed-matrix")), "seed-bins")
+    return propagation.shuffle_seeds(roles.seeds(spark, sf_dir), bins, runs=300)
 
 
 @query(sql("interactions", "costs", "users", "prizes", _placed("SELECT source AS node FROM edges UNION ALL SELECT target FROM edges"), _drawn("prizes", "prize", 200), select="SELECT run, node, prize FROM moved WHERE prize<>0"))
 def prize_shuffles(spark, sf_dir):
-    return solver.shuffled_prizes(_edges(spark, sf_dir), roles.prizes(spark, sf_dir), runs=200)
+    return solver.shuffled_prizes(cut(_edges(spark, sf_dir).select("source", "target"), "shuffle-network"), roles.prizes(spark, sf_dir), runs=200)
 
 
 _hop = lambda k: f"h{k} AS (SELECT run, target AS node, 0.5::DOUBLE*sum(w.w*x.state) AS state FROM {'moved' if k == 1 else f'h{k - 1}'} x JOIN w ON x.node=w.source GROUP BY 1,2)"

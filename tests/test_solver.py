@@ -262,3 +262,13 @@ def test_draws_are_dealt_into_partitions_of_a_bounded_number(spark, monkeypatch)
         assert re.search(r"hashpartitioning\(node#\d+, 8\), REPARTITION_BY_NUM", moved._jdf.queryExecution().toString())
         rows = moved.collect()
     assert len({(r["run"], r["node"]) for r in rows}) == len(rows) == 400
+
+
+def test_draws_are_not_broadcast(spark):
+    names = [f"n{i:03d}" for i in range(40)]
+    binned = spark.createDataFrame([(x, i // 20, i + 1) for i, x in enumerate(names)], "node string, bin int, rank int")
+    held = spark.createDataFrame([(x, float(i)) for i, x in enumerate(names)], "node string, prize double")
+    with Scope():
+        moved = draws.permuted_nodes(binned, held, 10, 1)
+        assert "BroadcastHashJoin [bin" not in moved._jdf.queryExecution().sparkPlan().toString()
+        assert moved.select("run", "node").distinct().count() == 400
