@@ -76,3 +76,31 @@ def test_the_steps_queries_work_their_network_out_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_edges", lambda *a: spark.createDataFrame([("u1", "u2", 0.4)], "source string, target string, cost double"))
     queries._steiner(spark, "")
     assert all(df.inputFiles() for df in seen) and seen[0].count() == 1
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_blocks_of_numbered_nodes_give_the_same_forest(spark, monkeypatch, ties):
+    """Networks of more than NAMED edges do not go by joins: their nodes get numbers, and a block reads them in slices."""
+    for module, name, size in ((solver, "FEW", 0), (solver.regions, "SLICE", 7), (solver.regions, "BRIDGES", 9), (solver.regions, "OFFERS", 5)):
+        monkeypatch.setattr(module, name, size)
+    monkeypatch.setattr(solver, "nearest_terminal", None)
+    edges, prizes = world(6)
+    edges = spark.createDataFrame([(a, b, round(c, 1) if ties else c) for a, b, c in edges], "source string, target string, cost double")
+    prizes, some = spark.createDataFrame(prizes, "run int, node string, prize double"), []
+    for named in (10_000, 0):
+        monkeypatch.setattr(solver.regions, "NAMED", named)
+        e, v = solver.solve_forest(edges, prizes, 0.4, 0.01)
+        some.append((sorted(tuple(r) for r in e.select("run", "a", "b", "cost").collect()), sorted(tuple(r) for r in v.select("run", "node", "prize", "p", "terminal").collect())))
+    assert some[0] == some[1] and some[0][0]
+
+
+def test_tables_of_many_runs_are_not_broadcast(spark, monkeypatch):
+    """Files of columns that repeat are small, their rows are not: Spark would send them all through the driver."""
+    monkeypatch.setattr(solver, "FEW", 0)
+    monkeypatch.setattr(solver.regions, "EDGES", 0)
+    plans, plain = {}, solver.cut
+    monkeypatch.setattr(solver, "cut", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString()) or plain(df, name))
+    edges, prizes = world(7)
+    solver.solve_forest(spark.createDataFrame(edges, "source string, target string, cost double"), spark.createDataFrame(prizes, "run int, node string, prize double"), 0.4, 0.01)
+    for name in ("forest-prizes", "steiner-near", "forest-nodes"):
+        assert plans[name] and not any("BroadcastHashJoin" in p for p in plans[name]), name
