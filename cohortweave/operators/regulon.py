@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.functions.ranks import average_rank, pearson, quantiles, windowed_rank
 from cohortweave.functions.scalars import is_finite, sign
@@ -73,6 +73,17 @@ def rank_regression(table: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
     return one.select(F.try_divide("b1", F.sqrt(F.greatest(F.lit(0.0), s2 * F.col("bb") / det))).alias("t1"), F.try_divide("b2", F.sqrt(F.greatest(F.lit(0.0), s2 * F.col("aa") / det))).alias("t2"), "n")
 
 
+def ordered_means(table: DataFrame, key: str, order: str, values: dict[str, Column]) -> DataFrame:
+    """(key, and the named means) with every sum made in the order of a column, so that its last bits do not depend on partitions and files.
+
+    A running sum passes over the rows of a key, which may spill; none is gathered. NULL values are left out.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [c for name, x in values.items() for c in (F.sum(x).over(w).alias(f"__s_{name}"), F.count(x).over(w).alias(f"__n_{name}"))]
+    last = table.select(key, F.struct(F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("__at"), *sums).alias("__r")).groupBy(key).agg(F.max("__r").alias("__r"))
+    return last.select(key, *[F.try_divide(F.col(f"__r.__s_{name}"), F.col(f"__r.__n_{name}")).alias(name) for name in values])
+
+
 def signed_rank(table: DataFrame, x: str, y: str, with_p: bool = False) -> DataFrame:
     """One row of the paired signed-rank test: n, v, z with tie and continuity correction (and p)."""
     rows = table.where(is_finite(x) & is_finite(y)).select((F.col(x) - F.col(y)).alias("d")).where("d <> 0")

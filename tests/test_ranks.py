@@ -85,3 +85,20 @@ def test_halves_are_rounded_as_duckdb_rounds_doubles(spark):
     got = [r["r"] for r in table(spark, xs).select("id", rounded_half("x", 2).alias("r")).orderBy("id").collect()]
     assert got == want
     assert [r["r"] for r in table(spark, xs).select("id", F.round("x", 2).alias("r")).orderBy("id").collect()] != want
+
+
+def test_signed_ranks_sum_in_the_order_of_keys(spark, tmp_path):
+    """Many differences lie between two cents, and sums by file have other last bits than the SQL's over rows in order."""
+    duckdb = pytest.importorskip("duckdb")
+    from cohortweave.plans import queries
+
+    c = duckdb.connect()
+    c.execute("SET threads=1")
+    c.execute("SELECT setseed(0.3)")
+    c.execute("CREATE TABLE orders AS SELECT range AS o_orderkey, floor(random()*4000)::BIGINT AS o_custkey, CASE WHEN random()<0.5 THEN 'O' ELSE 'F' END AS o_orderstatus, round(1000+random()*3,2) AS o_totalprice FROM range(40000)")
+    (tmp_path / "orders.parquet").mkdir()
+    for i in range(8):
+        c.execute(f"COPY (SELECT * FROM orders WHERE o_orderkey%8={i}) TO '{tmp_path}/orders.parquet/{i}.parquet'")
+    want = c.execute(queries.ORACLES["paired_signed_rank"]).fetchone()
+    assert tuple(queries.QUERIES["paired_signed_rank"](spark, str(tmp_path)).first()) == want
+    assert tuple(queries.QUERIES["paired_signed_rank_p"](spark, str(tmp_path)).select("n", "z").first()) == (want[0], want[2])
